@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import broadcast_if_small, written
 from .token_counts import byte_letters, slices
 
 #: Fixed values of the format: ids and bits of each for selectors 2 to 15.
@@ -29,7 +29,8 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 ESCAPE = 0
 BLOCK_IDS = 256
 PAGE_BYTES = 8_000_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
+BROADCAST_PAGES = 500_000
 PAGE_SCHEMA = "shard long, page long, n_ids long, doc_ids array<long>, doc_lengths array<long>, block_words array<int>, payload binary"
 
 
@@ -246,4 +247,4 @@ def read_token_pages(pages: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    return pages.join(starts, ["shard", "page"]).select("page_start", "n_ids", "doc_ids", "doc_lengths", "block_words", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return pages.join(broadcast_if_small(starts, pages.count(), BROADCAST_PAGES), ["shard", "page"]).select("page_start", "n_ids", "doc_ids", "doc_lengths", "block_words", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
