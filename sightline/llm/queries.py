@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import repaired_turns
 from .common import table
 from .decontam import decontamination_report
 from .exact_dedup import exact_duplicates
+from .language_id import predicted_languages
+from .line_dedup import without_repeated_chunks
 from .mixing import mix
 from .near_dup import near_duplicates
+from .quality import quality_scores
 from .token_counts import prefix_token_counts
 from .token_output import read_token_pages, write_token_pages
 
@@ -31,6 +35,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_pages(pages).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,17 +48,34 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = without_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, similarity=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_turns(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_output": op5_token_output,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language_id": op7_language_id,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
