@@ -5,10 +5,12 @@ has a signature of COORDINATES values, each the hash of ROWS MinHash values, and
 
 * A posting list of at most SHORT classes gives all its pairs.
 * Longer lists are skipped in that merge. A pair that meets the match threshold m shares m values, so if one of its
-  classes has fewer than m values with long lists, the two share a short list and were found there. Of the classes with
-  m or more, the rarest of their long lists (all but m - 1) are a prefix that every partner must share. In each such
-  list every class is held against the list's pivot first; links found so far are contracted to components; what is
-  left are pairs of a class outside the list's largest component with the list's classes of other components.
+  classes has fewer than m values with long lists, the two share a short list and were found there. Classes with m or
+  more are dense; the rarest of their long lists (all but m - 1) are a prefix that every dense partner must share.
+* A dense class's own shingles, those that no other dense class has, bound its similarity with any other. In each
+  prefix list every class is held against the list's pivot, the class with the fewest own shingles; links found so far
+  are contracted to components; what is left are pairs of a class outside the list's largest component with the list's
+  classes of other components, of which only those that the bound allows are made.
 
 Pairs are kept when at least m coordinates match, and become links when the whole sets, rebuilt from the texts, are as
 similar as asked. m is the largest number that a pair of exactly that similarity misses with a chance of MISS at most.
@@ -33,7 +35,7 @@ from .token_counts import slices
 
 COORDINATES = 32
 ROWS = 4
-SHORT = 32
+SHORT = 8
 MISS = 1e-7
 BROADCAST_LISTS = 1_000_000
 BROADCAST_IDS = 2_000_000
@@ -170,6 +172,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * F.col("common") >= similarity * F.col("all")).select("a", "b")
 
 
+def own_shingles(sets: DataFrame, dense: DataFrame) -> DataFrame:
+    """digest, size, own: how many shingles each dense class has, and how many of them no other dense class has."""
+    held = sets.join(dense.select("digest"), "digest", "left_semi").withColumn("holder", F.xxhash64("digest"))
+    alone = held.select("holder", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("holder").alias("holder")).where("n = 1")
+    counts = alone.groupBy("holder").agg(F.count("*").alias("own"))
+    return held.select("digest", "holder", F.size("shingles").alias("size")).join(counts, "holder", "left").select("digest", "size", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+
+
+def may_link(similarity: int):
+    """Whether classes of size and own shingles (size, own) and (size_p, own_p) can be as similar as asked."""
+    common = F.least(F.col("size") - F.col("own"), F.col("size_p") - F.col("own_p"))
+    return 100 * common >= similarity * (F.col("size") + F.col("size_p") - common)
+
+
 def ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -204,35 +220,36 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written(classes, "near-classes")
 
-    # posting lists of two classes or more; a pivot is the class with the smallest hash in the list
-    postings = classes.select("digest", F.explode("signature").alias("value")).withColumn("turn", F.xxhash64("digest", "value"))
-    lists = written(postings.groupBy("value").agg(F.count("*").alias("n"), F.min("turn").alias("pivot")).where("n > 1"), "near-lists")
+    # posting lists of two classes or more
+    postings = classes.select("digest", F.explode("signature").alias("value"))
+    lists = written(postings.groupBy("value").agg(F.count("*").alias("n_list")).where("n_list > 1"), "near-lists")
     members = written(postings.join(broadcast_if_small(lists, lists.count(), BROADCAST_LISTS), "value"), "near-members")
-    short, long = members.where(F.col("n") <= SHORT), members.where(F.col("n") > SHORT)
-
-    within = short.select("value", F.col("digest").alias("a")).join(short.select("value", F.col("digest").alias("b")), "value").where("a < b").select("a", "b")
-    dense = long.groupBy("digest").agg(F.count("*").alias("n_long")).where(F.col("n_long") >= least)
-    by_rarity = Window.partitionBy("digest").orderBy("n", "value")
+    short, long = members.where(F.col("n_list") <= SHORT), members.where(F.col("n_list") > SHORT)
+    within = short.select("value", F.col("digest").alias("a")).join(short.select("value", F.col("digest").alias("b")), "value").where("a < b").select("a", "b").distinct()
+    within = written(matching(within, classes, least, similarity), "near-within")
+    by_rarity = Window.partitionBy("digest").orderBy("n_list", "value")
+    dense = written(long.groupBy("digest").agg(F.count("*").alias("n_long")).where(F.col("n_long") >= least), "near-dense")
     prefix = long.join(dense, "digest").withColumn("rank", F.row_number().over(by_rarity)).where(F.col("rank") <= F.col("n_long") - (least - 1)).select("value", "digest")
-    prefix = written(prefix, "near-prefix")
-    pivots = long.where(F.col("turn") == F.col("pivot")).select("value", F.col("digest").alias("p"))
-    stars = prefix.join(pivots, "value").where(F.col("digest") != F.col("p")).select(*ordered("digest", "p"))
-    pairs = written(matching(within.unionAll(stars).distinct(), classes, least, similarity), "near-pairs")
 
-    wanted = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select("b")).unionAll(prefix.select("digest")).distinct()
+    wanted = within.select(F.col("a").alias("digest")).unionAll(within.select("b")).unionAll(dense.select("digest")).distinct()
     wanted = written(wanted.join(classes.select("digest", "rep"), "digest"), "near-wanted")
     sets = written(whole_sets(docs, shingle_words, wanted), "near-sets")
-    links = written(confirmed(pairs, sets, similarity), "near-links")
+
+    # stars in the long lists
+    prefix = written(prefix.join(own_shingles(sets, dense), "digest"), "near-prefix")
+    pivots = prefix.groupBy("value").agg(F.min(F.struct("own", "digest", "size")).alias("p")).select("value", F.col("p.digest").alias("p"), F.col("p.own").alias("own_p"), F.col("p.size").alias("size_p"))
+    stars = prefix.join(pivots, "value").where((F.col("digest") != F.col("p")) & may_link(similarity)).select(*ordered("digest", "p")).distinct()
+    stars = matching(stars.join(within, ["a", "b"], "left_anti"), classes, least, similarity)
+    links = written(confirmed(within.unionAll(stars), sets, similarity), "near-links")
     labels = components(links)
 
-    # in the long lists, what stars left apart
+    # what stars left apart
     labelled = written(prefix.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "near-labelled")
     parts = labelled.groupBy("value", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("value", F.col("top.label").alias("main"))
-    outside = labelled.join(largest, "value").where(F.col("label") != F.col("main")).select("value", F.col("digest").alias("p"), F.col("label").alias("label_p"))
-    rest = labelled.join(outside, "value").where(F.col("label") != F.col("label_p")).select(*ordered("digest", "p")).distinct()
-    rest = written(matching(rest.join(pairs, ["a", "b"], "left_anti"), classes, least, similarity), "near-rest")
-    more = written(confirmed(rest, sets, similarity), "near-more")
+    outside = labelled.join(largest, "value").where(F.col("label") != F.col("main")).select("value", F.col("digest").alias("p"), F.col("label").alias("label_p"), F.col("own").alias("own_p"), F.col("size").alias("size_p"))
+    rest = labelled.join(outside, (labelled["value"] == outside["value"]) & (F.col("label") != F.col("label_p")) & may_link(similarity)).select(*ordered("digest", "p")).distinct()
+    more = written(confirmed(matching(rest, classes, least, similarity), sets, similarity), "near-more")
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = components(links)
