@@ -1,0 +1,41 @@
+"""Tables written between the rounds of a loop."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+_noted: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where none is set."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="sightline-")
+        base = _own[sc.applicationId]
+    folder = f"{base.rstrip('/')}/plans-{sc.applicationId}"
+    if folder not in _noted:
+        _noted.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, so that a loop's plan stays short and lost executors lose nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
