@@ -38,24 +38,28 @@ def horizontal(measured: DataFrame, nz: float = HORIZONTAL_NZ) -> DataFrame:
 
 
 def clip_to_box(polygon: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
-    """A polygon (array of x, y structs) cut by the four sides of a box, side after side."""
-    for axis, bound, keep_above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
-        polygon = _clip_side(polygon, axis, bound, keep_above)
-    return polygon
+    """A polygon (array of x, y structs) cut by the four sides of a box, folded over the sides so that the expression stays small.
 
+    Each corner gives the crossing of the side that ends in it, if any, and itself, if inside.
+    """
+    side = lambda on_x, bound, above: F.struct(F.lit(on_x).alias("on_x"), bound.cast("double").alias("bound"), F.lit(above).alias("above"))
+    sides = F.array(side(True, xmin, True), side(True, xmax, False), side(False, ymin, True), side(False, ymax, False))
+
+    def cut(corners: Column, s: Column) -> Column:
+        at = lambda p: F.when(s["on_x"], p["x"]).otherwise(p["y"])
+        inside = lambda p: F.when(s["above"], at(p) >= s["bound"]).otherwise(at(p) <= s["bound"])
 
-def _clip_side(polygon: Column, axis: str, bound: Column, keep_above: bool) -> Column:
-    """Each corner gives the crossing of the side that ends in it, if any, and itself, if inside."""
-    inside = lambda p: (p[axis] >= bound) if keep_above else (p[axis] <= bound)
+        def corner(p: Column, i: Column) -> Column:
+            prev = F.element_at(corners, F.when(i == 0, F.size(corners)).otherwise(i))
+            t = F.try_divide(s["bound"] - at(prev), at(p) - at(prev))
+            x = F.when(s["on_x"], s["bound"]).otherwise(prev["x"] + t * (p["x"] - prev["x"]))
+            y = F.when(s["on_x"], prev["y"] + t * (p["y"] - prev["y"])).otherwise(s["bound"])
+            crossed = (inside(p) != inside(prev)) & (F.abs(at(p) - at(prev)) > 1e-12)
+            return F.filter(F.array(F.when(crossed, F.struct(x.alias("x"), y.alias("y"))), F.when(inside(p), p)), lambda q: q.isNotNull())
 
-    def corner(p: Column, i: Column) -> Column:
-        prev = F.element_at(polygon, F.when(i == 0, F.size(polygon)).otherwise(i))
-        t = F.try_divide(bound - prev[axis], p[axis] - prev[axis])
-        cut = F.struct(*((prev[a] + t * (p[a] - prev[a])).alias(a) if a != axis else bound.cast("double").alias(a) for a in "xy"))
-        crossed = (inside(p) != inside(prev)) & (F.abs(p[axis] - prev[axis]) > 1e-12)
-        return F.filter(F.array(F.when(crossed, cut), F.when(inside(p), p)), lambda q: q.isNotNull())
+        return F.flatten(F.transform(corners, corner))
 
-    return F.when(F.size(polygon) > 0, F.flatten(F.transform(polygon, corner))).otherwise(polygon)
+    return F.aggregate(sides, polygon, cut)
 
 
 def polygon_area(polygon: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cross, distance, dot, finite, minus
+from ..plans.tables import materialised
 from .projection import project_world
 
 MAX_FRAMES = 100_000
@@ -101,7 +102,7 @@ def cast_rays(rays: DataFrame, boxes: DataFrame, triangles: DataFrame | None = N
     name; a ray without length or with non-finite ends is GEOMETRY_UNCERTAIN without a name. Without triangles a box is
     hit where it is entered, unless the ray starts inside.
     """
-    hits = box_hits(rays, boxes, cell)
+    hits = materialised(box_hits(rays, boxes, cell), "box-hits")  # read several times, and a plan that holds its expressions once
     if "bad" in boxes.columns:
         hits = hits.join(boxes.select("name", "bad"), "name")
     else:
