@@ -22,6 +22,8 @@ from .common import SPACE, WORD, written
 BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
 CHUNK_ROWS = 4_096
+#: Tasks that permute slots, for each shard's worth of words.
+SLOT_TASKS = 2
 ROUNDS = 24
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -141,6 +143,7 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     before = F.sum("n").over(Window.partitionBy("source_no").orderBy("shard")) - F.col("n")
     slots = (
         counts.withColumn("before", before)
+        .repartition(min(max(1, -(-sum(r["size"] for r in totals) // (BLOCK_WORDS * SHARD_SLOTS))) * SLOT_TASKS, 100_000), "source_no", "shard")  # else few tasks permute all slots
         .select("shard", "source_no", F.explode(F.expr("sequence(before, before + n - 1)")).alias("slot"))
         .join(plan.select("source_no", "blocks"), "source_no")
         .withColumn("pass", F.expr("slot div blocks"))
