@@ -10,7 +10,8 @@ has a signature of COORDINATES values, each the hash of ROWS MinHash values, and
 * A dense class's own shingles, those that no other dense class has, bound its similarity with any other. In each
   prefix list every class is held against the list's pivot, the class with the fewest own shingles; links found so far
   are contracted to components; what is left are pairs of a class outside the list's largest component with the list's
-  classes of other components, of which only those that the bound allows are made.
+  classes of other components. Shingles that RARE dense classes have at most give the pairs that share any of them, and
+  how many; all other pairs share only frequent shingles. Both bounds are exact, and only pairs that they allow are made.
 
 Pairs are kept when at least m coordinates match, and become links when the whole sets, rebuilt from the texts, are as
 similar as asked. m is the largest number that a pair of exactly that similarity misses with a chance of MISS at most.
@@ -36,6 +37,8 @@ from .token_counts import slices
 COORDINATES = 32
 ROWS = 4
 SHORT = 8
+#: Shingles that so many dense classes have at most are looked at pair by pair.
+RARE = 8
 MISS = 1e-7
 BROADCAST_LISTS = 1_000_000
 BROADCAST_IDS = 2_000_000
@@ -172,20 +175,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * F.col("common") >= similarity * F.col("all")).select("a", "b")
 
 
-def own_shingles(sets: DataFrame, dense: DataFrame) -> DataFrame:
-    """digest, size, own: how many shingles each dense class has, and how many of them no other dense class has."""
-    held = sets.join(dense.select("digest"), "digest", "left_semi").withColumn("holder", F.xxhash64("digest"))
-    alone = held.select("holder", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("holder").alias("holder")).where("n = 1")
-    counts = alone.groupBy("holder").agg(F.count("*").alias("own"))
-    return held.select("digest", "holder", F.size("shingles").alias("size")).join(counts, "holder", "left").select("digest", "size", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+def few_holders(sets: DataFrame, dense: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sizes, rare) of the dense classes.
+
+    rare: digest, shingle, n of shingles that at most RARE dense classes have, n being how many. sizes: digest, size,
+    own (shingles that no other dense class has) and few (those in rare).
+    """
+    held = sets.join(dense.select("digest"), "digest", "left_semi")
+    each = held.select("digest", F.explode("shingles").alias("shingle"))
+    rare = written(each.join(each.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "shingle"), "near-rare")
+    counts = rare.groupBy("digest").agg(F.count_if(F.col("n") == 1).alias("own"), F.count("*").alias("few"))
+    none = F.lit(0).cast("long")
+    return held.select("digest", F.size("shingles").alias("size")).join(counts, "digest", "left").select("digest", "size", F.coalesce("own", none).alias("own"), F.coalesce("few", none).alias("few")), rare
 
 
-def may_link(similarity: int):
-    """Whether classes of size and own shingles (size, own) and (size_p, own_p) can be as similar as asked."""
-    common = F.least(F.col("size") - F.col("own"), F.col("size_p") - F.col("own_p"))
+def may_link(similarity: int, own: str, shared=0):
+    """Whether two classes can be as similar as asked if they share only `shared` of the shingles counted in own."""
+    common = F.least(F.col("size") - F.col(own), F.col("size_p") - F.col(f"{own}_p")) + shared
     return 100 * common >= similarity * (F.col("size") + F.col("size_p") - common)
 
 
+def rare_pairs(rare: DataFrame, labelled: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes of different components that share shingles of few holders and, with these, can be similar enough."""
+    named = rare.where("n > 1").join(labelled.select("digest", "label", "size", "few").distinct(), "digest").select("shingle", "digest", "label", "size", "few")
+    both = named.join(named.toDF("shingle", "p", "label_p", "size_p", "few_p"), "shingle").where("digest < p and label <> label_p")
+    both = both.groupBy("digest", "p", "size", "few", "size_p", "few_p").agg(F.count("*").alias("shared"))
+    return both.where(may_link(similarity, "few", F.col("shared"))).select(*ordered("digest", "p"))
+
+
 def ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -236,9 +253,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     sets = written(whole_sets(docs, shingle_words, wanted), "near-sets")
 
     # stars in the long lists
-    prefix = written(prefix.join(own_shingles(sets, dense), "digest"), "near-prefix")
+    sizes, rare = few_holders(sets, dense)
+    prefix = written(prefix.join(sizes, "digest"), "near-prefix")
     pivots = prefix.groupBy("value").agg(F.min(F.struct("own", "digest", "size")).alias("p")).select("value", F.col("p.digest").alias("p"), F.col("p.own").alias("own_p"), F.col("p.size").alias("size_p"))
-    stars = prefix.join(pivots, "value").where((F.col("digest") != F.col("p")) & may_link(similarity)).select(*ordered("digest", "p")).distinct()
+    stars = prefix.join(pivots, "value").where((F.col("digest") != F.col("p")) & may_link(similarity, "own")).select(*ordered("digest", "p")).distinct()
     stars = matching(stars.join(within, ["a", "b"], "left_anti"), classes, least, similarity)
     links = written(confirmed(within.unionAll(stars), sets, similarity), "near-links")
     labels = components(links)
@@ -247,8 +265,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     labelled = written(prefix.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "near-labelled")
     parts = labelled.groupBy("value", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("value", F.col("top.label").alias("main"))
-    outside = labelled.join(largest, "value").where(F.col("label") != F.col("main")).select("value", F.col("digest").alias("p"), F.col("label").alias("label_p"), F.col("own").alias("own_p"), F.col("size").alias("size_p"))
-    rest = labelled.join(outside, (labelled["value"] == outside["value"]) & (F.col("label") != F.col("label_p")) & may_link(similarity)).select(*ordered("digest", "p")).distinct()
+    outside = labelled.join(largest, "value").where(F.col("label") != F.col("main")).select("value", F.col("digest").alias("p"), F.col("label").alias("label_p"), F.col("few").alias("few_p"), F.col("size").alias("size_p"))
+    rest = labelled.join(outside, (labelled["value"] == outside["value"]) & (F.col("label") != F.col("label_p")) & may_link(similarity, "few")).select(*ordered("digest", "p"))
+    rest = written(rest.unionAll(rare_pairs(rare, labelled, similarity)).distinct(), "near-rest")
     more = written(confirmed(matching(rest, classes, least, similarity), sets, similarity), "near-more")
     if not more.isEmpty():
         links = links.unionAll(more)
