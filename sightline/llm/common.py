@@ -1,4 +1,7 @@
-"""What the operators share: table access and tables written to the cluster's shared folder."""
+"""What the operators share: table access and tables written to the cluster's shared folder.
+
+Columns that an operator adds to a caller's table for a while begin with __sightline_, so that no other name clashes.
+"""
 
 from __future__ import annotations
 

@@ -103,5 +103,5 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose doc_id has no passage of an item; rows without id stay."""
-    found = written(contaminated_documents(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(found, found.count(), BROADCAST_DOCS), docs["doc_id"] == F.col("_leak"), "left_anti")
+    found = written(contaminated_documents(docs, benchmark).select(F.col("doc_id").alias("__sightline_leak")).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(found, found.count(), BROADCAST_DOCS), docs["doc_id"] == F.col("__sightline_leak"), "left_anti")

@@ -82,18 +82,18 @@ def without_repeated_chunks(docs: DataFrame) -> DataFrame:
     doc_id and text are one document: what stays of it stays in each. Null ids come before all others. A chunk's lines
     are removed whole, with the line break after them.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = keyed.where(F.col("text").isNotNull()).select("doc_id", F.col("_hash").alias("text_hash"), "text")
+    keyed = docs.withColumn("__sightline_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = keyed.where(F.col("text").isNotNull()).select("doc_id", F.col("__sightline_hash").alias("text_hash"), "text")
     repeated = written(chunk_rows(texts, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-hashes")
     found = chunk_rows(texts, True).join(broadcast_if_small(repeated, repeated.count(), BROADCAST_HASHES), "hash")
     found = written(found, "repeated-chunks")
     place = F.struct("doc_id", "text_hash", "chunk_no")
     first = found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "chunk", "first")
     gone = found.join(first, ["hash", "chunk"]).where(~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone_hash")).agg(F.collect_set("chunk_no").alias("_gone"))
+    gone = gone.groupBy(F.col("doc_id").alias("__sightline_id"), F.col("text_hash").alias("__sightline_gone_hash")).agg(F.collect_set("chunk_no").alias("__sightline_gone"))
     gone = written(gone, "removed-chunks")
 
-    joined = keyed.join(broadcast_if_small(gone, gone.count(), BROADCAST_HASHES), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_gone_hash")), "left")
+    joined = keyed.join(broadcast_if_small(gone, gone.count(), BROADCAST_HASHES), keyed["doc_id"].eqNullSafe(F.col("__sightline_id")) & (F.col("__sightline_hash") == F.col("__sightline_gone_hash")), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed_lines long")
     def cleaned(text, gone):
@@ -112,5 +112,5 @@ def without_repeated_chunks(docs: DataFrame) -> DataFrame:
                 rows.append(("\n".join(kept), n, n - len(kept)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines"])
 
-    joined = joined.withColumn("_clean", cleaned("text", "_gone"))
-    return joined.select(*(F.col("_clean.text").alias("text") if c == "text" else F.col(c) for c in docs.columns), "_clean.n_lines", "_clean.n_removed_lines")
+    joined = joined.withColumn("__sightline_clean", cleaned("text", "__sightline_gone"))
+    return joined.select(*(F.col("__sightline_clean.text").alias("text") if c == "text" else F.col(c) for c in docs.columns), "__sightline_clean.n_lines", "__sightline_clean.n_removed_lines")

@@ -174,21 +174,21 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     text's length.
     """
     documents, _ = mix(docs, seed)
-    keep = documents.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("place").alias("_place"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("parts").alias("_parts"))
-    rows = docs.withColumn("_own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("_own_place", F.row_number().over(Window.partitionBy("doc_id", "_own_hash").orderBy("source")))
+    keep = documents.where("taken > 0").select(F.col("doc_id").alias("__sightline_id"), F.col("text_hash").alias("__sightline_hash"), F.col("place").alias("__sightline_place"), F.col("size").alias("__sightline_size"), F.col("taken").alias("__sightline_taken"), F.col("parts").alias("__sightline_parts"))
+    rows = docs.withColumn("__sightline_own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("__sightline_own_place", F.row_number().over(Window.partitionBy("doc_id", "__sightline_own_hash").orderBy("source")))
     # the place is compared beside the key, so that the window's partitioning serves the join too
-    joined = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (F.col("_own_hash") == F.col("_hash")) & (F.col("_own_place") - F.col("_place") == 0))
+    joined = rows.join(keep, rows["doc_id"].eqNullSafe(keep["__sightline_id"]) & (F.col("__sightline_own_hash") == F.col("__sightline_hash")) & (F.col("__sightline_own_place") - F.col("__sightline_place") == 0))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
 
     def part(least: int) -> Column:
-        wanted = F.filter("_parts", lambda p: p["times"] >= least)
-        return F.array_join(F.flatten(F.transform(wanted, lambda p: F.slice(F.col("_words"), (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
+        wanted = F.filter("__sightline_parts", lambda p: p["times"] >= least)
+        return F.array_join(F.flatten(F.transform(wanted, lambda p: F.slice(F.col("__sightline_words"), (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
 
-    once = F.aggregate("_parts", F.lit(0).cast("long"), lambda s, p: s + p["words"])
-    whole = once == F.col("_size")
-    text = F.concat_ws("\n", F.when(whole, F.col("text")).otherwise(part(1)), F.when(F.col("_taken") > once, F.when(F.col("_taken") == 2 * F.col("_size"), F.col("text")).otherwise(part(2))))
-    joined = joined.withColumn("_words", words).withColumn("text", text)
+    once = F.aggregate("__sightline_parts", F.lit(0).cast("long"), lambda s, p: s + p["words"])
+    whole = once == F.col("__sightline_size")
+    text = F.concat_ws("\n", F.when(whole, F.col("text")).otherwise(part(1)), F.when(F.col("__sightline_taken") > once, F.when(F.col("__sightline_taken") == 2 * F.col("__sightline_size"), F.col("text")).otherwise(part(2))))
+    joined = joined.withColumn("__sightline_words", words).withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)

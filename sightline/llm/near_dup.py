@@ -291,10 +291,10 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: int =
     rows under that id one, and every row without words or id."""
     decisions = written(near_duplicates(docs, shingle_words, similarity).where("kept"), "near-kept")
     grouped = decisions.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
-    ids = grouped.select(F.col("doc_id").alias("_keep")).distinct()
+    ids = grouped.select(F.col("doc_id").alias("__sightline_keep")).distinct()
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
     n = grouped.count()
-    kept = docs.where(has_words).join(broadcast_if_small(ids, n, BROADCAST_IDS), docs["doc_id"] == F.col("_keep"), "left_semi")
+    kept = docs.where(has_words).join(broadcast_if_small(ids, n, BROADCAST_IDS), docs["doc_id"] == F.col("__sightline_keep"), "left_semi")
     if ids.count() < n:
-        kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))).where("_nth = 1").drop("_nth")
+        kept = kept.withColumn("__sightline_nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))).where("__sightline_nth = 1").drop("__sightline_nth")
     return kept.unionAll(docs.where(~has_words))

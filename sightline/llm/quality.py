@@ -171,6 +171,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """The rows of docs, all columns, that the classifier does not reject; rows of one doc_id stay if any of them does.
     Rows without id stay."""
     scored = written(quality_scores(docs, labels, threshold), "quality-scores")
-    good = scored.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    bad = written(scored.where("predicted = 0").select(F.col("doc_id").alias("_id")).join(good, "_id", "left_anti").where(F.col("_id").isNotNull()).distinct(), "quality-rejects")
-    return docs.join(broadcast_if_small(bad, bad.count(), BROADCAST_LABELS), docs["doc_id"] == F.col("_id"), "left_anti")
+    good = scored.where("predicted = 1").select(F.col("doc_id").alias("__sightline_id")).distinct()
+    bad = written(scored.where("predicted = 0").select(F.col("doc_id").alias("__sightline_id")).join(good, "__sightline_id", "left_anti").where(F.col("__sightline_id").isNotNull()).distinct(), "quality-rejects")
+    return docs.join(broadcast_if_small(bad, bad.count(), BROADCAST_LABELS), docs["doc_id"] == F.col("__sightline_id"), "left_anti")
