@@ -20,8 +20,12 @@ _own_dirs: dict[str, str] = {}
 _cleaned: set[str] = set()
 
 
+#: Vectored reads ask for a whole column chunk at once, and each reading thread keeps an off-heap buffer of that size.
+PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +56,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
