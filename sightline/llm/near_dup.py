@@ -11,7 +11,8 @@ has a signature of COORDINATES values, each the hash of ROWS MinHash values, and
   prefix list every class is held against the list's pivot, the class with the fewest own shingles; links found so far
   are contracted to components; what is left are pairs of a class outside the list's largest component with the list's
   classes of other components. Shingles that RARE dense classes have at most give the pairs that share any of them, and
-  how many; all other pairs share only frequent shingles. Both bounds are exact, and only pairs that they allow are made.
+  how many; all other pairs share only frequent shingles. Both bounds are exact, and only pairs that they allow are made,
+  each in the first list that holds both.
 
 Pairs are kept when at least m coordinates match, and become links when the whole sets, rebuilt from the texts, are as
 similar as asked. m is the largest number that a pair of exactly that similarity misses with a chance of MISS at most.
@@ -247,6 +248,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     by_rarity = Window.partitionBy("digest").orderBy("n_list", "value")
     dense = written(long.groupBy("digest").agg(F.count("*").alias("n_long")).where(F.col("n_long") >= least), "near-dense")
     prefix = long.join(dense, "digest").withColumn("rank", F.row_number().over(by_rarity)).where(F.col("rank") <= F.col("n_long") - (least - 1)).select("value", "digest")
+    prefix = prefix.withColumn("lists", F.collect_list("value").over(Window.partitionBy("digest")))  # COORDINATES values at most
 
     wanted = within.select(F.col("a").alias("digest")).unionAll(within.select("b")).unionAll(dense.select("digest")).distinct()
     wanted = written(wanted.join(classes.select("digest", "rep"), "digest"), "near-wanted")
@@ -265,8 +267,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     labelled = written(prefix.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "near-labelled")
     parts = labelled.groupBy("value", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("value", F.col("top.label").alias("main"))
-    outside = labelled.join(largest, "value").where(F.col("label") != F.col("main")).select("value", F.col("digest").alias("p"), F.col("label").alias("label_p"), F.col("few").alias("few_p"), F.col("size").alias("size_p"))
-    rest = labelled.join(outside, (labelled["value"] == outside["value"]) & (F.col("label") != F.col("label_p")) & may_link(similarity, "few")).select(*ordered("digest", "p"))
+    outside = labelled.join(largest, "value").where(F.col("label") != F.col("main"))
+    outside = outside.select(F.col("value").alias("value_p"), "main", F.col("digest").alias("p"), F.col("label").alias("label_p"), F.col("few").alias("few_p"), F.col("size").alias("size_p"), F.col("lists").alias("lists_p"))
+    once = (F.col("digest") < F.col("p")) | (F.col("label") == F.col("main"))  # of two outside, one way round
+    first = F.col("value") == F.array_min(F.array_intersect("lists", "lists_p"))  # of the lists that both are in
+    rest = labelled.join(outside, (F.col("value") == F.col("value_p")) & (F.col("label") != F.col("label_p")) & once & may_link(similarity, "few") & first).select(*ordered("digest", "p"))
     rest = written(rest.unionAll(rare_pairs(rare, labelled, similarity)).distinct(), "near-rest")
     more = written(confirmed(matching(rest, classes, least, similarity), sets, similarity), "near-more")
     if not more.isEmpty():
