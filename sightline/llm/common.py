@@ -20,7 +20,7 @@ _own_dirs: dict[str, str] = {}
 _cleaned: set[str] = set()
 
 
-#: Vectored reads ask for a whole column chunk at once, and each reading thread keeps an off-heap buffer of that size.
+#: Vectored reads ask for a whole column chunk at once; plain ones are to need less memory outside the heap.
 PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
 
 
