@@ -13,7 +13,7 @@ from .common import table
 from .decontam import decontamination_report
 from .exact_dedup import exact_duplicates
 from .language_id import predicted_languages
-from .line_dedup import without_repeated_chunks
+from .line_dedup import without_repeated_passages
 from .mixing import mix
 from .near_dup import near_duplicates
 from .quality import quality_scores
@@ -53,7 +53,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = without_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = without_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 

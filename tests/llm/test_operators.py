@@ -218,6 +218,36 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.without_repeated_chunks(empty).count() == 0
 
 
+def brute_passages(docs):
+    """Texts without the lines of any run of 2 to 8 lines, not all blank, that stands in a document before, or above it
+    in its own."""
+    seen, out = {}, {}
+    for n, (i, t) in enumerate(sorted(docs)):
+        lines, gone = t.split("\n"), set()
+        for size in range(2, 9):
+            for k in range(len(lines) - size + 1):
+                run = tuple(lines[k : k + size])
+                first = seen.setdefault(run, (n, k))
+                if any(map(str.strip, run)) and (first[0] < n or first[1] + size <= k):
+                    gone |= set(range(k, k + size))
+        out[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_of_whole_passages(spark, odd, empty):
+    rng = random.Random(8)
+    passages = [[f"passage {p} line {k}" for k in range(n)] for p in range(6) for n in range(2, 9)]
+    docs = [(i, "\n".join(line for _ in range(6) for line in [*(f"own {rng.random()}" for _ in range(rng.randint(1, 3))), *rng.choice(passages)])) for i in range(60)]
+    docs += [(100 + i, "\n".join(rng.choices(["a", "b", "", " ", "c"], [2, 2, 3, 1, 1], k=rng.randint(1, 7)))) for i in range(80)]
+    docs += [(300 + i, t) for i, t in enumerate(["x\nx\nx", "y\ny\ny\ny", "", "\n\n", "end\n\n\n\n", "top\n\n\n\nend", "q\nend\n\n\n"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_passages(docs)
+    assert got[300] == "x\nx\nx" and got[301] == "y\ny" and got[306] == "q"
+    cleaned = line_dedup.without_repeated_passages(odd)
+    assert cleaned.columns == [*odd.columns, "n_lines", "n_removed_lines"] and cleaned.count() == odd.count()
+    assert line_dedup.without_repeated_passages(empty).count() == 0
+
+
 def brute_components(docs, size, similarity):
     sets = []
     for i, t in docs:
