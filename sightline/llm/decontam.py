@@ -1,21 +1,23 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
 A seed is the hash of the words of a window at the positions that a fixed mask looks at; words under its zeros may
-differ. Seeds of the benchmark's items and of all documents meet in a join. A hit fixes how document and item lie
+differ. Wherever as many words of a window differ as the rule below lets differ, one of its masks looks at none of
+them. Seeds of the benchmark's items and of all documents meet in a join. A hit fixes how document and item lie
 against each other; along that line the words are compared one by one, and the document is contaminated where some
 window of SPAN words agrees in at least AGREE of them.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, written
 
 SPAN = 13
-#: Fixed masks of SPAN positions with eight looked at.
-MASKS = ("1101100101011", "1110100010111", "1011001110101")
 #: Words that must agree, as a part of the window.
 AGREE = 0.75
 #: Items with fewer words give no evidence and are passed over.
@@ -26,18 +28,29 @@ BROADCAST_DOCS = 1_000_000
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def masks(span: int) -> tuple[str, ...]:
+    """Masks for windows of span words, of which one looks at no word that differs wherever AGREE lets words differ.
+
+    The window is cut into two blocks more than words may differ, so two blocks at least agree whole; each pair of
+    blocks has a mask.
+    """
+    n = span - math.ceil(span * AGREE) + 2
+    block = [i * n // span for i in range(span)]
+    return tuple("".join("01"[b in pair] for b in block) for pair in combinations(range(n), 2))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def seeds(df: DataFrame, masks: tuple[str, ...], keep: str) -> DataFrame:
-    """keep, pos, seed for every window of df's column hashes and every mask; all masks have one length."""
-    span = len(masks[0])
-    used = sorted({i for m in masks for i, on in enumerate(m) if on == "1"})
+def seeds(df: DataFrame, family: tuple[str, ...], keep: str) -> DataFrame:
+    """keep, pos, seed for every window of df's column hashes and every mask of family; all masks have one length."""
+    span = len(family[0])
+    used = sorted({i for m in family for i, on in enumerate(m) if on == "1"})
     windows = F.size("hashes") - span + 1
     shifted = [F.slice("hashes", F.lit(i + 1), windows).alias(f"w{i}") for i in used]
     placed = df.where(F.size("hashes") >= span).select(keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
-    hashes = [F.xxhash64(F.lit(m), *(F.col(f"w.w{i}") for i, on in enumerate(m) if on == "1")) for m in masks]
+    hashes = [F.xxhash64(F.lit(m), *(F.col(f"w.w{i}") for i, on in enumerate(m) if on == "1")) for m in family]
     return placed.select(keep, "pos", F.explode(F.array(*hashes)).alias("seed"))
 
 
@@ -59,14 +72,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(r[0] for r in items.where(F.size("item_words") < SPAN).select(F.size("item_words")).distinct().collect())  # five lengths at most
     doc_hashes = hashed(docs, "doc_id")
 
-    def hits(masks: tuple[str, ...], of_items: DataFrame) -> DataFrame:
-        wanted = written(seeds(of_items, masks, "item_id").withColumnRenamed("pos", "item_pos").distinct(), "benchmark-seeds")
-        found = seeds(doc_hashes, masks, "doc_id").join(broadcast_if_small(wanted, wanted.count(), BROADCAST_SEEDS), "seed")
+    def hits(family: tuple[str, ...], of_items: DataFrame) -> DataFrame:
+        wanted = written(seeds(of_items, family, "item_id").withColumnRenamed("pos", "item_pos").distinct(), "benchmark-seeds")
+        found = seeds(doc_hashes, family, "doc_id").join(broadcast_if_small(wanted, wanted.count(), BROADCAST_SEEDS), "seed")
         return found.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("line"))
 
-    lines = hits(MASKS, item_hashes)
+    lines = hits(masks(SPAN), item_hashes)
     for n in short:
-        lines = lines.unionAll(hits(("1" * n,), item_hashes.where(F.size("hashes") == n)))
+        lines = lines.unionAll(hits(masks(n), item_hashes.where(F.size("hashes") == n)))
     lines = written(lines.distinct(), "seed-hits")
 
     with_text = docs.join(broadcast_if_small(lines, lines.count(), BROADCAST_DOCS), "doc_id").select("item_id", "doc_id", "line", words(F.col("text")).alias("doc_words"))

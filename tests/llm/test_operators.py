@@ -4,7 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -181,6 +181,35 @@ def test_decontamination(spark, odd, empty):
     assert decontam.decontamination_report(empty, bench).count() == 0 and decontam.decontamination_report(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_agreement(doc, item):
+    """Whether a window of 13 words, or of the whole shorter item, agrees in 75% of its words at least."""
+    d, t = doc.split(), item.split()
+    n = min(13, len(t))
+    return len(t) >= 8 and any(4 * sum(a == b for a, b in zip(d[i : i + n], t[j : j + n])) >= 3 * n for i in range(len(d) - n + 1) for j in range(len(t) - n + 1))
+
+
+def test_decontamination_with_changed_words(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(n, " ".join(rng.choices(vocab, k=n))) for n in (*range(7, 17), 20, 30)]
+    docs, ends = [], set()
+    for k, item in items:
+        words = item.split()
+        n = min(13, k)
+        for changed in [[0], [k - 1], [0, k - 1], [0, k // 2, k - 1], *(rng.sample(range(k), rng.randint(1, n - (3 * n + 3) // 4 + 1)) for _ in range(12))]:
+            copy = [f"new{i}" if i in changed else w for i, w in enumerate(words)]
+            if k >= 8 and changed in ([0], [k - 1]):
+                ends.add(len(docs))
+            docs.append((len(docs), " ".join([*rng.choices(vocab, k=rng.randint(0, 30)), *copy, *rng.choices(vocab, k=rng.randint(0, 30))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_documents(d, b).collect()}
+    assert got == {(i, k) for i, t in docs for k, item in items if brute_agreement(t, item)}
+    assert ends <= {i for i, _ in got} and len({i for i, _ in got}) < len(docs)
+    for n in range(8, 14):
+        wrong = n - (3 * n + 3) // 4
+        assert all(any(all(m[i] == "0" for i in c) for m in decontam.masks(n)) for c in combinations(range(n), wrong))
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
     got = language_id.predicted_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
