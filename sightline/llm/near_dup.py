@@ -116,7 +116,7 @@ def signature(shingles: np.ndarray, factors: np.ndarray, terms: np.ndarray, bloc
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set; null for an empty one), signature."""
+    """doc_id, text_key, n_shingles, digest (of the whole set; null for an empty one), signature."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -130,19 +130,19 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     signatures = [signature(s, factors, terms).view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(signatures, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "signature"],
+                    [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(signatures, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n_shingles", "digest", "signature"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"doc_id {kind}, n_shingles long, digest binary, signature array<long>")
+    return docs.mapInArrow(describe, f"doc_id {kind}, text_key long, n_shingles long, digest binary, signature array<long>")
 
 
 def whole_sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """digest, shingles of the classes in wanted (digest, rep), rebuilt from a text of each."""
+    """digest, shingles of the classes in wanted (digest, rep, rep_key), rebuilt from a text of each."""
     n = wanted.count()
-    reps = broadcast_if_small(wanted.select(F.col("rep").alias("doc_id")).distinct(), n, BROADCAST_IDS)
-    texts = docs.join(reps, "doc_id", "left_semi")
+    reps = broadcast_if_small(wanted.select("rep", "rep_key").distinct(), n, BROADCAST_IDS)
+    texts = docs.join(reps, docs["doc_id"].eqNullSafe(F.col("rep")) & (docs["text_key"] == F.col("rep_key")), "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -156,7 +156,7 @@ def whole_sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 )
 
     rebuilt = texts.mapInArrow(build, "digest binary, shingles array<long>")
-    # rows of one doc_id may have other sets; rows of one doc_id and set are one class
+    # rows without id may share a text
     return rebuilt.join(broadcast_if_small(wanted.select("digest"), n, BROADCAST_IDS), "digest", "left_semi").dropDuplicates(["digest"])
 
 
@@ -232,11 +232,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     all its words; null texts and texts without words have empty sets, link with nothing and stay. Null ids are never
     the smallest of others. Rows of one doc_id with other texts are rows of their own. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return decided(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle_words, similarity).drop("text_key", "group")
+
+
+def decided(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
+    """near_duplicates of docs (doc_id, text), with text_key, the text's hash, and group, equal for linked rows (null for
+    a text without words)."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     least = match_threshold(similarity / 100)
     rows = written(described(docs, shingle_words), "near-rows")
-    classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = written(classes, "near-classes")
+    classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep_row"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = written(classes.select("digest", F.col("rep_row.doc_id").alias("rep"), F.col("rep_row.text_key").alias("rep_key"), "copies", "n_shingles", "signature"), "near-classes")
 
     # posting lists of two classes or more
     postings = classes.select("digest", F.explode("signature").alias("value"))
@@ -251,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     prefix = prefix.withColumn("lists", F.collect_list("value").over(Window.partitionBy("digest")))  # COORDINATES values at most
 
     wanted = within.select(F.col("a").alias("digest")).unionAll(within.select("b")).unionAll(dense.select("digest")).distinct()
-    wanted = written(wanted.join(classes.select("digest", "rep"), "digest"), "near-wanted")
+    wanted = written(wanted.join(classes.select("digest", "rep", "rep_key"), "digest"), "near-wanted")
     sets = written(whole_sets(docs, shingle_words, wanted), "near-sets")
 
     # stars in the long lists
@@ -280,26 +286,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
 
     linked = classes.select("digest", "rep").join(labels, "digest")
     roots = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    grouped = linked.join(roots, "label").select("digest", "component_id")
-    copies = classes.where("copies > 1").select("digest", F.col("rep").alias("component_id")).join(labels, "digest", "left_anti")
+    grouped = linked.join(roots, "label").select("digest", "component_id", F.col("label").alias("group"))
+    copies = classes.where("copies > 1").select("digest", F.col("rep").alias("component_id"), F.col("digest").alias("group")).join(labels, "digest", "left_anti")
     found = written(grouped.unionAll(copies), "near-found")
     return (
-        rows.select("doc_id", "n_shingles", "digest")
+        rows.select("doc_id", "text_key", "n_shingles", "digest")
         .join(broadcast_if_small(found, found.count(), BROADCAST_LISTS), "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key", F.coalesce("group", "digest").alias("group"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that stay: of each group the row with the smallest doc_id, of equal
-    rows under that id one, and every row without words or id."""
-    decisions = written(near_duplicates(docs, shingle_words, similarity).where("kept"), "near-kept")
-    grouped = decisions.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
-    ids = grouped.select(F.col("doc_id").alias("__sightline_keep")).distinct()
+    """The rows of docs, all columns, that stay: of each group the row with the smallest doc_id, of rows under
+    that id one, and every row without words or id."""
+    decisions = written(decided(docs.select("doc_id", "text"), shingle_words, similarity).where("kept"), "near-kept")
+    leads = decisions.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
+    firsts = leads.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))
+    firsts = written(firsts.select(F.col("lead.doc_id").alias("__sightline_keep"), F.col("lead.text_key").alias("__sightline_key")), "near-leads")
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    n = grouped.count()
-    kept = docs.where(has_words).join(broadcast_if_small(ids, n, BROADCAST_IDS), docs["doc_id"] == F.col("__sightline_keep"), "left_semi")
-    if ids.count() < n:
+    n = firsts.count()
+    kept = docs.where(has_words).join(broadcast_if_small(firsts, n, BROADCAST_IDS), (docs["doc_id"] == F.col("__sightline_keep")) & (F.xxhash64(docs["text"]) == F.col("__sightline_key")), "left_semi")
+    if n < leads.count():
         kept = kept.withColumn("__sightline_nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))).where("__sightline_nth = 1").drop("__sightline_nth")
     return kept.unionAll(docs.where(~has_words))

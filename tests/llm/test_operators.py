@@ -324,6 +324,21 @@ def test_near_duplicates_edges(odd, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    words = [f"n{i}" for i in range(60)]
+    link = lambda a, b: " ".join([f"x{i}" for i in range(a)] + words[a : 60 - b] + [f"y{i}" for i in range(b)])
+    other = " ".join(f"o{i}" for i in range(40))
+    # 1 and 2 are linked through the text without id alone; 4 leads a group and repeats 3 under its own id
+    docs = [(1, link(6, 0)), (2, link(0, 6)), (None, link(0, 0)), (None, link(0, 0)), (3, other), (4, other), (4, other + " more"), (4, "alone " * 9 + "one"), (4, "alone " * 9 + "one"), (5, "alone " * 9 + "one")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_dup.near_duplicates(df, 3, 80).collect()}
+    assert [c for (i, _), c in got.items() if i in (1, 2, None)] == [1, 1, 1]
+    kept = [(r["doc_id"], r["text"]) for r in near_dup.one_of_each_group(df, 3, 80).collect()]
+    assert Counter(kept) == Counter([docs[0], docs[2], docs[3], docs[4], docs[7]])
+    one = spark.createDataFrame([(7, link(0, 0)), (7, link(0, 1)), (8, link(1, 0))], "doc_id long, text string")
+    assert near_dup.one_of_each_group(one, 3, 80).count() == 1
+
+
 def brute_cost(roles):
     """The cheapest legal sequence by search over all choices of (role, join, empties before) for each turn and the end."""
     best = None
