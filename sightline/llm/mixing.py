@@ -174,11 +174,11 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     text's length.
     """
     documents, _ = mix(docs, seed)
-    keep = documents.where("taken > 0").select(F.col("doc_id").alias("__sightline_id"), F.col("text_hash").alias("__sightline_hash"), F.col("place").alias("__sightline_place"), F.col("size").alias("__sightline_size"), F.col("taken").alias("__sightline_taken"), F.col("parts").alias("__sightline_parts"))
+    keep = documents.where("taken > 0").select(F.col("doc_id").alias("__sightline_id"), F.col("text_hash").alias("__sightline_hash"), F.col("place").alias("__sightline_place"), F.col("source").alias("__sightline_source"), F.col("size").alias("__sightline_size"), F.col("taken").alias("__sightline_taken"), F.col("parts").alias("__sightline_parts"))
     rows = docs.withColumn("__sightline_own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("__sightline_own_place", F.row_number().over(Window.partitionBy("doc_id", "__sightline_own_hash").orderBy("source")))
+    rows = rows.withColumn("__sightline_own_place", F.row_number().over(Window.partitionBy("doc_id", "__sightline_own_hash", "source").orderBy(F.lit(0))))
     # the place is compared beside the key, so that the window's partitioning serves the join too
-    joined = rows.join(keep, rows["doc_id"].eqNullSafe(keep["__sightline_id"]) & (F.col("__sightline_own_hash") == F.col("__sightline_hash")) & (F.col("__sightline_own_place") - F.col("__sightline_place") == 0))
+    joined = rows.join(keep, rows["doc_id"].eqNullSafe(keep["__sightline_id"]) & (F.col("__sightline_own_hash") == F.col("__sightline_hash")) & (F.col("__sightline_own_place") - F.col("__sightline_place") == 0) & rows["source"].eqNullSafe(keep["__sightline_source"]))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
 
     def part(least: int) -> Column:

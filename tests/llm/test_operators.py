@@ -134,6 +134,16 @@ def test_mixing(spark, odd, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_one_document_under_two_sources(spark):
+    docs = [(1, "both have these words", s) for s in ("a", "b", None)] + [(10 + i, f"w{i} " * 90, s) for i, s in enumerate(["a", "b", None] * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    taken = lambda rows: sorted(((r["doc_id"], str(r["source"]), r["n"]) for r in rows if r["n"]))
+    want = taken(mixing.mix(df)[0].withColumn("n", F.col("taken")).collect())
+    got = mixing.mixed_documents(df).withColumn("n", F.size(F.split("text", r"\s+"))).collect()
+    assert Counter((r["doc_id"], str(r["source"])) for r in got) == Counter((i, s) for i, s, _ in want)
+    assert sum(i == 1 for i, _, _ in want) > 1
+
+
 def test_source_targets():
     for sizes in ([100, 100, 100], [10, 1000, 500, 0], [5], []):
         targets = mixing.source_targets(sizes)
