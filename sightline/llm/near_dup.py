@@ -7,12 +7,14 @@ has a signature of COORDINATES values, each the hash of ROWS MinHash values, and
 * Longer lists are skipped in that merge. A pair that meets the match threshold m shares m values, so if one of its
   classes has fewer than m values with long lists, the two share a short list and were found there. Classes with m or
   more are dense; the rarest of their long lists (all but m - 1) are a prefix that every dense partner must share.
-* A dense class's own shingles, those that no other dense class has, bound its similarity with any other. In each
-  prefix list every class is held against the list's pivot, the class with the fewest own shingles; links found so far
-  are contracted to components; what is left are pairs of a class outside the list's largest component with the list's
-  classes of other components. Shingles that RARE dense classes have at most give the pairs that share any of them, and
-  how many; all other pairs share only frequent shingles. Both bounds are exact, and only pairs that they allow are made,
-  each in the first list that holds both.
+* Prefix lists join dense classes to families; a family may hold a third of all classes and is never held pair by pair.
+  A family's centre is the shingles that more than half of its classes have, and a class is written as its difference
+  from the centre. Two classes differ by what their differences do not share, so classes close to the centre are known
+  to be linked through the closest one, and any other pair must share the more of their differences the farther out it
+  lies. Differences, rarest shingle first, have a prefix in which any partner shares a shingle. The classes with a
+  shingle in their prefixes are a smaller family with a centre of its own, at most half as large, and so on until
+  families are small and give their pairs, or until their pairs are fewer than the families they would fall into. Equal
+  families are looked at once. All bounds are exact.
 
 Pairs are kept when at least m coordinates match, and become links when the whole sets, rebuilt from the texts, are as
 similar as asked. m is the largest number that a pair of exactly that similarity misses with a chance of MISS at most.
@@ -23,6 +25,7 @@ or component goes through the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -38,12 +41,11 @@ from .token_counts import slices
 COORDINATES = 32
 ROWS = 4
 SHORT = 8
-#: Shingles that so many dense classes have at most are looked at pair by pair.
-RARE = 8
+SALTS = 4
 MISS = 1e-7
 BROADCAST_LISTS = 1_000_000
-BROADCAST_IDS = 2_000_000
-SLICE_BYTES = 8_000_000
+BROADCAST_IDS = 1_000_000
+SLICE_BYTES = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -176,32 +178,68 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * F.col("common") >= similarity * F.col("all")).select("a", "b")
 
 
-def few_holders(sets: DataFrame, dense: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sizes, rare) of the dense classes.
+def refined(members: DataFrame, similarity: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(stars, pairs) as tables (a, b) of families: members has family, digest, size, label, apart.
 
-    rare: digest, shingle, n of shingles that at most RARE dense classes have, n being how many. sizes: digest, size,
-    own (shingles that no other dense class has) and few (those in rare).
+    apart is the class's set, or its difference from any set that its family has in common. stars are linked, as the
+    sizes of differences prove. pairs holds all other pairs that can be linked and have different labels, where classes
+    of one label are known to be of one component.
     """
-    held = sets.join(dense.select("digest"), "digest", "left_semi")
-    each = held.select("digest", F.explode("shingles").alias("shingle"))
-    rare = written(each.join(each.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "shingle"), "near-rare")
-    counts = rare.groupBy("digest").agg(F.count_if(F.col("n") == 1).alias("own"), F.count("*").alias("few"))
-    none = F.lit(0).cast("long")
-    return held.select("digest", F.size("shingles").alias("size")).join(counts, "digest", "left").select("digest", "size", F.coalesce("own", none).alias("own"), F.coalesce("few", none).alias("few")), rare
-
-
-def may_link(similarity: int, own: str, shared=0):
-    """Whether two classes can be as similar as asked if they share only `shared` of the shingles counted in own."""
-    common = F.least(F.col("size") - F.col(own), F.col("size_p") - F.col(f"{own}_p")) + shared
-    return 100 * common >= similarity * (F.col("size") + F.col("size_p") - common)
-
-
-def rare_pairs(rare: DataFrame, labelled: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes of different components that share shingles of few holders and, with these, can be similar enough."""
-    named = rare.where("n > 1").join(labelled.select("digest", "label", "size", "few").distinct(), "digest").select("shingle", "digest", "label", "size", "few")
-    both = named.join(named.toDF("shingle", "p", "label_p", "size_p", "few_p"), "shingle").where("digest < p and label <> label_p")
-    both = both.groupBy("digest", "p", "size", "few", "size_p", "few_p").agg(F.count("*").alias("shared"))
-    return both.where(may_link(similarity, "few", F.col("shared"))).select(*ordered("digest", "p"))
+    more, less = F.lit(100 + similarity).cast("long"), F.lit(100 - similarity).cast("long")
+    stars, pairs = [], []
+    while not members.isEmpty():
+        each = members.select("family", F.explode("apart").alias("shingle"))
+        sizes = written(members.groupBy("family").agg(F.count("*").alias("n")), "near-families")
+        n_families = sizes.count()
+        held = each.groupBy("family", "shingle").agg(F.count("*").alias("held")).where("held > 1")
+        held = written(held.join(broadcast_if_small(sizes, n_families, BROADCAST_IDS), "family"), "near-held")
+        # a centre has fewer than twice the shingles of its family's classes on average
+        centres = written(held.where("2 * held > n").groupBy("family").agg(F.collect_list("shingle").alias("centre")), "near-centres")
+        bulk = centres.agg(F.sum(F.size("centre"))).first()[0] or 0
+        common = F.coalesce("centre", F.array().cast("array<long>"))
+        moved = members.join(broadcast_if_small(sizes, n_families, BROADCAST_IDS), "family").join(broadcast_if_small(centres, bulk, BROADCAST_IDS), "family", "left")
+        moved = moved.select("family", "n", "digest", "size", "label", F.concat(F.array_except("apart", common), F.array_except(common, "apart")).alias("apart"))
+        moved = written(moved.withColumn("excess", more * F.size("apart") - less * F.col("size")), "near-moved")
+        closest = moved.groupBy("family").agg(F.min(F.struct("excess", "digest", "label")).alias("p")).select("family", F.col("p.excess").alias("excess_p"), F.col("p.digest").alias("p"), F.col("p.label").alias("label_p"))
+        placed = moved.join(broadcast_if_small(closest, n_families, BROADCAST_IDS), "family")
+        near = F.col("excess") + F.col("excess_p") <= 0
+        stars.append(written(placed.where(near & (F.col("digest") != F.col("p"))).select(*ordered("digest", "p")).distinct(), "near-stars"))
+        # a partner shares so much of the difference: by the family's least excess, and by the partner's size
+        shared = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("excess_p")) / (2 * more)), F.ceil((similarity * F.col("excess") - 100 * less * F.col("size")) / (similarity * more)))
+        placed = placed.withColumn("label", F.when(near, F.col("label_p")).otherwise(F.col("label"))).withColumn("prefix", (F.size("apart") - shared + 1).cast("int"))
+        placed = written(placed.drop("excess", "excess_p", "p", "label_p"), "near-placed")
+
+        # classes by the shingles of their prefixes
+        often = held.select("family", "shingle", F.when(F.expr("2 * held > n"), F.col("n") - F.col("held")).otherwise(F.col("held")).alias("held"))
+        spread = placed.where("prefix > 0").select("family", "n", "digest", "size", "label", "prefix", F.explode("apart").alias("shingle"))
+        ranked = spread.join(often, ["family", "shingle"], "left").withColumn("held", F.coalesce("held", F.lit(1).cast("long")))
+        ranked = ranked.groupBy("family", "n", "digest", "size", "label", "prefix").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+        ranked = ranked.select("family", "n", "digest", "size", "label", F.explode(F.filter(F.slice("order", F.lit(1), F.col("prefix")), lambda x: x["held"] > 1)["shingle"]).alias("shingle"))
+        ranked = written(ranked, "near-ranked")
+        lists = ranked.groupBy("family", "shingle").agg(F.first("n").alias("n"), F.count("*").alias("n_next"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+        lists = lists.where("low <> high").groupBy("n_next", "x", "y").agg(F.min(F.struct("family", "shingle", "n")).alias("l"))
+        lists = written(lists.select("l.*", "n_next", F.concat_ws("-", F.hex("x"), F.hex("y"), "n_next").alias("next")), "near-next")
+        work = F.sum(F.when(F.col("n_next") <= SHORT, F.expr("n_next * (n_next - 1) / 2")).otherwise(F.col("n_next")))
+        flat = written(lists.groupBy("family", "n").agg(work.alias("work")).where("work >= n * (n - 1) / 2").select("family"), "near-flat")
+        n_flat, n_lists = flat.count(), lists.count()
+        lists = lists.join(broadcast_if_small(flat, n_flat, BROADCAST_IDS), "family", "left_anti").drop("n")
+        one = ranked.drop("n").join(broadcast_if_small(lists, n_lists, BROADCAST_IDS), ["family", "shingle"])
+        short = one.where(F.col("n_next") <= SHORT).select("next", "digest", "size", "label")
+        pairs.append(written(in_family(short, "next", similarity).distinct(), "near-pairs"))
+        if n_flat:
+            whole = placed.join(broadcast_if_small(flat, n_flat, BROADCAST_IDS), "family", "left_semi").select("family", "digest", "size", "label")
+            pairs.append(written(in_family(whole, "family", similarity).distinct(), "near-pairs"))
+        going = one.where(F.col("n_next") > SHORT).select("family", "digest", "next")
+        members = written(placed.join(going, ["family", "digest"]).select(F.col("next").alias("family"), "digest", "size", "label", "apart"), "near-next-members")
+    return stars, pairs
+
+
+def in_family(rows: DataFrame, family: str, similarity: int) -> DataFrame:
+    """Pairs (a, b) of rows of one family that differ in label and whose sizes allow the similarity; SALTS tasks share a family."""
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    right = rows.toDF(family, "p", "size_p", "label_p").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    both = left.join(right, [family, "salt"]).where("digest < p and label <> label_p")
+    return both.where(100 * F.least("size", "size_p") >= similarity * F.greatest("size", "size_p")).select(*ordered("digest", "p"))
 
 
 def ordered(a: str, b: str):
@@ -254,35 +292,20 @@ def decided(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
     by_rarity = Window.partitionBy("digest").orderBy("n_list", "value")
     dense = written(long.groupBy("digest").agg(F.count("*").alias("n_long")).where(F.col("n_long") >= least), "near-dense")
     prefix = long.join(dense, "digest").withColumn("rank", F.row_number().over(by_rarity)).where(F.col("rank") <= F.col("n_long") - (least - 1)).select("value", "digest")
-    prefix = prefix.withColumn("lists", F.collect_list("value").over(Window.partitionBy("digest")))  # COORDINATES values at most
+    prefix = written(prefix, "near-prefix")
 
     wanted = within.select(F.col("a").alias("digest")).unionAll(within.select("b")).unionAll(dense.select("digest")).distinct()
     wanted = written(wanted.join(classes.select("digest", "rep", "rep_key"), "digest"), "near-wanted")
     sets = written(whole_sets(docs, shingle_words, wanted), "near-sets")
 
-    # stars in the long lists
-    sizes, rare = few_holders(sets, dense)
-    prefix = written(prefix.join(sizes, "digest"), "near-prefix")
-    pivots = prefix.groupBy("value").agg(F.min(F.struct("own", "digest", "size")).alias("p")).select("value", F.col("p.digest").alias("p"), F.col("p.own").alias("own_p"), F.col("p.size").alias("size_p"))
-    stars = prefix.join(pivots, "value").where((F.col("digest") != F.col("p")) & may_link(similarity, "own")).select(*ordered("digest", "p")).distinct()
-    stars = matching(stars.join(within, ["a", "b"], "left_anti"), classes, least, similarity)
-    links = written(confirmed(within.unionAll(stars), sets, similarity), "near-links")
-    labels = components(links)
-
-    # what stars left apart
-    labelled = written(prefix.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "near-labelled")
-    parts = labelled.groupBy("value", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("value", F.col("top.label").alias("main"))
-    outside = labelled.join(largest, "value").where(F.col("label") != F.col("main"))
-    outside = outside.select(F.col("value").alias("value_p"), "main", F.col("digest").alias("p"), F.col("label").alias("label_p"), F.col("few").alias("few_p"), F.col("size").alias("size_p"), F.col("lists").alias("lists_p"))
-    once = (F.col("digest") < F.col("p")) | (F.col("label") == F.col("main"))  # of two outside, one way round
-    first = F.col("value") == F.array_min(F.array_intersect("lists", "lists_p"))  # of the lists that both are in
-    rest = labelled.join(outside, (F.col("value") == F.col("value_p")) & (F.col("label") != F.col("label_p")) & once & may_link(similarity, "few") & first).select(*ordered("digest", "p"))
-    rest = written(rest.unionAll(rare_pairs(rare, labelled, similarity)).distinct(), "near-rest")
-    more = written(confirmed(matching(rest, classes, least, similarity), sets, similarity), "near-more")
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        labels = components(links)
+    # families of dense classes
+    hubs = prefix.groupBy("value").agg(F.min("digest").alias("hub"))
+    kin = components(prefix.join(hubs, "value").where(F.col("digest") != F.col("hub")).select(*ordered("digest", "hub")).distinct())
+    members = sets.join(kin, "digest").select(F.hex("label").alias("family"), "digest", F.size("shingles").alias("size"), F.col("digest").alias("label"), F.col("shingles").alias("apart"))
+    stars, pairs = refined(written(members, "near-members"), similarity)
+    pairs = reduce(DataFrame.unionAll, pairs, within.limit(0)).distinct().join(within, ["a", "b"], "left_anti")
+    links = confirmed(within.unionAll(matching(pairs, classes, least, similarity)), sets, similarity)
+    labels = components(written(reduce(DataFrame.unionAll, stars, links), "near-links"))
 
     linked = classes.select("digest", "rep").join(labels, "digest")
     roots = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
