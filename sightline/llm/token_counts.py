@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: The tokenizer's contractions; a prefix of one is two pieces.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-CACHE_ENTRIES = 500_000
-SLICE_BYTES = 16_000_000
+#: Bytes of all caches of a worker, and the longest string that they keep.
+CACHE_BYTES = 96_000_000
+LONGEST_KEPT = 64
+SLICE_BYTES = 8_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,21 +39,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Kept(dict):
+    """A cache of short strings' results; it takes no more once what it holds comes to about `limit` bytes."""
+
+    ENTRY = 200  # of a key, a value and their place, besides their characters
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.left = limit
+
+    def keep(self, key, n_chars: int, value) -> None:
+        if n_chars <= LONGEST_KEPT and self.left > 0:
+            self[key] = value
+            self.left -= self.ENTRY + 2 * n_chars
+
+
 class PrefixCounter:
-    """Token count changes per code point of pieces of text; one per Python worker, its caches hold a fixed number of entries."""
+    """Token count changes per code point of pieces of text; one per Python worker, with caches of cache_bytes in all."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.tails = {t[i:] for t in self.vocab for i in range(len(t))}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.entries = entries
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
+        self.follows, self.words, self.pieces = (Kept(cache_bytes // 3) for _ in range(3))
         self.letters = byte_letters()
         self.ascii = {b: self.letters[b] for b in range(128)}
         self.done = ("", [0], [""])
@@ -59,8 +74,7 @@ class PrefixCounter:
     def may_follow(self, a: str, b: str) -> bool:
         tokens = self.model.tokenize(a + b)
         known = len(tokens) == 2 and tokens[0].value == a
-        if len(self.follows) < 4 * self.entries:
-            self.follows[a, b] = known
+        self.follows.keep((a, b), len(a) + len(b), known)
         return known
 
     def prefix_counts(self, w: str) -> list[int]:
@@ -91,7 +105,7 @@ class PrefixCounter:
                         break
             counts.append(counts[begin] + 1)
             last.append(t)
-        self.done = (w, counts, last)
+        self.done = (w, counts, last) if len(w) <= LONGEST_KEPT else ("", [0], [""])
         return counts
 
     def word(self, w: str) -> bytes:
@@ -105,21 +119,21 @@ class PrefixCounter:
                 ends = [0, *accumulate(len(c.encode()) for c in w)]
                 counts = [counts[i] for i in ends]
             found = bytes([(y - x) & 255 for x, y in pairwise(counts)])
-            if len(self.words) < self.entries:
-                self.words[w] = found
+            self.words.keep(w, len(w), found)
         return found
 
     def piece(self, p: str) -> bytes:
         """Count changes per code point of a run of white space with what follows it up to the next white space."""
         found = self.pieces.get(p)
         if found is None:
-            found = self.encoded_prefixes(p) if any(s in p for s in self.special) else self.cut(p)
-            if len(self.pieces) < self.entries:
-                self.pieces[p] = found
+            found = self.around_special(p) if self.special.search(p) else self.cut(p)
+            self.pieces.keep(p, len(p), found)
         return found
 
     def cut(self, p: str) -> bytes:
         """Pre-token by pre-token; white space before the first counts as one pre-token as long as nothing follows."""
+        if not p:
+            return b""
         words = _LATIN.findall(p) if _LATIN_ONLY.fullmatch(p) else [p[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(p)]
         space = len(p) - len(p.lstrip(UNICODE_SPACE))
         out, first = b"", 0
@@ -140,10 +154,18 @@ class PrefixCounter:
             out += deltas
         return out
 
-    def encoded_prefixes(self, p: str) -> bytes:
-        """The rare piece that holds a special string: the library encodes each prefix."""
-        counts = [0, *(len(e) for e in self.tokenizer.encode_batch([p[:i] for i in range(1, len(p) + 1)], add_special_tokens=False))]
-        return np.diff(counts).astype(np.int8).tobytes()
+    def around_special(self, p: str) -> bytes:
+        """A piece that holds special strings, each one token: the library encodes what is between them apart.
+
+        Until its last code point a special string is plain text after what is before it.
+        """
+        out, at = [], 0
+        for m in self.special.finditer(p):
+            open_ = self.cut(p[at : m.end() - 1])
+            plain = m.start() - at
+            out += [open_, bytes([(total(open_[:plain]) + 1 - total(open_)) & 255])]
+            at = m.end()
+        return b"".join([*out, self.cut(p[at:])])
 
 
 _PIECES = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+")
@@ -210,6 +232,7 @@ def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.Record
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in pairwise(edges):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +241,7 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024,
     prefix_deltas has one signed byte per code point; its running sum is the exact token count of every prefix, as the
     tokenizers library gives it without added tokens. fit_chars is the length of the longest prefix within limit
     tokens. Null text counts as empty: no bytes, no tokens. Repeated rows give repeated results; other columns of docs
-    are not read. There is no shuffle, and a worker holds a bounded cache and one slice of a batch.
+    are not read. There is no shuffle, and a worker holds caches of CACHE_BYTES and one slice of a batch.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

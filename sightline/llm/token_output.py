@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import broadcast_if_small, written
-from .token_counts import byte_letters, slices
+from .token_counts import Kept, byte_letters, slices
 
 #: Fixed values of the format: ids and bits of each for selectors 2 to 15.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 0
 BLOCK_IDS = 256
 PAGE_BYTES = 4_000_000
-CACHE_ENTRIES = 60_000
+CACHE_BYTES = 24_000_000
 BROADCAST_PAGES = 500_000
 PAGE_SCHEMA = "shard long, page long, n_ids long, doc_ids array<long>, doc_lengths array<long>, block_words array<int>, payload binary"
 
@@ -130,20 +130,18 @@ def decode_ids(payload: bytes, block_words: np.ndarray, n_ids: int) -> np.ndarra
 
 
 class WordEncoder:
-    """Ids of words between white space, which the tokenizer drops; bounded caches in each Python worker.
+    """Ids of words between white space, which the tokenizer drops; caches of CACHE_BYTES in each Python worker.
 
     A word of ASCII and Latin-1 letters is cut into pre-tokens here and the library's model encodes each new one; any
     other word, and any with a special string, goes through the whole library. The equality of both ways is tested.
     """
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.entries = entries
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(cache_bytes // 2), Kept(cache_bytes // 2)
         self.letters = byte_letters()
 
     def piece(self, p: str) -> bytes:
@@ -151,8 +149,7 @@ class WordEncoder:
         if found is None:
             mapped = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
             found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.pieces) < self.entries:
-                self.pieces[p] = found
+            self.pieces.keep(p, len(p), found)
         return found
 
     def word(self, w: str) -> bytes:
@@ -162,8 +159,7 @@ class WordEncoder:
                 found = b"".join(map(self.piece, _LATIN.findall(w.lower())))
             else:
                 found = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(self.words) < self.entries:
-                self.words[w] = found
+            self.words.keep(w, len(w), found)
         return found
 
 
@@ -200,7 +196,7 @@ def write_token_pages(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     """Encode every text, append end_id, and write pages of Simple-8b words to the shared folder; returns the written pages.
 
     Shards are ranges of doc_id and a page's shard and number give its place, so the pages in that order have ascending
-    doc_id. Null ids come first; rows of one id are in text order. Null text counts as empty and has the end id alone.
+    doc_id, which is a number and kept as long. Null ids come first; rows of one id are in the order of their texts' hashes. Null text counts as empty and has the end id alone.
     A text is never split between pages: a page has about PAGE_BYTES of text, or one longer text.
     """
 
