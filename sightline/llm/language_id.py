@@ -5,8 +5,8 @@ both texts' distinct n-grams: a blended-spectrum presence kernel. Nystrom landma
 one-versus-rest kernel ridge regression on the landmarks' feature map gives a weight per landmark and language. A batch
 of texts is scored by one product of its n-gram presence with the landmarks' and one with the weights.
 
-Training uses SAMPLE_PER_LANGUAGE texts of each language at most, those with the smallest hash of doc_id, and
-LANDMARKS_PER_LANGUAGE of these as landmarks. Scoring reads every whole text.
+Training uses BUCKETS * PER_BUCKET distinct rows of each language at most, those with the smallest hashes in each bucket
+of hashes, and LANDMARKS_PER_LANGUAGE of these as landmarks; rows that repeat count once. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import broadcast_if_small, written
 from .quality import held_out
 
-SAMPLE_PER_LANGUAGE = 400
+BUCKETS = 64
+PER_BUCKET = 8
+BROADCAST_SAMPLE = 200_000
 LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-2
 ORDERS = (1, 2, 3)
@@ -103,21 +106,25 @@ class LanguageModel:
 def fit(docs: DataFrame) -> LanguageModel:
     """Learn from docs' text and lang, in folds other than 2 of 4."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE)
-    picked = picked.select("doc_id", F.col("lang").alias("learned"), "rank")
-    sample = docs.join(F.broadcast(picked), "doc_id").where(F.col("lang") == F.col("learned"))  # SAMPLE_PER_LANGUAGE rows a language
+    known = known.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("lang").alias("learned")).withColumn("hash", F.xxhash64("doc_id", "text_hash"))
+    in_bucket = Window.partitionBy("learned", F.pmod("hash", F.lit(BUCKETS))).orderBy("hash", "doc_id")
+    picked = known.withColumn("rank", F.row_number().over(in_bucket)).where(F.col("rank") <= PER_BUCKET).drop("rank").distinct()
+    # BUCKETS * PER_BUCKET rows a language from here on
+    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("learned").orderBy("hash", "doc_id")))
+    picked = written(picked, "language-picked")
+    keyed = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash")).join(broadcast_if_small(picked, picked.count(), BROADCAST_SAMPLE), ["doc_id", "text_hash"]).where(F.col("lang") == F.col("learned"))
+    sample = keyed.groupBy("lang", "doc_id", "text_hash", "rank").agg(F.first("text").alias("text"))  # copies of a row become one before the shuffle
+    sample = written(sample, "language-sample")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [grams(t.as_py()) for t in batch.column("text")]
             columns = [pa.array([s[k] for s in sets], pa.list_(pa.int32())) for k in range(len(ORDERS))]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), *columns], names=["lang", "doc_id", "g1", "g2", "g3"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), *columns], names=["lang", "rank", "g1", "g2", "g3"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    marks = sample.where(F.col("rank") <= LANDMARKS_PER_LANGUAGE).select("lang", "doc_id", "text")
-    rows = marks.mapInArrow(gather, f"lang string, doc_id {kind}, g1 array<int>, g2 array<int>, g3 array<int>").collect()  # LANDMARKS_PER_LANGUAGE rows a language
-    rows.sort(key=lambda r: (r["lang"], str(r["doc_id"])))
+    marks = sample.where(F.col("rank") <= LANDMARKS_PER_LANGUAGE).select("lang", "rank", "text")
+    rows = marks.mapInArrow(gather, "lang string, rank int, g1 array<int>, g2 array<int>, g3 array<int>").collect()  # LANDMARKS_PER_LANGUAGE rows a language
+    rows.sort(key=lambda r: (r["lang"], r["rank"]))
     sets = [[np.array(r[g], np.int32) for g in ("g1", "g2", "g3")] for r in rows]
     landmarks = Landmarks.of(sets)
 
@@ -126,10 +133,10 @@ def fit(docs: DataFrame) -> LanguageModel:
             for i in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(i, BATCH_ROWS)
                 k = landmarks.kernel([grams(t.as_py()) for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("doc_id"), pa.array(list(k.astype(np.float64)), pa.list_(pa.float64()))], names=["lang", "doc_id", "k"])
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("rank"), pa.array(list(k.astype(np.float64)), pa.list_(pa.float64()))], names=["lang", "rank", "k"])
 
-    train = sample.select("lang", "doc_id", "text").mapInArrow(kernel, f"lang string, doc_id {kind}, k array<double>").collect()  # SAMPLE_PER_LANGUAGE rows a language
-    train.sort(key=lambda r: (r["lang"], str(r["doc_id"])))
+    train = sample.select("lang", "rank", "text").mapInArrow(kernel, "lang string, rank int, k array<double>").collect()  # BUCKETS * PER_BUCKET rows a language
+    train.sort(key=lambda r: (r["lang"], r["rank"]))
     languages = sorted({r["lang"] for r in train})
     if not sets or not train:
         return LanguageModel([], landmarks, np.zeros((0, 0)))
