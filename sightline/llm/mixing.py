@@ -122,7 +122,7 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
 
     # place of each document in its source's stream: sums of chunks first, then within a chunk
     chunks = max(1, -(-sum(r["rows"] for r in totals) // CHUNK_ROWS))
-    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
     in_source = Window.partitionBy("source_no").orderBy("chunk")
     starts = sized.groupBy("source_no", "chunk").agg(F.sum("size").alias("words")).select("source_no", "chunk", (F.sum("words").over(in_source) - F.col("words")).alias("chunk_start"))
     order = ["doc_id", "text_hash", "size"]
