@@ -25,7 +25,7 @@ N = len(STATISTICS)
 PRIOR = 20
 SHRINK_POOLED = 0.3
 SHRINK_DIAGONAL = 0.1
-BROADCAST_LABELS = 5_000_000
+BROADCAST_LABELS = 1_000_000
 
 
 def _logit(x: float, n: float, usual: float) -> float:
