@@ -50,13 +50,34 @@ def test_token_counts_of_whole_texts(spark, odd, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BPE)
-    for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet").limit(60)):
+    for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
         want = Counter((i, len(library.encode(t or "", add_special_tokens=False)), len((t or "").encode())) for i, t in texts(docs))
         got = Counter((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in token_counts.prefix_token_counts(docs, BPE).collect())
         assert got == want
     assert token_counts.prefix_token_counts(empty, BPE).count() == 0
 
 
+def test_token_counts_of_long_pieces(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    rng = random.Random(5)
+    short = "".join(rng.choices("abcde", k=300)) + "<|endoftext|>" + "x<|endof" + "<|endoftext|><|endoftext|>" + "".join(rng.choices("fgh12!", k=200))
+    long = "".join(rng.choices("abcdefghij", k=1_000_000))
+    long = long[:400_000] + "<|endoftext|>" + long[400_000:]
+    df = spark.createDataFrame([(1, short), (2, long), (3, " \n" + short)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_counts.prefix_token_counts(df, BPE).collect()}
+    for i, t in ((1, short), (3, " \n" + short)):
+        assert [token_counts.tokens_at(got[i]["prefix_deltas"], k) for k in range(len(t) + 1)] == [len(library.encode(t[:k], add_special_tokens=False)) for k in range(len(t) + 1)]
+    assert got[2]["n_tokens"] == len(library.encode(long, add_special_tokens=False))
+    counts = token_counts.counter(BPE)
+    assert max(map(len, counts.words), default=0) <= token_counts.LONGEST_KEPT
+    small = token_counts.PrefixCounter(BPE, 3_000)
+    for k in range(100):
+        small.piece(f"word{k}")
+    assert 0 < len(small.pieces) < 10
+
+
 @pytest.mark.parametrize("hot_rows", [1, 500])
 def test_exact_duplicates(odd, empty, hot_rows):
     groups = defaultdict(list)
@@ -230,6 +251,17 @@ def test_language(spark, odd, empty):
     assert language_id.predicted_languages(empty).count() == 0
 
 
+def test_language_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(language_id, "written", lambda df, label: kept.setdefault(label, df.cache()))
+    base = spark.range(60).selectExpr("id as doc_id", "concat('alpha beta gamma delta ', cast(id as string)) as text", "if(id % 2 = 0, 'aa', 'bb') as lang", "'s' as source", "0L as n_chars")
+    many = base.unionAll(base.selectExpr("doc_id", "concat(text, ' other') as text", "lang", "source", "n_chars").crossJoin(spark.range(40)).drop("id"))
+    language_id.fit(many.repartition(8))
+    learned = many.select("doc_id", "text", "lang").where(~quality.held_out("doc_id", 4, 2)).distinct()
+    assert kept["language-sample"].count() <= learned.count() and kept["language-picked"].groupBy("learned").count().where(f"count > {language_id.BUCKETS * language_id.PER_BUCKET}").count() == 0
+    assert kept["language-sample"].count() == kept["language-picked"].count()
+
+
 def test_line_dedup(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen, want = set(), {}
@@ -322,6 +354,57 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert got == sorted(brute_components(docs, 3, 85))
 
 
+def templated(kind, n):
+    """Texts of one template of 200 words: 40 kinds of words in fixed slots or anywhere, put in, or paragraphs left out."""
+    rng = random.Random(17)
+    base = [f"t{i}" for i in range(200)]
+    slots = rng.sample(range(5, 195), 8)
+    docs = []
+    for i in range(n):
+        words = list(base)
+        if kind == "slots":
+            for at in slots:
+                words[at] = f"k{rng.randrange(40)}"
+        elif kind == "changed":
+            for at in rng.sample(range(200), 5):
+                words[at] = f"k{rng.randrange(40)}"
+        elif kind == "put in":
+            for at in sorted(rng.sample(range(200), 6), reverse=True):
+                words.insert(at, f"k{rng.randrange(40)}")
+        else:
+            words = [w for p in range(20) if rng.random() < 0.85 for w in base[10 * p : 10 * p + 10]]
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("kind", ["slots", "changed", "put in", "left out"])
+def test_near_duplicates_of_a_template(spark, kind):
+    docs = templated(kind, 200)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect())
+    assert got == sorted(brute_components(docs, 3, 85))
+
+
+def test_candidates_of_a_template_grow_with_its_documents(spark, monkeypatch):
+    rows = []
+    write = near_dup.written
+
+    def counted(df, label):
+        out = write(df, label)
+        if label in ("near-pairs", "near-within", "near-next-members", "near-stars"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    made = []
+    for n in (500, 1000, 2000):
+        rows.clear()
+        df = spark.createDataFrame(templated("slots", n), "doc_id long, text string").repartition(8)
+        near_dup.near_duplicates(df, 3, 85).write.format("noop").mode("overwrite").save()
+        made.append(sum(rows))
+    print(made)
+    assert made[1] <= 3 * made[0] and made[2] <= 3 * made[1] and made[2] < 0.1 * 2000 * 1999 / 2
+
+
 def test_near_duplicates_edges(odd, empty):
     got = near_dup.near_duplicates(odd, 5, 80).collect()
     assert len(got) == odd.count()
