@@ -16,6 +16,12 @@ def float_hex(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or pd.isna(v) else float(v).hex())
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def hex_list(x: pd.Series) -> pd.Series:
+    """Exact text forms of an array of doubles."""
+    return x.map(lambda v: None if v is None else [float(y).hex() for y in v])
+
+
 @F.pandas_udf(T.DoubleType())
 def exact_sum(x: pd.Series) -> pd.Series:
     """Correctly rounded sum of an array of doubles; order does not matter."""

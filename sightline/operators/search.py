@@ -1,21 +1,26 @@
 """Top-K feasible routes across blind gaps.
 
 Edge lengths are positive, so in best-first order every state comes after its parent, and the order in which a heap
-would give states up is their sorted order. All states are therefore made set by set, one set for each number of cited
-edges, and ranks take the heap's place: the budget of expanded states, the K-th route and a branch that is too wide are
-events at a rank, and the earliest one ends the search.
+would give states up is their sorted order. That order depends on the start alone: a request's speed, length and detour
+bounds are bounds of distance, so it sees the beginning of its start's order. Each start's order is made once for all of
+its requests, band of distance by band of distance, and no further than the largest budget of expanded states. Ranks
+take the heap's place: the budget, the K-th route and a branch that is too wide are events at a rank, and the earliest
+one ends a request's search.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrow import canonical_id, exact_sum, float_hex
+from ..functions.arrow import exact_sum, float_hex, hex_list
 from ..functions.columns import exceeds, finite
 from ..plans.tables import materialised
 from ..sources.schemas import FEASIBILITY_FLAGS
+from . import navigation
 from .navigation import with_lengths
 
 KEY = ("distance", "edge_ids", "transition_ids", "camera", "node")
@@ -55,107 +60,161 @@ def transition_routes(transitions: DataFrame, edges: DataFrame) -> DataFrame:
     return transitions.join(cited, "transition_id").select("transition_id", F.col("from_camera_id").alias("camera"), F.col("navigation_from_node_id").alias("node"), F.col("to_camera_id").alias("to_camera"), F.col("navigation_to_node_id").alias("to_node"), F.col("navigation_edge_ids").alias("step_edges"), "step_lengths")
 
 
-def search(requests: DataFrame, transitions: DataFrame, edges: DataFrame, max_levels: int = 1000) -> tuple[DataFrame, DataFrame]:
+START, END = ("start_camera", "start_node"), ("end_camera", "end_node")
+
+
+def walk_orders(starts: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranked, made) of starts (start_camera, start_node, budget, reach).
+
+    ranked: a start's states by rank, up to one more than its budget, with camera, node, distance, edge_ids and
+    transition_ids. made: the lengths far of all walks that grow out of states within the budget, and the least rank
+    that each grows out of. Walks longer than reach are in made alone.
+
+    Nothing grows out of a state by less than the shortest move. So of a start's pending states all that are less than
+    that beyond the nearest one are ranked in one round. A start keeps as many pending states as it has ranks left.
+    """
+    shortest = moves.agg(F.min(F.aggregate("step_lengths", F.lit(0.0), lambda s, x: s + x))).first()[0] or 1.0
+    none = F.array().cast("array<string>")
+    pending = starts.select(*START, "budget", "reach", F.lit(0).cast("long").alias("before"), F.col("start_camera").alias("camera"), F.col("start_node").alias("node"), F.lit(0.0).alias("distance"), none.alias("edge_ids"), none.alias("transition_ids"), F.array().cast("array<double>").alias("lengths"), F.lit(0).cast("long").alias("parent"), F.lit("").alias("via"))
+    pending = materialised(pending, "pending")
+    ranked, made = [], []
+    first = Window.partitionBy(*START, "camera", "node", "edge_ids").orderBy("parent", "via")
+    of_start = Window.partitionBy(*START)
+    while not pending.isEmpty():
+        near = pending.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+        near = near.withColumn("rank", F.col("before") + F.row_number().over(of_start.orderBy(*KEY))).where(F.col("rank") <= F.col("budget") + 1)
+        near = near.withColumn("final", F.col("distance") < F.min("distance").over(of_start) + shortest * (1 - 1e-9))
+        near = materialised(near.withColumn("after", F.col("before") + F.sum(F.col("final").cast("long")).over(of_start)), "near")
+        now = near.where("final")
+        ranked.append(now.select(*START, "rank", "camera", "node", "distance", "edge_ids", "transition_ids"))
+        grown = now.where(F.col("rank") <= F.col("budget")).join(moves, ["camera", "node"]).withColumn("all_lengths", F.concat("lengths", "step_lengths"))
+        grown = grown.select(*START, "budget", "reach", F.col("after").alias("before"), F.col("to_camera").alias("camera"), F.col("to_node").alias("node"), exact_sum(F.col("all_lengths")).alias("distance"), F.concat("edge_ids", "step_edges").alias("edge_ids"), F.concat("transition_ids", F.array("transition_id")).alias("transition_ids"), F.col("all_lengths").alias("lengths"), F.col("rank").alias("parent"), F.col("transition_id").alias("via"))
+        grown = materialised(grown, "grown")
+        made.append(grown.select(*START, F.col("distance").alias("far"), "parent"))
+        rest = near.where(~F.col("final")).withColumn("before", F.col("after")).drop("rank", "final", "after")
+        pending = materialised(rest.unionByName(grown.where(~exceeds(F.col("distance"), F.col("reach")))).where(F.col("before") <= F.col("budget")), "pending")
+    made = reduce(DataFrame.unionByName, made).groupBy(*START, "far").agg(F.min("parent").alias("parent"))
+    return materialised(reduce(DataFrame.unionByName, ranked), "ranked"), materialised(made, "made")
+
+
+def search(requests: DataFrame, transitions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(results, routes) of requests (sources.schemas.SEARCH_REQUESTS).
 
     results: request_id, termination_reason, expanded_nodes, complete, n_candidates, rejections. routes: request_id,
     rank, edge_ids, transition_ids, distance, minimum_time, estimated_time, slack.
     """
     moves = materialised(transition_routes(transitions, edges), "moves")
-    branch = moves.groupBy("camera", "node").agg(F.count("*").alias("n_branches"))
-    goal = (F.col("camera") == F.col("end_camera")) & (F.col("node") == F.col("end_node"))
-    empty_s, empty_d = F.array().cast("array<string>"), F.array().cast("array<double>")
-    pending = requests.select(
-        "request_id", F.col("start_camera").alias("camera"), F.col("start_node").alias("node"), F.lit(0.0).alias("distance"), empty_s.alias("edge_ids"), empty_s.alias("transition_ids"), empty_d.alias("lengths"),
-        F.struct(F.lit(-1.0).alias("distance"), empty_s.alias("edge_ids"), empty_s.alias("transition_ids"), F.lit("").alias("camera"), F.lit("").alias("node")).alias("parent"), F.lit("").alias("via"),
-    )
-    pending = materialised(pending, "pending")
-    done: list[DataFrame] = []
-    pruned: list[DataFrame] = []
-    limits = requests.select("request_id", "max_path_length_m", (F.col("max_speed_m_s") * F.col("gap_s")).alias("reach_m"))
-    for level in range(max_levels):
-        here = pending.where(F.size("edge_ids") == level)
-        first = Window.partitionBy("request_id", "camera", "node", "edge_ids").orderBy("parent", "via")
-        here = materialised(here.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"), "states")
-        done.append(here)
-        grown = here.join(moves, ["camera", "node"]).join(limits, "request_id")
-        grown = grown.withColumn("all_lengths", F.concat("lengths", "step_lengths")).withColumn("far", exact_sum(F.col("all_lengths")))
-        grown = grown.withColumn("too_long", exceeds(F.col("far"), F.col("max_path_length_m"))).withColumn("too_fast", ~F.col("too_long") & exceeds(F.col("far"), F.col("reach_m")))
-        grown = materialised(
-            grown.select(
-                "request_id", F.col("to_camera").alias("camera"), F.col("to_node").alias("node"), F.col("far").alias("distance"), F.concat("edge_ids", "step_edges").alias("edge_ids"),
-                F.concat("transition_ids", F.array("transition_id")).alias("transition_ids"), F.col("all_lengths").alias("lengths"), F.struct(*KEY).alias("parent"), F.col("transition_id").alias("via"), "too_long", "too_fast",
-            ),
-            "grown",
-        )
-        pruned.append(grown.where("too_long or too_fast").select("request_id", "too_long", "too_fast"))
-        rest = pending.where(F.size("edge_ids") > level).unionByName(grown.where("not too_long and not too_fast").drop("too_long", "too_fast"))
-        pending = materialised(rest, "pending")
-        if pending.isEmpty():
-            break
-    else:
-        raise RuntimeError("more levels than max_levels")
-    states, flags = done[0], pruned[0]
-    for d, p in zip(done[1:], pruned[1:]):
-        states, flags = states.unionByName(d), flags.unionByName(p)
-
-    states = states.join(requests, "request_id").withColumn("is_goal", goal)
-    shortest = states.where("is_goal").groupBy("request_id").agg(F.min(F.struct(*KEY)).alias("first_goal"))
-    states = states.join(shortest, "request_id", "left")
-    limit = F.when(F.col("first_goal.distance") == 0, F.col("max_path_length_m")).otherwise(F.col("first_goal.distance") * F.col("max_detour_ratio"))
-    states = states.withColumn("above", F.coalesce(exceeds(F.col("distance"), limit), F.lit(False)))
+    c = F.col
+    requests = requests.withColumn("k", F.least("max_paths", "max_candidate_paths")).withColumn("reach_m", c("max_speed_m_s") * c("gap_s")).withColumn("top", F.least("max_path_length_m", "reach_m"))
+    starts = requests.groupBy(*START).agg(F.max("max_search_nodes").cast("long").alias("budget"), F.max("top").alias("reach"))
+    ranked, made = walk_orders(starts, moves)
+
+    most = (requests.agg(F.max("k")).first()[0] or 0) + 1
+    ends = requests.select(*START, *END).distinct()
+    goals = ranked.withColumnsRenamed({"camera": "end_camera", "node": "end_node"}).join(ends, [*START, *END])
+    goals = materialised(goals.withColumn("nth", F.row_number().over(Window.partitionBy(*START, *END).orderBy("rank"))).where(c("nth") <= most), "goals")
+    nearest = goals.where("nth = 1").select(*START, *END, c("rank").alias("first_rank"), c("distance").alias("first_distance"))
+    r = requests.join(nearest, [*START, *END], "left").withColumn("reached", F.coalesce(~exceeds(c("first_distance"), c("top")), F.lit(False)))
+    detour = F.when(c("reached"), F.when(c("first_distance") == 0, c("max_path_length_m")).otherwise(c("first_distance") * c("max_detour_ratio")))
+    r = r.withColumn("detour", detour).withColumn("cut", F.least("top", "detour"))
+
+    # how many states lie within the cut: all, or as many as the last distance within it has before it
+    levels = ranked.groupBy(*START, "distance").agg(F.max("rank").alias("upto"))
+    whole = levels.groupBy(*START).agg(F.max("distance").alias("farthest"), F.max("upto").alias("n_all"))
+    r = materialised(r.join(whole, [*START]).withColumn("within", F.when(~exceeds(c("farthest"), c("cut")), c("n_all"))), "bounded")
+    counted = r.where("within is null").select(*START, "cut").distinct().join(levels, [*START]).where(~exceeds(c("distance"), c("cut"))).groupBy(*START, "cut").agg(F.max("upto").alias("n_cut"))
+    r = r.join(counted, [*START, "cut"], "left").withColumn("inside", F.coalesce("within", "n_cut"))
+
+    branches = ranked.join(moves.groupBy("camera", "node").agg(F.count("*").alias("n_branches")), ["camera", "node"]).select(*START, "rank", "n_branches")
+    wide = r.select(*START, "max_branch_factor").distinct().join(branches, [*START]).where(c("n_branches") > c("max_branch_factor")).groupBy(*START, "max_branch_factor").agg(F.min("rank").alias("branch_rank"))
+    last = goals.select(*START, *END, (c("nth") - 1).alias("k"), c("rank").alias("goal_rank"))
+    r = r.join(wide, [*START, "max_branch_factor"], "left").join(last, [*START, *END, "k"], "left")
+
     # a state above the limit is still in the heap if its parent was expanded before the first goal was known
-    over = states.where(F.col("above") & (F.col("parent") < F.col("first_goal"))).select("request_id").distinct().withColumn("over", F.lit(1))
-    by_key = Window.partitionBy("request_id").orderBy(*KEY)
-    inside = states.where("not above").join(branch, ["camera", "node"], "left").withColumn("rank", F.row_number().over(by_key))
-    inside = inside.withColumn("nth_goal", F.when(F.col("is_goal"), F.sum(F.col("is_goal").cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0))))
-    inside = materialised(inside.withColumn("k", F.least("max_paths", "max_candidate_paths")), "ranked")
-    ends = inside.groupBy("request_id").agg(
-        F.count("*").alias("total"),
-        F.first("max_search_nodes").alias("budget"),
-        F.first("k").alias("k"),
-        F.min(F.when(F.col("nth_goal") > F.col("k"), F.col("rank"))).alias("goal_rank"),
-        F.min(F.when(F.col("n_branches") > F.col("max_branch_factor"), F.col("rank"))).alias("branch_rank"),
-    )
-    ends = ends.join(over, "request_id", "left").withColumn("total", F.col("total") + F.coalesce("over", F.lit(0)))
-    far = F.lit(ABSENT)
+    longest = made.groupBy(*START).agg(F.max("far").alias("longest"))
+    endless = F.lit(1e300)  # longer than any walk
+    r = r.join(longest, [*START], "left").withColumns({f"{x}_limit": F.when(exceeds(c("longest"), c(x)), c(x)).otherwise(endless) for x in ("top", "reach_m", "max_path_length_m")})
+    r = materialised(r, "placed")
+    key = [*START, "first_rank", "detour", "top_limit"]
+    over = r.where(c("reached") & (c("inside") <= c("max_search_nodes"))).select(*key).distinct().join(made, [*START]).where((c("parent") < c("first_rank")) & exceeds(c("far"), c("detour")) & ~beyond("top_limit")).select(*key).distinct().withColumn("over", F.lit(1))
+    lost = [*START, "inside", "reach_m_limit", "max_path_length_m_limit"]
+    flags = r.where(~c("reached")).select(*lost).distinct().join(made, [*START]).where(c("parent") <= c("inside"))
+    flags = flags.groupBy(*lost).agg(F.bool_or(beyond("max_path_length_m_limit")).alias("too_long"), F.bool_or(~beyond("max_path_length_m_limit") & beyond("reach_m_limit")).alias("too_fast"))
+    r = r.join(over, key, "left").join(flags, lost, "left").withColumn("total", c("inside") + F.coalesce("over", F.lit(0)))
+    far, budget = F.lit(ABSENT), c("max_search_nodes").cast("long")
     event = F.least(
-        F.struct(F.when(F.col("total") > F.col("budget"), F.col("budget") + 1).otherwise(far).cast("long").alias("rank"), F.lit(0).alias("phase")),
-        F.struct(F.coalesce("goal_rank", far).cast("long").alias("rank"), F.lit(2).alias("phase")),
-        F.struct(F.coalesce("branch_rank", far).cast("long").alias("rank"), F.lit(3).alias("phase")),
+        F.struct(F.when(c("total") > budget, budget + 1).otherwise(far).cast("long").alias("rank"), F.lit(0).alias("phase")),
+        F.struct(F.when(c("goal_rank") <= c("inside"), c("goal_rank")).otherwise(far).cast("long").alias("rank"), F.lit(2).alias("phase")),
+        F.struct(F.when(c("branch_rank") <= c("inside"), c("branch_rank")).otherwise(far).cast("long").alias("rank"), F.lit(3).alias("phase")),
     )
-    ends = materialised(ends.withColumn("event", event).select("request_id", "total", "k", "budget", "event.*"), "ends")
-    stopped = F.col("rank") < ABSENT
-    routes = inside.drop("k").withColumnRenamed("rank", "state_rank").join(ends, "request_id").where(F.col("is_goal") & (F.col("nth_goal") <= F.col("k")))
-    routes = routes.where((F.col("state_rank") < F.col("rank")) | ((F.col("state_rank") == F.col("rank")) & (F.col("phase") == 3)))
-    minimum = F.least(F.col("distance") / F.col("max_speed_m_s"), F.col("gap_s"))
-    routes = routes.select("request_id", F.col("nth_goal").cast("int").alias("rank"), "edge_ids", "transition_ids", "distance", minimum.alias("minimum_time"), F.col("gap_s").alias("estimated_time"), F.greatest(F.lit(0.0), F.col("gap_s") - minimum).alias("slack"))
+    r = materialised(r.withColumn("event", event).select("request_id", *START, *END, "k", "gap_s", "max_speed_m_s", "inside", "total", "reached", "too_long", "too_fast", budget.alias("budget"), "event.*"), "ends")
+    stopped = c("rank") < ABSENT
+    routes = goals.withColumnRenamed("rank", "state_rank").join(r.drop("too_long", "too_fast"), [*START, *END]).where("reached and nth <= k and state_rank <= inside")
+    routes = routes.where((c("state_rank") < c("rank")) | ((c("state_rank") == c("rank")) & (c("phase") == 3)))
+    minimum = F.least(c("distance") / c("max_speed_m_s"), c("gap_s"))
+    routes = routes.select("request_id", c("nth").cast("int").alias("rank"), "edge_ids", "transition_ids", "distance", minimum.alias("minimum_time"), c("gap_s").alias("estimated_time"), F.greatest(F.lit(0.0), c("gap_s") - minimum).alias("slack"))
     routes = materialised(routes, "routes")
-    counts = routes.groupBy("request_id").agg(F.count("*").alias("n_candidates"))
-    flags = flags.groupBy("request_id").agg(F.bool_or("too_long").alias("too_long"), F.bool_or("too_fast").alias("too_fast"))
-    out = ends.join(counts, "request_id", "left").join(flags, "request_id", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0).cast("long")))
-    none = F.col("n_candidates") == 0
-    reason = F.when(stopped & (F.col("phase") == 0), "MAX_SEARCH_NODES").when(stopped & (F.col("phase") == 2), "MAX_PATHS_REACHED").when(stopped, "MAX_BRANCH_FACTOR").when(none, "NO_FEASIBLE_PATH").otherwise("COMPLETE")
-    rejections = F.when((reason == "NO_FEASIBLE_PATH"), F.concat_ws(",", F.lit("NO_FEASIBLE_AUTHORIZED_ROUTE"), F.when(F.col("too_fast"), F.lit("PHYSICALLY_IMPOSSIBLE_SPEED")), F.when(F.col("too_long"), F.lit("MAX_PATH_LENGTH_EXCEEDED")))).otherwise("")
-    expanded = F.when(stopped & (F.col("phase") == 0), F.col("budget").cast("long")).when(stopped, F.col("rank")).otherwise(F.col("total"))
+    out = r.join(routes.groupBy("request_id").agg(F.count("*").alias("n_candidates")), "request_id", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0).cast("long")))
+    none = c("n_candidates") == 0
+    reason = F.when(stopped & (c("phase") == 0), "MAX_SEARCH_NODES").when(stopped & (c("phase") == 2), "MAX_PATHS_REACHED").when(stopped, "MAX_BRANCH_FACTOR").when(none, "NO_FEASIBLE_PATH").otherwise("COMPLETE")
+    rejections = F.when((reason == "NO_FEASIBLE_PATH"), F.concat_ws(",", F.lit("NO_FEASIBLE_AUTHORIZED_ROUTE"), F.when(c("too_fast"), F.lit("PHYSICALLY_IMPOSSIBLE_SPEED")), F.when(c("too_long"), F.lit("MAX_PATH_LENGTH_EXCEEDED")))).otherwise("")
+    expanded = F.when(stopped & (c("phase") == 0), c("budget")).when(stopped, c("rank")).otherwise(c("total"))
     results = out.select("request_id", reason.alias("termination_reason"), expanded.alias("expanded_nodes"), (~stopped).alias("complete"), "n_candidates", rejections.alias("rejections"))
     return results, routes
 
 
-def candidates(routes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Routes as candidate trajectories with id, corridor, costs and flags; path_score is null as nothing scores yet."""
-    r = routes.join(requests.select("request_id", "start_camera", "end_camera", "max_speed_m_s"), "request_id")
-    identity = canonical_id("candidate:", F.col("request_id"), F.array_join("edge_ids", ","), float_hex(F.col("distance")), float_hex(F.col("max_speed_m_s")))
+def beyond(limit: str):
+    return exceeds(F.col("far"), F.col(limit))
+
+
+def checked_search(requests: DataFrame, transitions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """search of the requests that pass request_failures; results has failure, and of the others nothing else."""
+    judged = materialised(request_failures(requests), "judged")
+    good = judged.where("failure is null")
+    results, routes = search(good, transitions, edges)
+    failed = judged.where("failure is not null").select("request_id", "failure")
+    return results.withColumn("failure", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True), routes
+
+
+IDENTITY = "candidate_v1"
+
+
+def candidates(routes: DataFrame, requests: DataFrame, edges: DataFrame, nodes: DataFrame, context: dict[str, str]) -> DataFrame:
+    """Routes as candidate trajectories; path_score is null as nothing scores yet.
+
+    requests has start and end: structs of target_id, camera_id, floor_id, observation_id and point (point_id,
+    observation_id, camera_id, plane_id, floor_id, timestamp, world_position). context names spatial_context_id,
+    navigation_graph_id, topology_id and source_asset_sha256. candidate_id is the sha256 of all that makes up a
+    candidate, as compact JSON with sorted keys and doubles in hexadecimal. A route without edges has its node twice.
+    """
+    c = F.col
+    r = routes.join(requests.select("request_id", "start_node", "max_speed_m_s", "start", "end"), "request_id").withColumn("route_id", F.concat_ws("#", "request_id", "rank"))
+    lines = navigation.route_polylines(r.select("route_id", c("start_node").alias("start_node_id"), "edge_ids"), edges, nodes).select("route_id", "polyline")
+    r = r.join(lines, "route_id").withColumn("polyline", F.when(F.size("polyline") == 1, F.concat("polyline", "polyline")).otherwise(c("polyline")))
+    r = r.withColumn("line_hex", hex_list(F.flatten(F.transform("polyline", lambda p: F.array(p["x"], p["y"], p["z"])))))
+
+    def point(e: str):
+        at = c(f"{e}.point.world_position")
+        return F.struct(*(c(f"{e}.point.{f}").alias(f) for f in ("camera_id", "floor_id", "observation_id", "plane_id", "point_id")), float_hex(c(f"{e}.point.timestamp")).alias("timestamp"), hex_list(F.array(at["x"], at["y"], at["z"])).alias("world_position"))
+
+    fields = {k: F.lit(v) for k, v in context.items()} | {f"{e}_{f}": c(f"{e}.{f}") for e in ("start", "end") for f in ("camera_id", "floor_id", "observation_id")} | {f"{e}_point": point(e) for e in ("start", "end")}
+    fields |= {k: float_hex(c(v)) for k, v in (("max_speed_m_s", "max_speed_m_s"), ("path_length", "distance"), ("minimum_travel_time", "minimum_time"), ("estimated_travel_time", "estimated_time"))}
+    points = F.transform(F.sequence(F.lit(0), F.size("polyline") - 1), lambda i: F.slice("line_hex", 3 * i + 1, 3))
+    fields |= {"identity_version": F.lit(IDENTITY), "target_id": c("start.target_id"), "transition_ids": c("transition_ids"), "navigation_edge_ids": c("edge_ids"), "polyline": points}
+    payload = F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
     return r.select(
         "request_id",
         "rank",
-        identity.alias("candidate_id"),
+        F.concat(F.lit("candidate:"), F.sha2(payload, 256)).alias("candidate_id"),
+        c("start.observation_id").alias("start_observation_id"),
+        c("end.observation_id").alias("end_observation_id"),
+        "polyline",
         F.array_join("edge_ids", ",").alias("corridor"),
-        F.col("distance").alias("path_length"),
-        F.col("minimum_time").alias("minimum_travel_time"),
-        F.col("estimated_time").alias("estimated_travel_time"),
-        F.col("distance").alias("spatial_cost"),
-        F.col("slack").alias("temporal_cost"),
+        c("distance").alias("path_length"),
+        c("minimum_time").alias("minimum_travel_time"),
+        c("estimated_time").alias("estimated_travel_time"),
+        c("distance").alias("spatial_cost"),
+        c("slack").alias("temporal_cost"),
         F.lit(",".join(FEASIBILITY_FLAGS)).alias("feasibility_flags"),
         F.lit(None).cast("double").alias("path_score"),
         F.lit("INFERRED_GAP").alias("provenance"),

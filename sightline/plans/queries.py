@@ -38,24 +38,65 @@ def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene.gaps(spark, sf_dir).withColumn("gap_s", r6(F.col("gap_s")))
 
 
-def _searched(spark: SparkSession, sf_dir: str):
-    requests = materialised(scene.search_requests(spark, sf_dir), "requests")
+CONTEXT = {"spatial_context_id": "star-tables", "navigation_graph_id": "nations", "topology_id": "nations-as-cameras", "source_asset_sha256": "0" * 64}
+
+
+def _searched(spark: SparkSession, sf_dir: str, **policy):
+    requests = materialised(scene.search_requests(spark, sf_dir, **policy), "requests")
     return requests, *search.search(requests, scene.transitions(spark, sf_dir), scene.edges(spark, sf_dir))
 
 
+def _candidates(spark: SparkSession, sf_dir: str, **policy) -> DataFrame:
+    requests, _, routes = _searched(spark, sf_dir, **policy)
+    return search.candidates(routes, requests, scene.edges(spark, sf_dir), scene.nodes(spark, sf_dir), CONTEXT)
+
+
 def gap_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every gap's search ends under the default bounds."""
     return _searched(spark, sf_dir)[1]
 
 
-def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests, _, routes = _searched(spark, sf_dir)
-    c = search.candidates(routes, requests)
+def _small_bounds() -> dict:
+    """Bounds that differ from request to request, so that searches end for every reason."""
+    n = "cast(start_id as bigint)"
+    return {
+        "max_search_nodes": F.expr(f"cast(element_at(array(10000, 7, 1, 60), cast({n} % 4 + 1 as int)) as int)"),
+        "max_branch_factor": F.expr(f"if({n} % 5 = 0, 3, if({n} % 7 = 0, 2, 32))"),
+        "max_paths": F.expr(f"cast({n} % 3 + 1 as int)"),
+        "max_path_length_m": F.expr(f"element_at(array(14.0D, 30.0D, 9.0D), cast({n} % 3 + 1 as int))"),
+        "max_detour_ratio": F.expr(f"if({n} % 2 = 0, 1.0D, 1.5D)"),
+        "max_speed_m_s": F.expr(f"if({n} % 11 = 0, 0.01D, 1.5D)"),
+    }
+
+
+def gap_termination_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, **_small_bounds())[1]
+
+
+def gap_termination_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of routes of 14 m at most, for which SQL can make all walks."""
+    return _searched(spark, sf_dir, max_path_length_m=14.0)[1]
+
+
+def _shown(c: DataFrame) -> DataFrame:
     return c.select("request_id", "rank", "corridor", "path_length", r6(F.col("minimum_travel_time")).alias("minimum_travel_time"), r6(F.col("temporal_cost")).alias("temporal_cost"), "feasibility_flags", "provenance")
 
 
+def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_candidates(spark, sf_dir))
+
+
+def gap_candidates_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_candidates(spark, sf_dir, max_path_length_m=14.0))
+
+
 def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests, _, routes = _searched(spark, sf_dir)
-    return search.candidates(routes, requests).select("request_id", "rank", "candidate_id")
+    return _candidates(spark, sf_dir).select("request_id", "rank", "candidate_id", F.size("polyline").alias("points"))
+
+
+def candidate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the search that break their contract: none."""
+    return constraints.violations(_candidates(spark, sf_dir), constraints.candidate_checks(), "candidate_id")
 
 
 def _pairs(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
@@ -393,7 +434,7 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    gap_topk, gap_pairs, gap_termination, gap_candidates, candidate_ids, shortest_routes, min_hops, route_polylines, edge_violations, nav_graph_violations, topology_violations, network_violations, locate_nodes,
+    gap_topk, gap_pairs, gap_termination, gap_termination_bounds, gap_termination_short, gap_candidates, gap_candidates_short, candidate_ids, candidate_violations, shortest_routes, min_hops, route_polylines, edge_violations, nav_graph_violations, topology_violations, network_violations, locate_nodes,
     trajectory_samples, sample_counts, unordered_keyframes, samples_x_cameras_projection, gap_reason_counts, visible_frames, frame_violations, inverse_projection, projection_rejects, projection_roundtrip, point_ids,
     segment_box_hits, ray_nearest_hit, ray_triangle_hit, ray_budget, object_counts, duplicate_groups, shared_data_groups, geometry_signature_groups, high_poly_objects, top_meshes, semantic_tags, portal_overlap, collection_parents,
     z_layer_histogram, layer_top5, slope_summary, polygon_measures, connected_patches, area_overlap, stair_levels, grid_surface_clusters, height_clusters, scene_bounds, camera_height_summary, camera_floor_zone, camera_intrinsics, findings,

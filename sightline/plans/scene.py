@@ -7,10 +7,12 @@ cameras, portals and proposed edges, some of them flawed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.schemas import SEARCH_DEFAULTS
+
 SPEED = 1.5
 REACH = 30.0
 
@@ -78,16 +80,30 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observed(spark, sf_dir)
     for c in ("event_id", "camera", "t"):
         o = o.withColumn(f"p_{c}", F.lag(c).over(order))
-    return o.where("t > p_t").select("target_id", F.col("p_event_id").alias("start_id"), F.col("event_id").alias("end_id"), F.col("p_camera").alias("start_camera"), F.col("camera").alias("end_camera"), (F.col("t") - F.col("p_t")).alias("gap_s"))
+    return o.where("t > p_t").select("target_id", F.col("p_event_id").alias("start_id"), F.col("event_id").alias("end_id"), F.col("p_camera").alias("start_camera"), F.col("camera").alias("end_camera"), (F.col("t") - F.col("p_t")).alias("gap_s"), F.col("p_t").alias("start_t"), F.col("t").alias("end_t"))
 
 
-def search_requests(spark: SparkSession, sf_dir: str, max_length: float = 14.0) -> DataFrame:
+def search_requests(spark: SparkSession, sf_dir: str, **policy) -> DataFrame:
+    """A request for each gap, with the default bounds but for those in policy, and its evidence at both ends."""
     g = gaps(spark, sf_dir)
-    name = lambda prefix, c: F.expr(_id(prefix, c))
+    bounds = {k: v for k, v in SEARCH_DEFAULTS.items() if k != "max_search_time_s"} | {"max_paths": 3, "max_speed_m_s": SPEED} | policy
+    id_ = lambda prefix, c: F.expr(_id(prefix, c))
+
+    def evidence(end: str, time: str):
+        floor, observation = F.expr(f"concat('F', {end}_camera % 5)"), F.expr(f"concat('O', {end}_id)")
+        at = F.expr(f"named_struct('x', 10.0D * ({end}_camera div 5), 'y', 0.0D, 'z', 4.0D * ({end}_camera % 5))")
+        camera = id_("C", f"{end}_camera")
+        point = F.struct(F.expr(f"concat('P', {end}_id)").alias("point_id"), observation.alias("observation_id"), camera.alias("camera_id"), F.lit(None).cast("string").alias("plane_id"), floor.alias("floor_id"), F.col(time).alias("timestamp"), at.alias("world_position"))
+        return F.struct(F.col("target_id").cast("string").alias("target_id"), camera.alias("camera_id"), floor.alias("floor_id"), observation.alias("observation_id"), point.alias("point"))
+
     return g.select(
-        F.concat_ws("-", "start_id", "end_id").alias("request_id"), name("C", "start_camera").alias("start_camera"), name("N", "start_camera").alias("start_node"), name("C", "end_camera").alias("end_camera"), name("N", "end_camera").alias("end_node"),
-        "gap_s", F.lit(SPEED).alias("max_speed_m_s"), F.lit(3).alias("max_paths"), F.lit(3).alias("max_candidate_paths"), F.lit(10_000).alias("max_search_nodes"), F.lit(max_length).alias("max_path_length_m"), F.lit(32).alias("max_branch_factor"), F.lit(2.0).alias("max_detour_ratio"),
-    )
+        F.concat_ws("-", "start_id", "end_id").alias("request_id"),
+        *(id_(p, f"{e}_camera").alias(f"{e}_{n}") for e in ("start", "end") for p, n in (("C", "camera"), ("N", "node"))),
+        "gap_s",
+        *((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in bounds.items()),
+        evidence("start", "start_t").alias("start"),
+        evidence("end", "end_t").alias("end"),
+    )
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,12 +169,12 @@ ORACLE_SQL: dict[str, str] = {
             SELECT * FROM (SELECT s, e, len, path, row_number() OVER (PARTITION BY s, e ORDER BY len, path) AS rank FROM walks) WHERE rank <= 3)
         SELECT target_id, start_id, end_id, CAST(rank AS INT) AS rank, array_to_string(path, '>') AS corridor, len AS length, {r6("least(len / 15e-1, gap_s)", "min_time")}, {r6("greatest(0e0, gap_s - least(len / 15e-1, gap_s))", "slack")}
         FROM gaps JOIN top ON s = start_camera AND e = end_camera WHERE NOT len - 15e-1 * gap_s > 1e-12""",
-    "gap_termination": f"""{SEARCH}, flags AS (
+    "gap_termination_short": f"""{SEARCH}, flags AS (
             SELECT request_id, bool_or(st.len + d.len - 14e0 > 1e-12) AS too_long, bool_or(st.len + d.len - 14e0 <= 1e-12 AND st.len + d.len - 15e-1 * gap_s > 1e-12) AS too_fast FROM st JOIN edges d ON d.a = st.e GROUP BY request_id)
         SELECT request_id, CASE WHEN stop IS NOT NULL THEN 'MAX_PATHS_REACHED' WHEN n = 0 THEN 'NO_FEASIBLE_PATH' ELSE 'COMPLETE' END AS termination_reason, CAST(coalesce(stop, total) AS BIGINT) AS expanded_nodes, stop IS NULL AS complete, n AS n_candidates,
                CASE WHEN stop IS NULL AND n = 0 THEN concat_ws(',', 'NO_FEASIBLE_AUTHORIZED_ROUTE', CASE WHEN too_fast THEN 'PHYSICALLY_IMPOSSIBLE_SPEED' END, CASE WHEN too_long THEN 'MAX_PATH_LENGTH_EXCEEDED' END) ELSE '' END AS rejections
         FROM ends LEFT JOIN flags USING (request_id)""",
-    "gap_candidates": f"""{SEARCH} SELECT request_id, CAST(nth AS INT) AS rank, array_to_string(path, ',') AS corridor, len AS path_length, {r6("least(len / 15e-1, gap_s)", "minimum_travel_time")}, {r6("greatest(0e0, gap_s - least(len / 15e-1, gap_s))", "temporal_cost")},
+    "gap_candidates_short": f"""{SEARCH} SELECT request_id, CAST(nth AS INT) AS rank, array_to_string(path, ',') AS corridor, len AS path_length, {r6("least(len / 15e-1, gap_s)", "minimum_travel_time")}, {r6("greatest(0e0, gap_s - least(len / 15e-1, gap_s))", "temporal_cost")},
                'CAMERA_REACHABLE,TOPOLOGY_AUTHORIZED,WALKABLE,WITHIN_MAX_SPEED' AS feasibility_flags, 'INFERRED_GAP' AS provenance FROM ranked WHERE nth <= 3""",
     "shortest_routes": f"{WALKED} SELECT 'N' || {pad('s')} || '>N' || {pad('g')} AS request_id, len AS distance, array_to_string(path, ',') AS edge_ids FROM best",
     "min_hops": f"{WALKED} SELECT 'C' || {pad('s')} || '>C' || {pad('g')} AS request_id, CAST(len(path) AS INT) AS hops, replace(array_to_string(path, ','), 'E', 'T') AS transition_ids FROM best",
