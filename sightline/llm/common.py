@@ -5,21 +5,17 @@ Columns that an operator adds to a caller's table for a while begin with __sight
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, materialised
+
+__all__ = ["PLAIN_READS", "SPACE", "WORD", "broadcast_if_small", "discard", "table", "written"]
+
 #: ASCII white space; every word and normalisation rule of the operators uses this class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-_cleaned: set[str] = set()
-
-
 #: Vectored reads ask for a whole column chunk at once; plain ones are to need less memory outside the heap.
 PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
 
@@ -28,35 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if sc.applicationId not in _own_dirs:
-            _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="sightline-")
-        base = _own_dirs[sc.applicationId]
-    folder = f"{base.rstrip('/')}/sightline-{sc.applicationId}"
-    if folder not in _cleaned:
-        _cleaned.add(folder)
-        atexit.register(_remove, spark, folder)
-    return folder
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
+    """df written to the shared folder and read back."""
+    return materialised(df, label, PLAIN_READS)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:

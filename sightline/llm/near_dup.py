@@ -12,9 +12,9 @@ has a signature of COORDINATES values, each the hash of ROWS MinHash values, and
   from the centre. Two classes differ by what their differences do not share, so classes close to the centre are known
   to be linked through the closest one, and any other pair must share the more of their differences the farther out it
   lies. Differences, rarest shingle first, have a prefix in which any partner shares a shingle. The classes with a
-  shingle in their prefixes are a smaller family with a centre of its own, at most half as large, and so on until
-  families are small and give their pairs, or until their pairs are fewer than the families they would fall into. Equal
-  families are looked at once. All bounds are exact.
+  shingle in their prefixes are a smaller family with a centre of its own, at most half as large, and so on. Families of
+  FEW classes at most are compared in one task, those of SHORT at most give their pairs, and so do larger ones whose
+  pairs are fewer than the families they would fall into. Equal families are looked at once. All bounds are exact.
 
 Pairs are kept when at least m coordinates match, and become links when the whole sets, rebuilt from the texts, are as
 similar as asked. m is the largest number that a pair of exactly that similarity misses with a chance of MISS at most.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from math import comb
 
 import numpy as np
@@ -35,12 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, discard, written
 from .token_counts import slices
 
 COORDINATES = 32
 ROWS = 4
 SHORT = 8
+#: Classes of a family that one task compares, all with all in one matrix product.
+FEW = 64
+BLOCK_SHINGLES = 8192
 SALTS = 4
 MISS = 1e-7
 BROADCAST_LISTS = 1_000_000
@@ -178,41 +182,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * F.col("common") >= similarity * F.col("all")).select("a", "b")
 
 
-def refined(members: DataFrame, similarity: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(stars, pairs) as tables (a, b) of families: members has family, digest, size, label, apart.
+def refined(members: DataFrame, n_families: int, similarity: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(links, pairs) as tables (a, b) of families: members has family, n, digest, size, label, apart.
 
-    apart is the class's set, or its difference from any set that its family has in common. stars are linked, as the
-    sizes of differences prove. pairs holds all other pairs that can be linked and have different labels, where classes
-    of one label are known to be of one component.
+    n is the family's number of classes. apart is the class's set, or its difference from any set that its family has in
+    common. links are similar enough, as the sizes of differences prove or a comparison has shown. pairs holds other
+    pairs that can be. Of all pairs, those are missing that components of links join anyway; classes of one label are
+    known to be of one component.
     """
     more, less = F.lit(100 + similarity).cast("long"), F.lit(100 - similarity).cast("long")
-    stars, pairs = [], []
-    while not members.isEmpty():
-        each = members.select("family", F.explode("apart").alias("shingle"))
-        sizes = written(members.groupBy("family").agg(F.count("*").alias("n")), "near-families")
-        n_families = sizes.count()
-        held = each.groupBy("family", "shingle").agg(F.count("*").alias("held")).where("held > 1")
-        held = written(held.join(broadcast_if_small(sizes, n_families, BROADCAST_IDS), "family"), "near-held")
+    links, pairs = [], []
+    while n_families:
+        held = members.select("family", "n", F.explode("apart").alias("shingle")).groupBy("family", "n", "shingle").agg(F.count("*").alias("held")).where("held > 1")
+        held = written(held, "near-held")
+        n_held, n_common = held.agg(F.count("*"), F.count_if(F.expr("2 * held > n"))).first()
         # a centre has fewer than twice the shingles of its family's classes on average
-        centres = written(held.where("2 * held > n").groupBy("family").agg(F.collect_list("shingle").alias("centre")), "near-centres")
-        bulk = centres.agg(F.sum(F.size("centre"))).first()[0] or 0
+        centres = held.where("2 * held > n").groupBy("family").agg(F.collect_list("shingle").alias("centre"))
         common = F.coalesce("centre", F.array().cast("array<long>"))
-        moved = members.join(broadcast_if_small(sizes, n_families, BROADCAST_IDS), "family").join(broadcast_if_small(centres, bulk, BROADCAST_IDS), "family", "left")
+        moved = members.join(broadcast_if_small(centres, n_common, BROADCAST_IDS), "family", "left")
         moved = moved.select("family", "n", "digest", "size", "label", F.concat(F.array_except("apart", common), F.array_except(common, "apart")).alias("apart"))
         moved = written(moved.withColumn("excess", more * F.size("apart") - less * F.col("size")), "near-moved")
         closest = moved.groupBy("family").agg(F.min(F.struct("excess", "digest", "label")).alias("p")).select("family", F.col("p.excess").alias("excess_p"), F.col("p.digest").alias("p"), F.col("p.label").alias("label_p"))
         placed = moved.join(broadcast_if_small(closest, n_families, BROADCAST_IDS), "family")
         near = F.col("excess") + F.col("excess_p") <= 0
-        stars.append(written(placed.where(near & (F.col("digest") != F.col("p"))).select(*ordered("digest", "p")).distinct(), "near-stars"))
         # a partner shares so much of the difference: by the family's least excess, and by the partner's size
         shared = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("excess_p")) / (2 * more)), F.ceil((similarity * F.col("excess") - 100 * less * F.col("size")) / (similarity * more)))
-        placed = placed.withColumn("label", F.when(near, F.col("label_p")).otherwise(F.col("label"))).withColumn("prefix", (F.size("apart") - shared + 1).cast("int"))
-        placed = written(placed.drop("excess", "excess_p", "p", "label_p"), "near-placed")
+        placed = placed.select("family", "n", "digest", "size", F.when(near, F.col("label_p")).otherwise(F.col("label")).alias("label"), "apart", (F.size("apart") - shared + 1).cast("int").alias("prefix"), F.when(near & (F.col("digest") != F.col("p")), F.col("p")).alias("p"))
+        placed = written(placed, "near-placed")
+        links.append(written(placed.where(F.col("p").isNotNull()).select(*ordered("digest", "p")), "near-stars"))
 
         # classes by the shingles of their prefixes
         often = held.select("family", "shingle", F.when(F.expr("2 * held > n"), F.col("n") - F.col("held")).otherwise(F.col("held")).alias("held"))
         spread = placed.where("prefix > 0").select("family", "n", "digest", "size", "label", "prefix", F.explode("apart").alias("shingle"))
-        ranked = spread.join(often, ["family", "shingle"], "left").withColumn("held", F.coalesce("held", F.lit(1).cast("long")))
+        ranked = spread.join(broadcast_if_small(often, n_held, BROADCAST_IDS), ["family", "shingle"], "left").withColumn("held", F.coalesce("held", F.lit(1).cast("long")))
         ranked = ranked.groupBy("family", "n", "digest", "size", "label", "prefix").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
         ranked = ranked.select("family", "n", "digest", "size", "label", F.explode(F.filter(F.slice("order", F.lit(1), F.col("prefix")), lambda x: x["held"] > 1)["shingle"]).alias("shingle"))
         ranked = written(ranked, "near-ranked")
@@ -221,17 +223,74 @@ def refined(members: DataFrame, similarity: int) -> tuple[list[DataFrame], list[
         lists = written(lists.select("l.*", "n_next", F.concat_ws("-", F.hex("x"), F.hex("y"), "n_next").alias("next")), "near-next")
         work = F.sum(F.when(F.col("n_next") <= SHORT, F.expr("n_next * (n_next - 1) / 2")).otherwise(F.col("n_next")))
         flat = written(lists.groupBy("family", "n").agg(work.alias("work")).where("work >= n * (n - 1) / 2").select("family"), "near-flat")
-        n_flat, n_lists = flat.count(), lists.count()
-        lists = lists.join(broadcast_if_small(flat, n_flat, BROADCAST_IDS), "family", "left_anti").drop("n")
-        one = ranked.drop("n").join(broadcast_if_small(lists, n_lists, BROADCAST_IDS), ["family", "shingle"])
-        short = one.where(F.col("n_next") <= SHORT).select("next", "digest", "size", "label")
-        pairs.append(written(in_family(short, "next", similarity).distinct(), "near-pairs"))
+        n_flat = flat.count()
+        going = lists.join(broadcast_if_small(flat, n_flat, BROADCAST_IDS), "family", "left_anti") if n_flat else lists
+        n_going, n_families = going.agg(F.count("*"), F.count_if(F.col("n_next") > FEW)).first()
+        one = ranked.drop("n").join(broadcast_if_small(going.drop("n"), n_going, BROADCAST_IDS), ["family", "shingle"])
+        pairs.append(written(in_family(one.where(F.col("n_next") <= SHORT).select("next", "digest", "size", "label"), "next", similarity), "near-pairs"))
+        few = placed.join(one.where((F.col("n_next") > SHORT) & (F.col("n_next") <= FEW)).select("family", "digest", "next"), ["family", "digest"])
+        links.append(written(compared(few.select(F.col("next").alias("family"), "digest", "size", "label", "apart"), similarity), "near-compared"))
         if n_flat:
             whole = placed.join(broadcast_if_small(flat, n_flat, BROADCAST_IDS), "family", "left_semi").select("family", "digest", "size", "label")
-            pairs.append(written(in_family(whole, "family", similarity).distinct(), "near-pairs"))
-        going = one.where(F.col("n_next") > SHORT).select("family", "digest", "next")
-        members = written(placed.join(going, ["family", "digest"]).select(F.col("next").alias("family"), "digest", "size", "label", "apart"), "near-next-members")
-    return stars, pairs
+            pairs.append(written(in_family(whole, "family", similarity), "near-pairs"))
+        old = members
+        if n_families:
+            large = one.where(F.col("n_next") > FEW).select("family", "digest", "next", "n_next")
+            members = written(placed.join(large, ["family", "digest"]).select(F.col("next").alias("family"), F.col("n_next").alias("n"), "digest", "size", "label", "apart"), "near-next-members")
+        discard(old, held, moved, placed, ranked, lists, flat)
+    return links, pairs
+
+
+def compared(rows: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) that join all classes of rows (family, digest, size, label, apart) which are linked within a family of
+    FEW classes at most; a link is left out where others and equal labels join its classes."""
+
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            names = table.column("family").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()] if len(names) else [0]
+            for a, b in pairwise(cuts):
+                yield table.slice(a, b - a)
+            rest = table.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for family in families(batches):
+            digests, labels = family.column("digest").to_pylist(), family.column("label").to_pylist()
+            size, apart = family.column("size").to_numpy().astype(np.int64), family.column("apart").combine_chunks()
+            lengths, flat = apart.value_lengths().to_numpy().astype(np.int64), apart.flatten().to_numpy()
+            _, codes, held = np.unique(flat, return_inverse=True, return_counts=True)
+            often, of_row = held[codes] > 1, np.repeat(np.arange(len(size)), lengths)
+            codes, of_row = (np.cumsum(held > 1) - 1)[codes[often]], of_row[often]
+            common = np.zeros((len(size),) * 2, np.int64)
+            n_shared = int((held > 1).sum())
+            for first in range(0, n_shared, BLOCK_SHINGLES):
+                here = (codes >= first) & (codes < first + BLOCK_SHINGLES)
+                has = np.zeros((len(size), min(BLOCK_SHINGLES, n_shared - first)), np.float32)
+                has[of_row[here], codes[here] - first] = 1
+                common += np.rint(has @ has.T).astype(np.int64)
+            differ = lengths[:, None] + lengths[None, :] - 2 * common
+            linked = (100 - similarity) * (size[:, None] + size[None, :]) >= (100 + similarity) * differ
+            root, out = {label: label for label in labels}, []
+
+            def top(x: bytes) -> bytes:
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
+                a, b = top(labels[i]), top(labels[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(digests[i], digests[j]), max(digests[i], digests[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = rows.repartition("family").sortWithinPartitions("family")
+    return dealt.mapInArrow(compare, "a binary, b binary")
 
 
 def in_family(rows: DataFrame, family: str, similarity: int) -> DataFrame:
@@ -250,16 +309,20 @@ def components(links: DataFrame) -> DataFrame:
     """digest, label: equal labels are one component. Hooks labels along links and jumps pointers until no link differs."""
     edges = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("digest"), F.least("a", "near").alias("label")), "labels")
+    n = labels.count()
     while True:
-        seen = edges.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b")
+        seen = edges.join(broadcast_if_small(labels.toDF("a", "label_a"), n, BROADCAST_IDS), "a").join(broadcast_if_small(labels.toDF("b", "label_b"), n, BROADCAST_IDS), "b")
         apart = written(seen.where("label_a <> label_b").select("a", "label_a", "label_b"), "apart")
-        if apart.isEmpty():
+        n_apart = apart.count()
+        if not n_apart:
+            discard(edges, apart)
             return labels
         hooks = apart.select(F.col("a").alias("digest"), "label_b").unionAll(apart.select(F.col("label_a").alias("digest"), "label_b"))
         hooks = hooks.groupBy("digest").agg(F.min("label_b").alias("hook"))
-        hooked = written(labels.join(hooks, "digest", "left").select("digest", F.least("label", "hook").alias("label")), "hooked")
+        hooked = written(labels.join(broadcast_if_small(hooks, 2 * n_apart, BROADCAST_IDS), "digest", "left").select("digest", F.least("label", "hook").alias("label")), "hooked")
         up = hooked.select(F.col("digest").alias("label"), F.col("label").alias("root"))
-        labels = written(hooked.join(up, "label", "left").select("digest", F.least("label", "root").alias("label")), "labels")
+        old, labels = labels, written(hooked.join(broadcast_if_small(up, n, BROADCAST_IDS), "label", "left").select("digest", F.least("label", "root").alias("label")), "labels")
+        discard(apart, hooked, old)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +348,8 @@ def decided(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
     # posting lists of two classes or more
     postings = classes.select("digest", F.explode("signature").alias("value"))
     lists = written(postings.groupBy("value").agg(F.count("*").alias("n_list")).where("n_list > 1"), "near-lists")
-    members = written(postings.join(broadcast_if_small(lists, lists.count(), BROADCAST_LISTS), "value"), "near-members")
+    n_lists = lists.count()
+    members = written(postings.join(broadcast_if_small(lists, n_lists, BROADCAST_LISTS), "value"), "near-members")
     short, long = members.where(F.col("n_list") <= SHORT), members.where(F.col("n_list") > SHORT)
     within = short.select("value", F.col("digest").alias("a")).join(short.select("value", F.col("digest").alias("b")), "value").where("a < b").select("a", "b").distinct()
     within = written(matching(within, classes, least, similarity), "near-within")
@@ -300,17 +364,20 @@ def decided(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
 
     # families of dense classes
     hubs = prefix.groupBy("value").agg(F.min("digest").alias("hub"))
-    kin = components(prefix.join(hubs, "value").where(F.col("digest") != F.col("hub")).select(*ordered("digest", "hub")).distinct())
-    members = sets.join(kin, "digest").select(F.hex("label").alias("family"), "digest", F.size("shingles").alias("size"), F.col("digest").alias("label"), F.col("shingles").alias("apart"))
-    stars, pairs = refined(written(members, "near-members"), similarity)
+    kin = components(prefix.join(broadcast_if_small(hubs, n_lists, BROADCAST_LISTS), "value").where(F.col("digest") != F.col("hub")).select(*ordered("digest", "hub")).distinct())
+    families = kin.groupBy("label").agg(F.count("*").alias("n"))
+    n_kin, n_families = kin.agg(F.count("*"), F.countDistinct("label")).first()
+    members = sets.join(broadcast_if_small(kin.join(broadcast_if_small(families, n_families, BROADCAST_IDS), "label"), n_kin, BROADCAST_IDS), "digest").select(F.hex("label").alias("family"), "n", "digest", F.size("shingles").alias("size"), F.col("digest").alias("label"), F.col("shingles").alias("apart"))
+    near, pairs = refined(written(members, "near-members"), n_families, similarity)
     pairs = reduce(DataFrame.unionAll, pairs, within.limit(0)).distinct().join(within, ["a", "b"], "left_anti")
     links = confirmed(within.unionAll(matching(pairs, classes, least, similarity)), sets, similarity)
-    labels = components(written(reduce(DataFrame.unionAll, stars, links), "near-links"))
+    labels = components(written(reduce(DataFrame.unionAll, near, links), "near-links"))
 
-    linked = classes.select("digest", "rep").join(labels, "digest")
+    n_linked = labels.count()
+    linked = classes.select("digest", "rep").join(broadcast_if_small(labels, n_linked, BROADCAST_IDS), "digest")
     roots = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    grouped = linked.join(roots, "label").select("digest", "component_id", F.col("label").alias("group"))
-    copies = classes.where("copies > 1").select("digest", F.col("rep").alias("component_id"), F.col("digest").alias("group")).join(labels, "digest", "left_anti")
+    grouped = linked.join(broadcast_if_small(roots, n_linked, BROADCAST_IDS), "label").select("digest", "component_id", F.col("label").alias("group"))
+    copies = classes.where("copies > 1").select("digest", F.col("rep").alias("component_id"), F.col("digest").alias("group")).join(broadcast_if_small(labels, n_linked, BROADCAST_IDS), "digest", "left_anti")
     found = written(grouped.unionAll(copies), "near-found")
     return (
         rows.select("doc_id", "text_key", "n_shingles", "digest")
