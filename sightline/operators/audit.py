@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bin_of
-from ..plans.tables import materialised
+from ..sources.tables import materialised
 from .geometry import LAYER, top_per_group
 
 NAMES_SHOWN = 100
@@ -25,6 +30,7 @@ TAG_WORDS = {
 #: A name with one of these is no wall.
 NOT_A_WALL = ("wall lamp", "wall clock", "on-wall", "speaker")
 #: Words of collections that furnish or decorate.
+MAX_DEPTH, MAX_KEYS = 8, 200
 DECORATION = ("book", "box", "chair", "clock", "poster", "sofa", "table", "cabinet", "carpet", "garland", "lectern", "speaker", "trash", "trolley")
 #: Findings and their severity.
 SEVERITY = {
@@ -178,6 +184,27 @@ def redacted_path(path: Column) -> Column:
     return F.when(plain.rlike(r"^(/|[A-Za-z]:[\\/])"), F.element_at(F.split(plain, r"[/\\]"), -1)).otherwise(plain)
 
 
+@F.pandas_udf("string")
+def normal_json(text: pd.Series) -> pd.Series:
+    """A JSON value with sorted keys, at most MAX_KEYS an object and MAX_DEPTH deep; addresses lose their query, absolute
+    paths all but their last part."""
+
+    def normal(value: object, depth: int) -> object:
+        if depth >= MAX_DEPTH:
+            return {"truncated_type": type(value).__name__, "reason": "maximum_depth"}
+        if isinstance(value, dict):
+            return {k: normal(value[k], depth + 1) for k in sorted(value)[:MAX_KEYS]}
+        if isinstance(value, list):
+            return [normal(v, depth + 1) for v in value]
+        if isinstance(value, str) and re.match(r"https?://", value):
+            return re.split(r"[?#]", value, maxsplit=1)[0]
+        if isinstance(value, str) and re.match(r"/|[A-Za-z]:[\\/]", value):
+            return {"path_kind": "absolute_redacted_to_basename", "basename": re.split(r"[\\/]", value)[-1]}
+        return None if isinstance(value, float) and not math.isfinite(value) else value
+
+    return text.map(lambda t: None if t is None else json.dumps(normal(json.loads(t), 0), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
 def missing_images(images: DataFrame) -> DataFrame:
     return images.where("not packed and not exists").select("name", redacted_path(F.col("filepath")).alias("filepath"))
 

@@ -143,6 +143,27 @@ def repeated(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def too_few(df: DataFrame, key: str, value: str, least: int = 2) -> DataFrame:
+    """Keys with fewer than `least` values, and how many they have."""
+    return df.groupBy(key).agg(F.count(value).alias("n")).where(F.col("n") < least)
+
+
+def binding_violations(graphs: DataFrame, topologies: DataFrame) -> DataFrame:
+    """id, constraint: configured graphs and topologies without an asset hash, and topologies that name no graph or one of
+    another kind, context or asset."""
+    own = {"asset_hash": (F.col("data_kind") != "CONFIGURED") | F.col("source_asset_sha256").isNotNull()}
+    g = graphs.select(F.col("graph_id").alias("navigation_graph_id"), F.lit(True).alias("there"), *(F.col(c).alias(f"g_{c}") for c in ("data_kind", "spatial_context_id", "source_asset_sha256")))
+    both = topologies.join(g, "navigation_graph_id", "left")
+    no = F.col("there").isNull()
+    checks = own | {
+        "graph": ~no,
+        "data_kind": no | (F.col("data_kind") == F.col("g_data_kind")),
+        "spatial_context": no | (F.col("spatial_context_id") == F.col("g_spatial_context_id")),
+        "same_asset": no | F.col("source_asset_sha256").eqNullSafe(F.col("g_source_asset_sha256")),
+    }
+    return violations(graphs, own, "graph_id").toDF("id", "constraint").unionAll(violations(both, checks, "topology_id").toDF("id", "constraint"))
+
+
 def nav_graph_violations(nodes: DataFrame, edges: DataFrame, cross_floor: str = "EXPLICIT_PARAMETERIZED_STAIRS") -> DataFrame:
     """id, constraint: repeated ids, missing endpoints, polylines that miss their nodes, and floors that the edge's kind forbids."""
     n = nodes.select("node_id", "floor_id", "position")
@@ -225,5 +246,5 @@ def network_violations(nodes: DataFrame, edges: DataFrame, cameras: DataFrame, t
 def unbound_sources(truth: DataFrame, catalog: DataFrame) -> DataFrame:
     """Truth rows whose asset hash is not the catalogue's or that were not evaluated in the scene."""
     known = catalog.select("source_asset_sha256").distinct()
-    bad = truth.join(F.broadcast(known), "source_asset_sha256", "left_anti")
+    bad = truth.join(known, "source_asset_sha256", "left_anti")
     return bad.unionByName(truth.where(F.col("sample_source") != "BLENDER_EVALUATED")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -168,6 +170,33 @@ def bounds(points: DataFrame, *by: str) -> DataFrame:
     return points.groupBy(*by).agg(*(f(a).alias(f"{a}{s}") for a in "xyz" for f, s in ((F.min, "min"), (F.max, "max"))))
 
 
+def transform_point(x: str, y: str, z: str) -> Column:
+    """A point under the affine map of the flattened matrix columns r00 .. r22, tx, ty, tz."""
+    p = [F.col(c) for c in (x, y, z)]
+    return F.struct(*((F.col(f"r{i}0") * p[0] + F.col(f"r{i}1") * p[1] + F.col(f"r{i}2") * p[2] + F.col(f"t{a}")).alias(a) for i, a in enumerate("xyz")))
+
+
+def instance_bounds(instances: DataFrame, *by: str) -> DataFrame:
+    """Bounds of boxes (lo, hi) under their matrices, from all eight transformed corners, by group."""
+    corners = F.array(*(F.struct(*(F.col(f"{end}.{a}").alias(a) for end, a in zip(ends, "xyz"))) for ends in product(("lo", "hi"), repeat=3)))
+    moved = instances.withColumn("corner", F.explode(corners)).withColumns({f"corner_{a}": F.col(f"corner.{a}") for a in "xyz"})
+    return bounds(moved.select(*by, transform_point("corner_x", "corner_y", "corner_z").alias("p")).select(*by, "p.*"), *by)
+
+
+def area_layer_tops(boxes: DataFrame, measured: DataFrame, z_tolerance: float = 0.5, objects: int = 8, faces: int = 5) -> DataFrame:
+    """area, z, kind, rank, name, polygon_index, clipped_xy_area: of each layer of area_layers, the objects and the faces
+    with the largest areas within the box; areas are compared to nine decimals, ties go by name and index."""
+    near = F.abs(F.col("z_mean") - F.col("zlo")) <= z_tolerance
+    hit = overlap_areas(boxes, horizontal(measured), near, 1e-9).withColumn("z", F.bround("z_mean", 2))
+    total = F.round(F.sum("clipped_area"), 9).alias("clipped_xy_area")
+    face = hit.groupBy("area", "z", "name", "polygon_index").agg(total)
+    object_ = hit.groupBy("area", "z", "name").agg(total).withColumn("polygon_index", F.lit(None).cast("int"))
+    order = [F.desc("clipped_xy_area"), "name", "polygon_index"]
+    columns = ["area", "z", "kind", "rank", "name", "polygon_index", "clipped_xy_area"]
+    top = lambda df, kind, k: top_per_group(df, ["area", "z"], order, k).withColumn("kind", F.lit(kind)).select(*columns)
+    return top(object_, "object", objects).unionByName(top(face, "face", faces))
+
+
 def polygons(measured: DataFrame) -> DataFrame:
     """Triangles of one polygon together: area, flat area, height weighted by area, bounds and the greatest normal."""
     return measured.groupBy("name", "polygon_index").agg(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrow import exact_sum
-from ..functions.columns import distance, segment_lengths
-from ..plans.tables import materialised
+from ..functions.columns import distance, finite, segment_lengths
+from ..sources.tables import materialised
 
 
 def with_lengths(edges: DataFrame) -> DataFrame:
@@ -21,20 +21,23 @@ def outgoing(edges: DataFrame, node_id: str) -> DataFrame:
 
 
 def locate_nodes(positions: DataFrame, nodes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """request_id, node_id, failure: the one node of the same floor within tolerance; AMBIGUOUS_POSITION where there are more.
+    """request_id, node_id, failure: the one node of the same floor within tolerance; AMBIGUOUS_POSITION where there are
+    more, INVALID_POSITION where a coordinate is missing or not finite.
 
     positions has request_id, position, floor_id. Nodes are looked for in the grid cells around a position, so the
     join is on floor and cell.
     """
     cell = max(2 * tolerance, 1e-9)
     at = lambda a, s: F.floor((F.col(f"position.{a}") + s * tolerance) / cell)
-    p = positions.where(F.col("position").isNotNull()).withColumns({f"g{a}": F.explode(F.array_distinct(F.array(at(a, -1), at(a, 1)))) for a in "x"})
+    valid = F.coalesce(finite(F.col("position.x"), F.col("position.y"), F.col("position.z")), F.lit(False))
+    p = positions.where(valid).withColumns({f"g{a}": F.explode(F.array_distinct(F.array(at(a, -1), at(a, 1)))) for a in "x"})
     p = p.withColumn("gy", F.explode(F.array_distinct(F.array(at("y", -1), at("y", 1))))).withColumn("gz", F.explode(F.array_distinct(F.array(at("z", -1), at("z", 1)))))
     n = nodes.select("node_id", "floor_id", F.col("position").alias("node_position"), *(F.floor(F.col(f"position.{a}") / cell).alias(f"g{a}") for a in "xyz"))
     near = p.join(n, ["floor_id", "gx", "gy", "gz"]).where(distance(F.col("position"), F.col("node_position")) <= tolerance)
     found = near.groupBy("request_id").agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
-    out = positions.select("request_id").join(found, "request_id", "left")
-    return out.select("request_id", F.when(F.col("n") == 1, F.col("node_id")).alias("node_id"), F.when(F.col("n") > 1, "AMBIGUOUS_POSITION").alias("failure"))
+    out = positions.select("request_id", valid.alias("valid")).join(found, "request_id", "left")
+    failure = F.when(~F.col("valid"), "INVALID_POSITION").when(F.col("n") > 1, "AMBIGUOUS_POSITION")
+    return out.select("request_id", F.when(F.col("n") == 1, F.col("node_id")).alias("node_id"), failure.alias("failure"))
 
 
 def route_polylines(routes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arrow import exact_sum, float_hex, hex_list
 from ..functions.columns import exceeds, finite
-from ..plans.tables import materialised
+from ..sources.tables import discard, materialised
 from ..sources.schemas import FEASIBILITY_FLAGS
 from . import navigation
 from .navigation import with_lengths
@@ -92,7 +92,8 @@ def walk_orders(starts: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFra
         grown = materialised(grown, "grown")
         made.append(grown.select(*START, F.col("distance").alias("far"), "parent"))
         rest = near.where(~F.col("final")).withColumn("before", F.col("after")).drop("rank", "final", "after")
-        pending = materialised(rest.unionByName(grown.where(~exceeds(F.col("distance"), F.col("reach")))).where(F.col("before") <= F.col("budget")), "pending")
+        old, pending = pending, materialised(rest.unionByName(grown.where(~exceeds(F.col("distance"), F.col("reach")))).where(F.col("before") <= F.col("budget")), "pending")
+        discard(old)
     made = reduce(DataFrame.unionByName, made).groupBy(*START, "far").agg(F.min("parent").alias("parent"))
     return materialised(reduce(DataFrame.unionByName, ranked), "ranked"), materialised(made, "made")
 

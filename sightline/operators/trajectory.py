@@ -86,9 +86,9 @@ def evaluated(samples: DataFrame, positions: DataFrame, asset_sha256: str, toler
 
 
 def frame_at(timestamp: Column, fps: Column) -> Column:
-    """Frame number of a time; a number that an evaluator cannot hold fails."""
+    """Frame number of a time from zero on; a number that an evaluator cannot hold fails."""
     frame = 1 + timestamp * fps
-    return F.when(frame <= LAST_FRAME, frame).otherwise(F.raise_error(F.lit("frame out of range")).cast("double"))
+    return F.when((timestamp >= 0) & (frame <= LAST_FRAME), frame).otherwise(F.raise_error(F.lit("frame out of range")).cast("double"))
 
 
 def expected_samples(keyframes: DataFrame) -> DataFrame:

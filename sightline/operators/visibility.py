@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cross, distance, dot, finite, minus
-from ..plans.tables import materialised
+from ..sources.tables import materialised
 from .projection import project_world
 
 MAX_FRAMES = 100_000
 MAX_CANDIDATES = 10_000
+CELL_BOXES = 5
 
 
 def samples_by_camera(samples: DataFrame, cameras: DataFrame, max_frames: int | None = MAX_FRAMES) -> DataFrame:
@@ -51,7 +52,7 @@ def rays_with_direction(rays: DataFrame) -> DataFrame:
 
 
 def ray_cells(rays: DataFrame, cell: float) -> DataFrame:
-    """ray_id, gx, gy: the columns of a grid over x and y that a ray's segment passes, found column by column along x."""
+    """rays with gx, gy: the columns of a grid over x and y that a ray's segment passes, found column by column along x."""
     ax, bx, ay, by = F.col("origin.x"), F.col("target.x"), F.col("origin.y"), F.col("target.y")
     x0, x1 = F.least(ax, bx), F.greatest(ax, bx)
     r = rays.where(F.col("length") > 0)
@@ -60,24 +61,31 @@ def ray_cells(rays: DataFrame, cell: float) -> DataFrame:
     at = lambda x: F.when(ax == bx, ay).otherwise(ay + (by - ay) * F.try_divide(x - ax, bx - ax))
     ya, yb = at(left), F.when(ax == bx, by).otherwise(at(right))
     slack = 1e-9 * cell
-    return r.withColumn("gy", F.explode(F.sequence(F.floor((F.least(ya, yb) - slack) / cell), F.floor((F.greatest(ya, yb) + slack) / cell)))).select("ray_id", "gx", "gy")
+    return r.withColumn("gy", F.explode(F.sequence(F.floor((F.least(ya, yb) - slack) / cell), F.floor((F.greatest(ya, yb) + slack) / cell))))
 
 
 def box_cells(boxes: DataFrame, cell: float) -> DataFrame:
-    """name, gx, gy: the columns of the grid that a box touches."""
+    """boxes with gx, gy: the columns of the grid that a box touches."""
     g = lambda a, s: F.floor((F.col(a) + s * 1e-9 * cell) / cell)
     b = boxes.withColumn("gx", F.explode(F.sequence(g("lo.x", -1), g("hi.x", 1))))
-    return b.withColumn("gy", F.explode(F.sequence(g("lo.y", -1), g("hi.y", 1)))).select("name", "gx", "gy")
+    return b.withColumn("gy", F.explode(F.sequence(g("lo.y", -1), g("hi.y", 1))))
 
 
-def box_hits(rays: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
-    """ray_id, name, entry for every box that a ray's segment crosses: an equi-join on grid columns, then the exact test."""
-    r = rays_with_direction(rays)
-    pairs = ray_cells(r, cell).join(box_cells(boxes, cell), ["gx", "gy"]).select("ray_id", "name").distinct()
-    both = pairs.join(r, "ray_id").join(boxes.select("name", "lo", "hi"), "name")
+def box_hits(rays: DataFrame, boxes: DataFrame, cell: float | None = None) -> DataFrame:
+    """ray_id, name, entry for every box that a ray's segment crosses.
+
+    Rays and boxes carry their geometry into one equi-join on grid columns and are tested there; only hits are shuffled
+    again, as a pair may share several columns. Without cell, its columns are CELL_BOXES boxes wide on average.
+    """
+    if cell is None:
+        wide = F.greatest(F.col("hi.x") - F.col("lo.x"), F.col("hi.y") - F.col("lo.y"))
+        cell = max((boxes.agg(F.avg(wide)).first()[0] or 0.0) * CELL_BOXES, 1e-6)
+    r = ray_cells(rays_with_direction(rays), cell).select("ray_id", "gx", "gy", "origin", "dx", "dy", "dz", "length")
+    both = r.join(box_cells(boxes, cell).select("name", "gx", "gy", "lo", "hi"), ["gx", "gy"])
     o = [F.col(f"origin.{a}") for a in "xyz"]
     entry = box_entry(*o, F.col("dx"), F.col("dy"), F.col("dz"), F.col("length"), F.col("lo"), F.col("hi"))
-    return both.withColumn("entry", entry).where(F.col("entry").isNotNull()).select("ray_id", "name", "entry")
+    met = both.select("ray_id", "name", entry.alias("entry")).where(F.col("entry").isNotNull())
+    return met.groupBy("ray_id", "name").agg(F.min("entry").alias("entry"))
 
 
 def triangle_hit(origin: Column, direction: Column, a: Column, b: Column, c: Column) -> Column:
@@ -93,7 +101,7 @@ def triangle_hit(origin: Column, direction: Column, a: Column, b: Column, c: Col
     return F.when((F.abs(det) > 1e-14) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
 
 
-def cast_rays(rays: DataFrame, boxes: DataFrame, triangles: DataFrame | None = None, cell: float = 10.0, max_candidates: int = MAX_CANDIDATES, endpoint_tolerance: float = 1e-6) -> DataFrame:
+def cast_rays(rays: DataFrame, boxes: DataFrame, triangles: DataFrame | None = None, cell: float | None = None, max_candidates: int = MAX_CANDIDATES, endpoint_tolerance: float = 1e-6) -> DataFrame:
     """ray_id, occluded, reason, occluder_id for every ray.
 
     A ray that crosses more boxes than max_candidates is RAYCAST_LIMIT. Of the others, a hit nearer than the target by

@@ -13,8 +13,8 @@ from ..functions.columns import exceeds
 from ..operators import audit, constraints, geometry, navigation, projection, search, trajectory, visibility
 from ..sources import readers
 from ..streaming import gaps as streaming
-from . import scene
-from .tables import materialised, shared_folder
+from . import contracts, scene
+from ..sources.tables import materialised, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,16 +181,26 @@ def samples_x_cameras_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("target_id", F.col("frame_id").cast("long").alias("frame_id"), "camera_id", r6(F.col("depth")).alias("depth"), r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"), "reason")
 
 
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = scene.boxes(spark, sf_dir)
+    return visibility.observation_frames(_points(spark, sf_dir), lambda rays: visibility.cast_rays(rays, boxes))
+
+
 def gap_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = visibility.observation_frames(_points(spark, sf_dir))
+    f = _frames(spark, sf_dir)
     return f.groupBy("camera_id", "status", F.coalesce("gap_reason", F.lit("-")).alias("gap_reason")).agg(F.count("*").alias("n"))
 
 
 def visible_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = visibility.observation_frames(_points(spark, sf_dir)).where("status = 'OBSERVED'")
+    f = _frames(spark, sf_dir).where("status = 'OBSERVED'")
     return f.select("target_id", F.col("frame_id").cast("long").alias("frame_id"), "camera_id", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"), "provenance")
 
 
+def occluded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir).where("gap_reason = 'OCCLUDED'")
+    return f.select("target_id", F.col("frame_id").cast("long").alias("frame_id"), "camera_id", "occluder_id")
+
+
 def frame_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames of which some keep a pixel in a gap or lack a reason."""
     f = scene.table(spark, sf_dir, "events").selectExpr(
@@ -230,24 +240,24 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_box_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = visibility.box_hits(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir), cell=25.0)
+    h = visibility.box_hits(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir))
     return h.select("ray_id", "name", r6(F.col("entry")).alias("entry"))
 
 
 def ray_nearest_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibility.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir), cell=25.0)
+    return visibility.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir))
 
 
 def ray_triangle_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rays against the triangles of rays that start outside all boxes."""
     boxes = scene.boxes(spark, sf_dir)
-    inside = visibility.box_hits(scene.rays(spark, sf_dir), boxes, cell=25.0).where("entry <= 0").select("ray_id").distinct()
+    inside = visibility.box_hits(scene.rays(spark, sf_dir), boxes).where("entry <= 0").select("ray_id").distinct()
     rays = scene.rays(spark, sf_dir).join(inside, "ray_id", "left_anti")
-    return visibility.cast_rays(rays, boxes, scene.box_triangles(boxes), cell=25.0)
+    return visibility.cast_rays(rays, boxes, scene.box_triangles(boxes))
 
 
 def ray_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibility.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir), cell=25.0, max_candidates=4).groupBy("reason").agg(F.count("*").alias("n"))
+    return visibility.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir), max_candidates=4).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def object_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,8 +445,8 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gap_topk, gap_pairs, gap_termination, gap_termination_bounds, gap_termination_short, gap_candidates, gap_candidates_short, candidate_ids, candidate_violations, shortest_routes, min_hops, route_polylines, edge_violations, nav_graph_violations, topology_violations, network_violations, locate_nodes,
-    trajectory_samples, sample_counts, unordered_keyframes, samples_x_cameras_projection, gap_reason_counts, visible_frames, frame_violations, inverse_projection, projection_rejects, projection_roundtrip, point_ids,
+    trajectory_samples, sample_counts, unordered_keyframes, samples_x_cameras_projection, gap_reason_counts, visible_frames, occluded_frames, frame_violations, inverse_projection, projection_rejects, projection_roundtrip, point_ids,
     segment_box_hits, ray_nearest_hit, ray_triangle_hit, ray_budget, object_counts, duplicate_groups, shared_data_groups, geometry_signature_groups, high_poly_objects, top_meshes, semantic_tags, portal_overlap, collection_parents,
     z_layer_histogram, layer_top5, slope_summary, polygon_measures, connected_patches, area_overlap, stair_levels, grid_surface_clusters, height_clusters, scene_bounds, camera_height_summary, camera_floor_zone, camera_intrinsics, findings,
     closed_schema_check, missing_endpoints, observation_windows, exact_times, observation_violations, stream_gap_pairs, stream_segments,
-)}
+)} | contracts.QUERIES

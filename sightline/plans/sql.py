@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .contracts import SQL as CONTRACTS
+
 
 def pad(c: str) -> str:
     return f"lpad(CAST({c} AS VARCHAR), 2, '0')"
@@ -21,7 +23,7 @@ EDGES = f"""{NODES}, edges AS (
 GAPS = """obs AS (
     SELECT user_id AS target_id, event_id, CAST(event_id % 25 AS INT) AS camera, epoch_us(ts) / 1e9 AS t FROM events WHERE event_type <> 'error'
 ), gaps AS (
-    SELECT target_id, p_event_id AS start_id, event_id AS end_id, p_camera AS start_camera, camera AS end_camera, t - p_t AS gap_s
+    SELECT target_id, p_event_id AS start_id, event_id AS end_id, p_camera AS start_camera, camera AS end_camera, t - p_t AS gap_s, t AS end_t
     FROM (SELECT *, lag(event_id) OVER w AS p_event_id, lag(camera) OVER w AS p_camera, lag(t) OVER w AS p_t FROM obs WINDOW w AS (PARTITION BY target_id ORDER BY t, event_id))
     WHERE t > p_t)"""
 GAP_PAIRS = f"WITH {GAPS} SELECT target_id, start_id, end_id, start_camera, end_camera, {r6('gap_s', 'gap_s')} FROM gaps"
@@ -78,7 +80,7 @@ KEYS = """keys AS (
            coalesce(ax - x, x - bx) / 7e-1 AS vx, coalesce(ay - y, y - by_) / 7e-1 AS vy, coalesce(az - z, z - bz) / 7e-1 AS vz, floor_id, zone_id, region
     FROM ticks t JOIN keys k ON k.id = t.id AND k.no = t.tick // 1400000)"""
 PROJECTED = f"""{KEYS}, placed AS (
-    SELECT CAST(id AS VARCHAR) AS target_id, sample_no AS frame_id, 'R' || r_regionkey AS camera_id, 9e1 - z AS depth,
+    SELECT CAST(id AS VARCHAR) AS target_id, sample_no AS frame_id, 'R' || r_regionkey AS camera_id, 2e1 * r_regionkey AS ox, 5e1 AS oy, 9e1 AS oz, x AS tx, y AS ty, z AS tz, 9e1 - z AS depth,
            CASE WHEN 9e1 - z BETWEEN 85 AND 200 THEN 64 * (x - 2e1 * r_regionkey) / (9e1 - z) + 50 END AS u, CASE WHEN 9e1 - z BETWEEN 85 AND 200 THEN 50 - 64 * (y - 5e1) / (9e1 - z) END AS v
     FROM samples, region
 ), projected AS (
@@ -103,21 +105,30 @@ def _slab(a: str, d: str) -> str:
     return f"CASE WHEN {d} = 0 THEN NULL ELSE least((lo{a} - o{a}) / {d}, (hi{a} - o{a}) / {d}) END AS n{a}, CASE WHEN {d} = 0 THEN NULL ELSE greatest((lo{a} - o{a}) / {d}, (hi{a} - o{a}) / {d}) END AS f{a}"
 
 
-HITS = f"""rays AS (
-    SELECT *, sqrt((tx - ox) ** 2 + (ty - oy) ** 2 + (tz - oz) ** 2) AS len FROM (
-        SELECT CAST(c_custkey AS VARCHAR) AS ray_id, c_custkey * 13 % 1000 + 25e-2 AS ox, c_custkey * 29 % 1000 + 25e-2 AS oy, 5e0 AS oz,
-               CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 13 % 1000 + 25e-2 ELSE c_custkey * 17 % 1000 + 5e-1 END AS tx, CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 29 % 1000 + 25e-2 ELSE c_custkey * 43 % 1000 + 5e-1 END AS ty, CASE WHEN c_custkey % 50 = 0 THEN 5e0 ELSE 6e0 END AS tz
-        FROM customer)
-), boxes AS (
+BOXES = """boxes AS (
     SELECT name, x - s AS lox, y - s AS loy, 5e0 - s AS loz, x + s AS hix, y + s AS hiy, 5e0 + s AS hiz FROM (SELECT 'M' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name, p_partkey * 37 % 1000 AS x, p_partkey * 71 % 1000 AS y, p_size / 1e1 AS s FROM part)
-), near_ AS (
-    SELECT ray_id, name, len, {_slab("x", "((tx - ox) / len)")}, {_slab("y", "((ty - oy) / len)")}, {_slab("z", "((tz - oz) / len)")}
+)"""
+
+
+def _hits(*key: str) -> str:
+    """near_, hits and first_hit of rays and boxes, for rays known by key."""
+    k = ", ".join(key)
+    return f"""near_ AS (
+    SELECT {k}, name, len, {_slab("x", "((tx - ox) / len)")}, {_slab("y", "((ty - oy) / len)")}, {_slab("z", "((tz - oz) / len)")}
     FROM rays JOIN boxes ON len > 0 AND hix >= least(ox, tx) AND lox <= greatest(ox, tx) AND hiy >= least(oy, ty) AND loy <= greatest(oy, ty) AND hiz >= least(oz, tz) AND loz <= greatest(oz, tz)
 ), hits AS (
-    SELECT ray_id, name, len, greatest(0e0, nx, ny, nz) AS entry FROM near_ WHERE greatest(0e0, nx, ny, nz) <= least(len, fx, fy, fz)
+    SELECT {k}, name, len, greatest(0e0, nx, ny, nz) AS entry FROM near_ WHERE greatest(0e0, nx, ny, nz) <= least(len, fx, fy, fz)
 ), first_hit AS (
-    SELECT ray_id, min({{'entry': entry, 'name': name}}) AS h FROM hits WHERE entry > 0 AND entry < len - 1e-6 GROUP BY ray_id
+    SELECT {k}, min({{'entry': entry, 'name': name}}) AS h FROM hits WHERE entry > 0 AND entry < len - 1e-6 GROUP BY {k}
 )"""
+
+
+HITS = f"""rays AS (
+    SELECT *, sqrt((tx - ox) ** 2 + (ty - oy) ** 2 + (tz - oz) ** 2) AS len FROM (
+        SELECT CAST(c_custkey AS VARCHAR) AS ray_id, c_custkey * 13 % 1000 + 25e-2 AS ox, c_custkey * 29 % 1000 + 25e-2 AS oy, 5e0 AS oz,
+               CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 13 % 1000 + 25e-2 ELSE c_custkey * 17 % 1000 + 5e-1 END AS tx, CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 29 % 1000 + 25e-2 ELSE c_custkey * 43 % 1000 + 5e-1 END AS ty, CASE WHEN c_custkey % 50 = 0 THEN 5e0 ELSE 6e0 END AS tz
+        FROM customer)
+), {BOXES}, {_hits("ray_id")}"""
 NEAREST = "SELECT ray_id, len > 0 AND h IS NOT NULL AS occluded, CASE WHEN len = 0 THEN 'GEOMETRY_UNCERTAIN' WHEN h IS NOT NULL THEN 'OCCLUDED' ELSE 'CLEAR' END AS reason, CASE WHEN len > 0 THEN h.name END AS occluder_id FROM rays LEFT JOIN first_hit USING (ray_id)"
 OBJECTS = """objects AS (
     SELECT ['Hall floor', 'Wall lamp', 'On-wall clock', 'Stair step', 'NavMesh path', 'AREA box', 'Front door', 'Chair'][p_partkey % 8 + 1] || ' ' || (p_partkey // 16) || CASE WHEN p_partkey % 16 > 7 THEN '.001' ELSE '' END AS name,
@@ -162,9 +173,15 @@ OVERLAPS = f"""{SURFACES}, areas AS (
     SELECT *, greatest(0e0, xlo - x) AS a, least(s, xhi - x) AS b, greatest(0e0, ylo - y) AS c, least(2e0, yhi - y) AS d FROM areas JOIN surf ON x + s >= xlo AND x <= xhi AND y + 2 >= ylo AND y <= yhi
 ), cut AS (SELECT *, {_above("c")} - {_above("d")} AS clipped FROM sides WHERE a < b AND c < d)"""
 
+FRAMES = f"""{PROJECTED}, rays AS (
+    SELECT *, sqrt((tx - ox) ** 2 + (ty - oy) ** 2 + (tz - oz) ** 2) AS len FROM projected WHERE reason = 'IN_FRUSTUM'
+), {BOXES}, {_hits("target_id", "frame_id", "camera_id")}, frames AS (
+    SELECT p.*, h.name AS occluder_id, CASE WHEN reason <> 'IN_FRUSTUM' THEN reason WHEN h IS NOT NULL THEN 'OCCLUDED' END AS gap_reason FROM projected p LEFT JOIN first_hit USING (target_id, frame_id, camera_id))"""
+
 ORACLE_SQL: dict[str, str] = {
     "gap_pairs": GAP_PAIRS,
-    "stream_gap_pairs": GAP_PAIRS,
+    # the frames of the last hour still wait for the watermark
+    "stream_gap_pairs": f"{GAP_PAIRS} WHERE end_t <= (SELECT max(t) FROM obs) - 36e-1",
     "gap_topk": f"""WITH RECURSIVE {EDGES}, {GAPS}, {walks(30.0)}, top AS (
             SELECT * FROM (SELECT s, e, len, path, row_number() OVER (PARTITION BY s, e ORDER BY len, path) AS rank FROM walks) WHERE rank <= 3)
         SELECT target_id, start_id, end_id, CAST(rank AS INT) AS rank, array_to_string(path, '>') AS corridor, len AS length, {r6("least(len / 15e-1, gap_s)", "min_time")}, {r6("greatest(0e0, gap_s - least(len / 15e-1, gap_s))", "slack")}
@@ -209,8 +226,9 @@ ORACLE_SQL: dict[str, str] = {
     "sample_counts": f"WITH {KEYS} SELECT id AS trajectory_id, count(*) AS samples, any_value((n - 1) * 1400000 // 1000000 + 1) AS grid_samples FROM samples JOIN (SELECT DISTINCT id, n FROM keys) USING (id) GROUP BY id",
     "unordered_keyframes": "SELECT o_orderkey, previous FROM (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders) WHERE previous >= o_totalprice",
     "samples_x_cameras_projection": f"WITH {PROJECTED} SELECT target_id, frame_id, camera_id, {r6('depth', 'depth')}, {r6('u', 'u')}, {r6('v', 'v')}, reason FROM projected",
-    "gap_reason_counts": f"WITH {PROJECTED} SELECT camera_id, CASE WHEN reason = 'IN_FRUSTUM' THEN 'OBSERVED' ELSE 'GAP' END AS status, CASE WHEN reason = 'IN_FRUSTUM' THEN '-' ELSE reason END AS gap_reason, count(*) AS n FROM projected GROUP BY ALL",
-    "visible_frames": f"WITH {PROJECTED} SELECT target_id, frame_id, camera_id, {r6('u', 'u')}, {r6('v', 'v')}, 'OBSERVED' AS provenance FROM projected WHERE reason = 'IN_FRUSTUM'",
+    "gap_reason_counts": f"WITH {FRAMES} SELECT camera_id, CASE WHEN gap_reason IS NULL THEN 'OBSERVED' ELSE 'GAP' END AS status, coalesce(gap_reason, '-') AS gap_reason, count(*) AS n FROM frames GROUP BY ALL",
+    "visible_frames": f"WITH {FRAMES} SELECT target_id, frame_id, camera_id, {r6('u', 'u')}, {r6('v', 'v')}, 'OBSERVED' AS provenance FROM frames WHERE gap_reason IS NULL",
+    "occluded_frames": f"WITH {FRAMES} SELECT target_id, frame_id, camera_id, occluder_id FROM frames WHERE gap_reason = 'OCCLUDED'",
     "frame_violations": """WITH f AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'GAP' WHEN event_id % 50 = 0 THEN 'SEEN' ELSE 'OBSERVED' END AS status, NOT (event_type = 'error' AND event_id % 3 > 0 OR event_id % 7 = 0) AS pixel, event_type = 'error' AND event_id % 5 > 0 AS reason FROM events),
             v AS (SELECT event_id, unnest(['status', 'observed', 'gap']) AS "constraint", unnest([status = 'SEEN', status = 'OBSERVED' AND NOT pixel, status = 'GAP' AND (pixel OR NOT reason)]) AS broken FROM f)
         SELECT event_id, "constraint" FROM v WHERE broken""",
@@ -238,6 +256,14 @@ ORACLE_SQL: dict[str, str] = {
         ), g AS (SELECT *, sum(starts) OVER (PARTITION BY o ORDER BY k) AS patch FROM m)
         SELECT 'OBJ' || o AS name, count(*) AS polygons, {r6("sum(area)", "area")}, {r6("sum(area * z) / sum(area)", "z")}, CAST(min(k) AS DOUBLE) AS xmin, max(k) + 1e0 AS xmax FROM g GROUP BY o, patch HAVING sum(area) >= 5e-2""",
     "area_overlap": f"WITH {OVERLAPS} SELECT area_ AS area, round(z_mean, 2) AS z, {r6('sum(clipped)', 'clipped_xy_area')}, {r6('sum(clipped) / 225e2', 'coverage')} FROM cut WHERE up = 0 AND clipped > 1e-9 AND abs(z_mean - zlo) <= 5e-1 GROUP BY 1, 2",
+    "area_layer_tops": f"""WITH {OVERLAPS}, faces AS (
+            SELECT area_ AS area, round(z_mean, 2) AS z, name, polygon_index, round(clipped, 9) AS clipped FROM cut WHERE up = 0 AND clipped > 1e-9 AND abs(z_mean - zlo) <= 5e-1
+        ), objects AS (
+            SELECT area, z, name, round(sum(clipped), 9) AS clipped FROM faces GROUP BY ALL
+        )
+        SELECT area, z, 'object' AS kind, rank, name, NULL AS polygon_index, {r6('clipped', 'clipped_xy_area')} FROM (SELECT *, row_number() OVER (PARTITION BY area, z ORDER BY clipped DESC, name) AS rank FROM objects) WHERE rank <= 8
+        UNION ALL
+        SELECT area, z, 'face', rank, name, polygon_index, {r6('clipped', 'clipped_xy_area')} FROM (SELECT *, row_number() OVER (PARTITION BY area, z ORDER BY clipped DESC, name, polygon_index) AS rank FROM faces) WHERE rank <= 5""",
     "stair_levels": f"WITH {OVERLAPS} SELECT area_ AS area, {r6('round_even(z_mean / 5e-2, 0) * 5e-2', 'z')}, {r6('sum(clipped)', 'clipped_xy_area')}, count(*) AS up, CAST(0 AS BIGINT) AS down FROM cut WHERE up = 0 AND clipped > 1e-7 AND z_mean >= zlo - 2 AND z_mean <= zlo + 13 GROUP BY 1, 2 HAVING sum(clipped) >= 1e-2",
     "scene_bounds": f"WITH {HITS} SELECT 'scene' AS what, min(lox) AS xmin, max(hix) AS xmax, min(loy) AS ymin, max(hiy) AS ymax, min(loz) AS zmin, max(hiz) AS zmax FROM boxes",
     "camera_height_summary": f"""WITH c AS (SELECT 'CAM_' || (s_suppkey % 3 + 1) || 'F_' AS floor, s_acctbal / 100 AS z FROM supplier WHERE s_suppkey % 3 < 2), h AS (SELECT floor, CASE WHEN floor = 'CAM_1F_' THEN 15e0 ELSE 160e0 END AS base, count(*) AS n, min(z) AS lo, median(z) AS mid, max(z) AS hi FROM c GROUP BY floor)
@@ -263,3 +289,5 @@ ORACLE_SQL: dict[str, str] = {
             v AS (SELECT unnest(['provenance', 'frame_order', 'frames', 'path_order', 'point_ids']) AS "constraint", unnest([n % 2 = 1, times < n, bad, times < n, points < n]) AS broken FROM o)
         SELECT "constraint", count(*) AS n FROM v WHERE broken GROUP BY 1""",
 }
+
+ORACLE_SQL |= CONTRACTS

@@ -36,13 +36,23 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("source_asset_sha256", F.explode("cameras").alias("c")).select("source_asset_sha256", "c.*")
 
 
+def read_inventory(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One table of an exported scene inventory, a JSON object a line under its closed schema: objects, cameras, lights,
+    images, collections, materials or meshes. A row that does not fit fails the read."""
+    return spark.read.schema(schemas.INVENTORY[kind]).option("mode", "FAILFAST").json(path)
+
+
 def unknown_fields(raw: Column, allowed: list[str]) -> Column:
     """Keys of a JSON object that the closed schema does not have; null for text that is no object."""
     return F.array_sort(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, allowed))))
 
 
-def eligible_cameras(cameras: DataFrame, prefix: str = "CAM_") -> DataFrame:
-    return cameras.where(F.col("camera_id").startswith(prefix)).orderBy("camera_id")
+def eligible_cameras(cameras: DataFrame, prefix: str = "CAM_", count: int | None = None) -> DataFrame:
+    """Cameras of this prefix by id; with count, another number of them is an error."""
+    found = cameras.where(F.col("camera_id").startswith(prefix)).orderBy("camera_id")
+    if count is not None and found.count() != count:
+        raise ValueError(f"expected {count} cameras with {prefix}")
+    return found
 
 
 def asset_fingerprint(spark: SparkSession, path: str) -> DataFrame:

@@ -33,6 +33,19 @@ SEARCH_REQUESTS = "request_id STRING, start_camera STRING, start_node STRING, en
 MESH_INSTANCES = f"name STRING, lo {V3}, hi {V3}"
 MESH_TRIANGLES = f"name STRING, polygon_index INT, a {V3}, b {V3}, c {V3}"
 
+_PROPERTIES = "custom_properties STRING"
+_PLACED = f"location {V3}, rotation_euler_radians {V3}, scale {V3}, hide_viewport BOOLEAN, hide_render BOOLEAN, linked_collections ARRAY<STRING>, {_PROPERTIES}"
+#: The tables of an exported scene inventory; custom properties are JSON.
+INVENTORY = {
+    "objects": f"name STRING, type STRING, data_name STRING, in_active_scene BOOLEAN, display_type STRING, parent STRING, dimensions {V3}, matrix_world ARRAY<ARRAY<DOUBLE>>, mesh STRUCT<vertices:BIGINT,edges:BIGINT,polygons:BIGINT,loops:BIGINT>, material_slots ARRAY<STRING>, {_PLACED}",
+    "cameras": f"object_name STRING, data_name STRING, active_in_scenes ARRAY<STRING>, matrix_world_camera_to_world ARRAY<ARRAY<DOUBLE>>, forward_world {V3}, up_world {V3}, projection_type STRING, lens_mm DOUBLE, lens_is_finite BOOLEAN, sensor_fit STRING, sensor_width_mm DOUBLE, sensor_height_mm DOUBLE, shift_x DOUBLE, shift_y DOUBLE, clip_start DOUBLE, clip_end DOUBLE, angle_x_radians DOUBLE, angle_y_radians DOUBLE, {_PLACED}",
+    "lights": f"object_name STRING, data_name STRING, type STRING, energy DOUBLE, color {V3}, {_PLACED}",
+    "images": "name STRING, source STRING, filepath STRING, path_kind STRING, exists BOOLEAN, packed BOOLEAN, packed_file_count INT, width INT, height INT, channels INT, depth INT, file_format STRING, colorspace STRING, users INT, use_fake_user BOOLEAN",
+    "collections": f"name STRING, parents ARRAY<STRING>, children ARRAY<STRING>, direct_object_count INT, all_object_count INT, direct_object_names ARRAY<STRING>, hide_viewport BOOLEAN, hide_render BOOLEAN, instance_offset {V3}, {_PROPERTIES}",
+    "materials": f"name STRING, users INT, use_nodes BOOLEAN, object_users ARRAY<STRING>, {_PROPERTIES}",
+    "meshes": f"name STRING, users INT, vertices BIGINT, edges BIGINT, polygons BIGINT, loops BIGINT, material_names ARRAY<STRING>, shape_keys STRING, {_PROPERTIES}",
+}
+
 #: The enumerations of the API.
 PROVENANCE = ("OBSERVED", "PROJECTED", "INFERRED_GAP", "GROUND_TRUTH")
 PROJECTION_REASONS = ("IN_FRUSTUM", "BEHIND_CAMERA", "NEAR_CLIPPED", "FAR_CLIPPED", "OUTSIDE_FOV")

@@ -70,6 +70,34 @@ def camera_catalog(cameras: DataFrame, asset_name: str, asset_sha256: str) -> Da
     return cameras.agg(F.sort_array(F.collect_list(body)).alias("cameras"), F.count("*").cast("int").alias("camera_count")).select(F.lit("CONFIGURED").alias("data_kind"), F.lit(asset_name).alias("source_asset_name"), F.lit(asset_sha256).alias("source_asset_sha256"), "camera_count", "cameras")
 
 
+def publish_geometry_audit(report: dict, before: dict, after: dict, path: str, overwrite: bool = True) -> Path:
+    """A geometry report with where it came from and what it does not prove. before and after are rows of
+    readers.asset_fingerprint from around the audit; an asset that changed between them is an error."""
+    changed = [k for k in ("sha256", "size", "modified") if before[k] != after[k]]
+    if changed:
+        raise ValueError(f"the asset changed during the audit: {', '.join(changed)}")
+    # fixed values: the report's statements
+    kept = {f"source_{k}_unchanged": True for k in ("hash", "size", "mtime")} | {f"{k}_operation_performed": False for k in ("save", "render")}
+    unproven = ("navigation_geometry_approved", "raw_coverage_is_walkability", "annotation_boxes_are_collision_surfaces", "stair_absence_globally_proven")
+    source = {"filename": os.path.basename(before["path"]), "sha256_before": before["sha256"], "sha256_after": after["sha256"], "size_bytes": before["size"]}
+    whole = report | {"schema_version": "1.0.0", "audit_kind": "READ_ONLY_GEOMETRY_DIAGNOSTIC", "source": source, "read_only_contract": kept, "interpretation_boundary": dict.fromkeys(unproven, False)}
+    return publish_json(whole, path, (before["path"].removeprefix("file:"),), overwrite)
+
+
+def publish_camera_catalog(cameras: DataFrame, asset_name: str, asset_sha256: str, path: str, expected: int | None = None, overwrite: bool = False) -> Path:
+    """The catalogue of a scene's cameras, a configuration document: ids must differ and their number be as expected."""
+    row = camera_catalog(cameras, asset_name, asset_sha256).first().asDict(recursive=True)
+    ids = [c["camera_id"] for c in row["cameras"]]
+    if len(set(ids)) < len(ids) or expected not in (None, len(ids)):
+        raise ValueError("camera ids repeat, or their number is not as expected")
+    return publish_json(row, path, overwrite=overwrite)
+
+
+def write_observation_bundle(frames: DataFrame, path: str, metadata: dict[str, str], overwrite: bool = False) -> None:
+    """Observation frames as write_frames does, each row with what the bundle was made from (source hash, scene, seed)."""
+    write_frames(frames.withColumns({k: F.lit(v) for k, v in metadata.items()}), path, overwrite)
+
+
 def findings_markdown(findings: DataFrame) -> str:
     """A short report of findings, most severe first; findings are a handful of rows."""
     rows = findings.orderBy("severity", "code").collect()

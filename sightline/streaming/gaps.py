@@ -22,24 +22,39 @@ def observation_segments(frames: DataFrame, delay: str = "1 hour", pause: str =
 def gap_pairs(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A row for each two neighbouring observed frames of a target with time between them.
 
-    frames: target_id, frame_id, camera, ts, t. A target's state is its last frame; frames that come late within a
-    micro-batch are put in order, later ones than the state's are joined on and earlier ones dropped.
+    frames: target_id, frame_id, camera, ts, t. Frames wait in their target's state, in order, until the watermark has
+    passed them, so that frames that come late by `delay` at most find their place; later ones are dropped as late. What
+    waits is bounded by a target's frames of that delay. A timer lets them out when no more frames come; the last frame
+    let out stays, since the next one of the target forms a pair with it. At the end of a stream the frames of the last
+    `delay` still wait.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "frame_id"])
-        last, out = (state.get if state.exists else None), []
-        for r in rows.itertuples():
-            if last is not None and (r.t, r.frame_id) <= (last[2], last[0]):
-                continue
-            if last is not None and r.t > last[2]:
-                out.append((key[0], last[0], r.frame_id, last[1], r.camera, r.t - last[2]))
-            last = (int(r.frame_id), int(r.camera), float(r.t))
+        last, waiting = (list(state.get) if state.exists else [None, []])
+        last = tuple(last) if last is not None else None
+        fresh = [b[["t", "frame_id", "camera", "ms"]] for b in batches]
+        old = pd.DataFrame([tuple(w) for w in waiting], columns=["t", "frame_id", "camera", "ms"])
+        rows = pd.concat([old, *fresh]).sort_values(["t", "frame_id"], ignore_index=True)
         if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["target_id", "start_id", "end_id", "start_camera", "end_camera", "gap_s"])
-
-    return frames.withWatermark("ts", delay).groupBy("target_id").applyInPandasWithState(step, GAP_SCHEMA, "frame_id long, camera int, t double", "append", GroupStateTimeout.NoTimeout)
+            rows = rows[(rows["t"] > last[0]) | ((rows["t"] == last[0]) & (rows["frame_id"] > last[1]))]
+        mark = state.getCurrentWatermarkMs()
+        out = rows[rows["ms"] <= mark]
+        if last is not None:
+            out = pd.concat([pd.DataFrame([last], columns=["t", "frame_id", "camera", "ms"]), out])
+        later = rows[rows["ms"] > mark]
+        pairs = pd.DataFrame({"target_id": key[0], "start_id": out["frame_id"].shift(1), "end_id": out["frame_id"], "start_camera": out["camera"].shift(1), "end_camera": out["camera"], "gap_s": out["t"] - out["t"].shift(1)})
+        if len(out):
+            t, frame_id, camera, ms = out.iloc[-1]
+            last = (float(t), int(frame_id), int(camera), int(ms))
+        kept = [(float(t), int(f), int(c), int(ms)) for t, f, c, ms in later.to_numpy().tolist()]
+        state.update((last, kept))
+        if kept:
+            state.setTimeoutTimestamp(max(kept[-1][3], mark + 1))
+        yield pairs[pairs["gap_s"] > 0].astype({"start_id": "int64", "end_id": "int64", "start_camera": "int32", "end_camera": "int32"})
+
+    frame = "struct<t:double,frame_id:bigint,camera:int,ms:bigint>"
+    timed = frames.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)
+    return timed.groupBy("target_id").applyInPandasWithState(step, GAP_SCHEMA, f"last {frame}, waiting array<{frame}>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, out: str) -> None:

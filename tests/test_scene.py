@@ -2,15 +2,18 @@
 
 import hashlib
 import json
+import os
 from collections import defaultdict
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sightline.operators import constraints, geometry, navigation, projection, trajectory, visibility
+from sightline.operators import audit, constraints, geometry, navigation, projection, trajectory, visibility
 from sightline.plans import queries, scene
 from sightline.sources import readers, sinks
+from sightline.streaming import gaps, proposals
 
 SF = "/root/testdata/sf0.001"
 V3 = "struct<x:double,y:double,z:double>"
@@ -148,6 +151,66 @@ def test_roundtrip_grid_and_stream(spark):
     assert sorted((r["target_id"], r["n_frames"]) for r in segments) == closed
 
 
+def test_stream_waits_for_late_frames(spark, tmp_path):
+    """Frames that come in a later micro-batch than newer ones, but before the watermark, are put in order."""
+    minute = lambda k: datetime(2024, 1, 1, 0, 0) + timedelta(minutes=k)
+    batches = [[(1, 10, 1, 0), (1, 12, 2, 40)], [(1, 11, 3, 20), (2, 20, 1, 30)], [(1, 13, 4, 300), (2, 21, 2, 290)], [(1, 14, 5, 10), (1, 15, 6, 500), (2, 22, 1, 500)]]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(u, f, c, minute(m), float(m)) for u, f, c, m in rows], "target_id long, frame_id long, camera int, ts timestamp, t double")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        for part in (tmp_path / "in" / f"b{k}").glob("part-*"):
+            os.makedirs(tmp_path / "src", exist_ok=True)
+            part.rename(tmp_path / "src" / f"{k}.parquet")
+            os.utime(tmp_path / "src" / f"{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    pairs = gaps.gap_pairs(stream, "1 hour")
+    gaps.run_to_end(pairs, str(tmp_path / "checkpoint"), str(tmp_path / "out"))
+    got = sorted((r["start_id"], r["end_id"], r["gap_s"]) for r in spark.read.schema(gaps.GAP_SCHEMA).parquet(str(tmp_path / "out")).collect())
+    # frame 14 comes after the watermark, frames 15 and 22 still wait
+    assert got == [(10, 11, 20.0), (11, 12, 20.0), (12, 13, 260.0), (20, 21, 260.0)]
+
+
+def test_inventory_publishers_and_proposals(spark, tmp_path):
+    lamp = {"object_name": "L", "type": "AREA", "energy": 2.0, "color": {"x": 1, "y": 1, "z": 1}, "custom_properties": "{}"}
+    (tmp_path / "lights.json").write_text(json.dumps(lamp) + "\n")
+    assert readers.read_inventory(spark, str(tmp_path / "lights.json"), "lights").select("energy", "color.x").first() == (2.0, 1.0)
+    (tmp_path / "bad.json").write_text('{"energy": "much"}\n')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.read_inventory(spark, str(tmp_path / "bad.json"), "lights").collect()
+    asset = tmp_path / "asset.bin"
+    asset.write_bytes(b"abc")
+    before = readers.asset_fingerprint(spark, str(asset)).first().asDict()
+    path = sinks.publish_geometry_audit({"regions": 2}, before, before, str(tmp_path / "audit.json"))
+    report = json.loads(path.read_text())
+    assert report["regions"] == 2 and report["source"]["sha256_before"] == before["sha256"] and report["interpretation_boundary"]["raw_coverage_is_walkability"] is False
+    with pytest.raises(ValueError):
+        sinks.publish_geometry_audit({}, before, before | {"sha256": "other"}, str(tmp_path / "audit.json"))
+    cameras = spark.createDataFrame([("CAM_2",), ("CAM_1",), ("SKP_3",)], "camera_id string")
+    assert [r[0] for r in readers.eligible_cameras(cameras, count=2).collect()] == ["CAM_1", "CAM_2"]
+    with pytest.raises(ValueError):
+        readers.eligible_cameras(cameras, count=3)
+    catalog = json.loads(sinks.publish_camera_catalog(cameras, "a", "h", str(tmp_path / "cams.json"), 3).read_text())
+    assert catalog["camera_count"] == 3 and [c["camera_id"] for c in catalog["cameras"]] == ["CAM_1", "CAM_2", "SKP_3"]
+    with pytest.raises(ValueError):
+        sinks.publish_camera_catalog(cameras.unionAll(cameras), "a", "h", str(tmp_path / "c2.json"))
+    frames = spark.createDataFrame([(1, "C1"), (2, "C2")], "frame_id int, camera_id string")
+    sinks.write_observation_bundle(frames, str(tmp_path / "bundle"), {"scene_id": "s"})
+    assert spark.read.parquet(str(tmp_path / "bundle")).select("scene_id").distinct().collect() == [("s",)]
+    requests = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "request_id string, x double")
+    found = proposals.proposals(requests, lambda r: [([(0, 0, 0), (r["x"], 0, 0)], None)] * 2).collect()
+    assert sorted((r["request_id"], r["proposal_no"], r["polyline"][1]["x"]) for r in found) == [("a", 0, 1.0), ("a", 1, 1.0), ("b", 0, 2.0), ("b", 1, 2.0)]
+
+
+def test_json_normaliser_bounds(spark):
+    deep = "[" * 9 + "1" + "]" * 9
+    wide = json.dumps({f"k{i:03}": i for i in range(250)})
+    one = lambda t: json.loads(spark.createDataFrame([(t,)], "t string").select(audit.normal_json(F.col("t"))).first()[0])
+    found = one(deep)
+    for _ in range(8):
+        found = found[0]
+    assert found == {"truncated_type": "list", "reason": "maximum_depth"} and len(one(wide)) == 200
+
+
 def test_sources_and_sinks(spark, tmp_path):
     doc = {"trajectory_id": "T", "target_id": "p", "scene_id": "s", "random_seed": 1, "sample_rate_hz": 2, "keyframes": [{"timestamp": 0.5, "position": {"x": 1, "y": 2, "z": 3}, "floor_id": "F1", "zone_id": None, "semantic_region": "a"}]}
     path = sinks.publish_json(doc, str(tmp_path / "t.json"))
