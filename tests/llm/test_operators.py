@@ -155,6 +155,73 @@ def test_mixing(spark, odd, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def hashed(*values):
+    """Spark's xxhash64 of longs, ints and strings, chained from seed 42."""
+    import xxhash
+
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else v.to_bytes(8 if kind == "l" else 4, "little", signed=True), seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def brute_mix(docs, seed=7, block=64):
+    """(doc_id, text) -> words taken, one slot at a time: for tables of one chunk and one shard."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(t) for _, t, x in docs if x == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    target, rest = {}, 1.5 * sum(total.values())
+    while True:
+        free = [s for s in sources if s not in target]
+        over = [s for s in free if rest * weight[s] > 2 * total[s] * sum(weight[x] for x in free)]
+        if not over:
+            target |= {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        share = sum(2 * total[s] for s in over)
+        target |= {s: 2.0 * total[s] for s in over}
+        rest -= share
+    blocks = {s: -(-total[s] // block) for s in sources}
+    expected = [target[s] * blocks[s] / total[s] if total[s] else 0.0 for s in sources]
+    slots = round(sum(expected))
+    p = [e / sum(expected) for e in expected]
+    counts = [int(slots * x) for x in p]
+    left = [slots * x - n for x, n in zip(p, counts)]
+    for draw in range(1, slots - sum(counts) + 1):
+        u = ((hashed(("i", seed), ("l", 0), ("i", draw)) & (1 << 64) - 1) >> 11) / float(1 << 53)
+        edges, so_far = [], 0.0
+        for x in left[:-1]:
+            so_far += x / sum(left)
+            edges.append(so_far)
+        counts[sum(e <= u for e in edges)] += 1
+    taken = Counter()
+    for no, s in enumerate(sources):
+        n, times = blocks[s], Counter()
+        for slot in range(counts[no]):
+            if slot // n < 2:
+                x = slot % n
+                for r in range(1, mixing.ROUNDS + 1):
+                    partner = (hashed(("i", seed), ("i", no), ("l", slot // n), ("i", r)) % n - x) % n
+                    if hashed(("i", seed), ("i", no), ("l", slot // n), ("i", r), ("l", max(x, partner))) % 2 == 0:
+                        x = partner
+                times[x] += 1
+        at = 0
+        for i, t, _ in sorted((d for d in docs if d[2] == s), key=lambda d: (d[0] is not None, d[0], hashed(("s", d[1] or "")))):
+            for word in range(at, at + size(t)):
+                taken[i, t] += times[word // block]
+            at += size(t)
+    return taken
+
+
+def test_mixing_slot_by_slot(spark):
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(None, "rows without an id " * 9, None), (None, None, "web")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = brute_mix(docs)
+    by_hash = {(i, hashed(("s", t or ""))): want[i, t] for i, t, _ in docs}
+    assert {(r["doc_id"], r["text_hash"]): r["taken"] for r in mixing.mix(df)[0].collect()} == by_hash
+
+
 def test_mixing_one_document_under_two_sources(spark):
     docs = [(1, "both have these words", s) for s in ("a", "b", None)] + [(10 + i, f"w{i} " * 90, s) for i, s in enumerate(["a", "b", None] * 3)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
