@@ -13,8 +13,8 @@ has a signature of COORDINATES values, each the hash of ROWS MinHash values, and
   to be linked through the closest one, and any other pair must share the more of their differences the farther out it
   lies. Differences, rarest shingle first, have a prefix in which any partner shares a shingle. The classes with a
   shingle in their prefixes are a smaller family with a centre of its own, at most half as large, and so on. Families of
-  FEW classes at most are compared in one task, those of SHORT at most give their pairs, and so do larger ones whose
-  pairs are fewer than the families they would fall into. Equal families are looked at once. All bounds are exact.
+  FEW classes at most are compared in one task; larger ones give their pairs only where these are fewer than the classes
+  of all families that they would fall into. Equal families are looked at once. All bounds are exact.
 
 Pairs are kept when at least m coordinates match, and become links when the whole sets, rebuilt from the texts, are as
 similar as asked. m is the largest number that a pair of exactly that similarity misses with a chance of MISS at most.
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import pairwise
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -221,14 +221,12 @@ def refined(members: DataFrame, n_families: int, similarity: int) -> tuple[list[
         lists = ranked.groupBy("family", "shingle").agg(F.first("n").alias("n"), F.count("*").alias("n_next"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
         lists = lists.where("low <> high").groupBy("n_next", "x", "y").agg(F.min(F.struct("family", "shingle", "n")).alias("l"))
         lists = written(lists.select("l.*", "n_next", F.concat_ws("-", F.hex("x"), F.hex("y"), "n_next").alias("next")), "near-next")
-        work = F.sum(F.when(F.col("n_next") <= SHORT, F.expr("n_next * (n_next - 1) / 2")).otherwise(F.col("n_next")))
-        flat = written(lists.groupBy("family", "n").agg(work.alias("work")).where("work >= n * (n - 1) / 2").select("family"), "near-flat")
+        flat = written(lists.groupBy("family", "n").agg(F.sum("n_next").alias("work")).where("work >= n * (n - 1) / 2").select("family"), "near-flat")
         n_flat = flat.count()
         going = lists.join(broadcast_if_small(flat, n_flat, BROADCAST_IDS), "family", "left_anti") if n_flat else lists
         n_going, n_families = going.agg(F.count("*"), F.count_if(F.col("n_next") > FEW)).first()
         one = ranked.drop("n").join(broadcast_if_small(going.drop("n"), n_going, BROADCAST_IDS), ["family", "shingle"])
-        pairs.append(written(in_family(one.where(F.col("n_next") <= SHORT).select("next", "digest", "size", "label"), "next", similarity), "near-pairs"))
-        few = placed.join(one.where((F.col("n_next") > SHORT) & (F.col("n_next") <= FEW)).select("family", "digest", "next"), ["family", "digest"])
+        few = placed.join(one.where(F.col("n_next") <= FEW).select("family", "digest", "next"), ["family", "digest"])
         links.append(written(compared(few.select(F.col("next").alias("family"), "digest", "size", "label", "apart"), similarity), "near-compared"))
         if n_flat:
             whole = placed.join(broadcast_if_small(flat, n_flat, BROADCAST_IDS), "family", "left_semi").select("family", "digest", "size", "label")
@@ -241,55 +239,92 @@ def refined(members: DataFrame, n_families: int, similarity: int) -> tuple[list[
     return links, pairs
 
 
+def shared_in_family(apart: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of one family's arrays share: products of presence matrices, BLOCK_SHINGLES values wide."""
+    of_row = np.repeat(np.arange(len(apart)), [len(x) for x in apart])
+    _, codes, held = np.unique(np.concatenate(apart), return_inverse=True, return_counts=True)
+    often = held[codes] > 1
+    codes, of_row, n = (np.cumsum(held > 1) - 1)[codes[often]], of_row[often], int((held > 1).sum())
+    out = np.zeros((len(apart),) * 2, np.int64)
+    for first in range(0, n, BLOCK_SHINGLES):
+        here = (codes >= first) & (codes < first + BLOCK_SHINGLES)
+        has = np.zeros((len(apart), min(BLOCK_SHINGLES, n - first)), np.float32)
+        has[of_row[here], codes[here] - first] = 1
+        out += np.rint(has @ has.T).astype(np.int64)
+    return out
+
+
+def shared_in_families(values: np.ndarray, family: np.ndarray, place: np.ndarray, n_families: int) -> np.ndarray:
+    """The same for many families of SHORT classes at most, by family and places: each value has its family's classes as a
+    set of bits, and equal sets of a family are counted once."""
+    order = np.lexsort((values, family))
+    values, family, bits = values[order], family[order], (1 << place[order]).astype(np.uint8)
+    first = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (family[1:] != family[:-1])])) if len(values) else np.zeros(0, np.int64)
+    sets = np.bitwise_or.reduceat(bits, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+    keys, times = np.unique(family[first].astype(np.int64) << 8 | sets, return_counts=True)
+    out = np.zeros((n_families, SHORT, SHORT), np.int64)
+    for i, j in combinations(range(SHORT), 2):
+        both = (keys >> i) & (keys >> j) & 1 > 0
+        np.add.at(out[:, i, j], keys[both] >> 8, times[both])
+    return out
+
+
 def compared(rows: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) that join all classes of rows (family, digest, size, label, apart) which are linked within a family of
     FEW classes at most; a link is left out where others and equal labels join its classes."""
 
-    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    def whole_families(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Rows of whole families, with where each begins and the end."""
         rest = None
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
-            names = table.column("family").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()] if len(names) else [0]
-            for a, b in pairwise(cuts):
-                yield table.slice(a, b - a)
-            rest = table.slice(cuts[-1])
+            for part in slices(batch, SLICE_BYTES, 4):
+                one = pa.Table.from_batches([part])
+                table = one if rest is None else pa.concat_tables([rest, one]).combine_chunks()
+                names = table.column("family").to_numpy()
+                cuts = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])
+                if len(cuts) > 1:
+                    yield table.slice(0, cuts[-1]).combine_chunks(), cuts
+                rest = table.slice(cuts[-1])
         if rest is not None and rest.num_rows:
-            yield rest
+            yield rest.combine_chunks(), np.array([0, rest.num_rows])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for family in families(batches):
-            digests, labels = family.column("digest").to_pylist(), family.column("label").to_pylist()
-            size, apart = family.column("size").to_numpy().astype(np.int64), family.column("apart").combine_chunks()
-            lengths, flat = apart.value_lengths().to_numpy().astype(np.int64), apart.flatten().to_numpy()
-            _, codes, held = np.unique(flat, return_inverse=True, return_counts=True)
-            often, of_row = held[codes] > 1, np.repeat(np.arange(len(size)), lengths)
-            codes, of_row = (np.cumsum(held > 1) - 1)[codes[often]], of_row[often]
-            common = np.zeros((len(size),) * 2, np.int64)
-            n_shared = int((held > 1).sum())
-            for first in range(0, n_shared, BLOCK_SHINGLES):
-                here = (codes >= first) & (codes < first + BLOCK_SHINGLES)
-                has = np.zeros((len(size), min(BLOCK_SHINGLES, n_shared - first)), np.float32)
-                has[of_row[here], codes[here] - first] = 1
-                common += np.rint(has @ has.T).astype(np.int64)
-            differ = lengths[:, None] + lengths[None, :] - 2 * common
-            linked = (100 - similarity) * (size[:, None] + size[None, :]) >= (100 + similarity) * differ
-            root, out = {label: label for label in labels}, []
+        for table, cuts in whole_families(batches):
+            digests, labels = table.column("digest").to_pylist(), table.column("label").to_pylist()
+            size, lists = table.column("size").to_numpy().astype(np.int64), table.column("apart").chunk(0)
+            length, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+            edges, n = np.concatenate([[0], np.cumsum(length)]), np.diff(cuts)
+            root, out = {}, []
 
             def top(x: bytes) -> bytes:
-                while root[x] != x:
+                while root.get(x, x) != x:
                     x = root[x]
                 return x
 
-            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
-                a, b = top(labels[i]), top(labels[j])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((min(digests[i], digests[j]), max(digests[i], digests[j])))
+            def link(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> None:
+                near = (100 - similarity) * (size[x] + size[y]) >= (100 + similarity) * (length[x] + length[y] - 2 * shared)
+                for i, j in zip(x[near].tolist(), y[near].tolist()):
+                    a, b = top(labels[i]), top(labels[j])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((min(digests[i], digests[j]), max(digests[i], digests[j])))
+
+            family = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(size)) - cuts[:-1][family]
+            small = np.repeat((n <= SHORT)[family], length)
+            shared = shared_in_families(flat[small], np.repeat(family, length)[small], np.repeat(place, length)[small], len(n))
+            for i, j in combinations(range(SHORT), 2):
+                here = np.flatnonzero((n > j) & (n <= SHORT))
+                link(cuts[here] + i, cuts[here] + j, shared[here, i, j])
+            for k in np.flatnonzero(n > SHORT).tolist():
+                i, j = np.triu_indices(n[k], 1)
+                link(cuts[k] + i, cuts[k] + j, shared_in_family([flat[edges[r] : edges[r + 1]] for r in range(cuts[k], cuts[k + 1])])[i, j])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        pa.default_memory_pool().release_unused()
 
-    dealt = rows.repartition("family").sortWithinPartitions("family")
+    dealt = rows.select(F.xxhash64("family").alias("family"), F.col("family").alias("name"), "digest", "size", "label", "apart")
+    dealt = dealt.repartition("family").sortWithinPartitions("family", "name").select(F.xxhash64("name", F.lit(1)).alias("family"), "digest", "size", "label", "apart")
     return dealt.mapInArrow(compare, "a binary, b binary")
 
 
@@ -353,18 +388,17 @@ def decided(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
     short, long = members.where(F.col("n_list") <= SHORT), members.where(F.col("n_list") > SHORT)
     within = short.select("value", F.col("digest").alias("a")).join(short.select("value", F.col("digest").alias("b")), "value").where("a < b").select("a", "b").distinct()
     within = written(matching(within, classes, least, similarity), "near-within")
-    by_rarity = Window.partitionBy("digest").orderBy("n_list", "value")
-    dense = written(long.groupBy("digest").agg(F.count("*").alias("n_long")).where(F.col("n_long") >= least), "near-dense")
-    prefix = long.join(dense, "digest").withColumn("rank", F.row_number().over(by_rarity)).where(F.col("rank") <= F.col("n_long") - (least - 1)).select("value", "digest")
-    prefix = written(prefix, "near-prefix")
+    of_class = Window.partitionBy("digest")  # COORDINATES rows at most
+    prefix = long.withColumn("n_long", F.count("*").over(of_class)).withColumn("rank", F.row_number().over(of_class.orderBy("n_list", "value")))
+    prefix = written(prefix.where(F.col("rank") <= F.col("n_long") - (least - 1)).select("value", "digest"), "near-prefix")
 
-    wanted = within.select(F.col("a").alias("digest")).unionAll(within.select("b")).unionAll(dense.select("digest")).distinct()
+    wanted = within.select(F.col("a").alias("digest")).unionAll(within.select("b")).unionAll(prefix.select("digest")).distinct()
     wanted = written(wanted.join(classes.select("digest", "rep", "rep_key"), "digest"), "near-wanted")
     sets = written(whole_sets(docs, shingle_words, wanted), "near-sets")
 
     # families of dense classes
     hubs = prefix.groupBy("value").agg(F.min("digest").alias("hub"))
-    kin = components(prefix.join(broadcast_if_small(hubs, n_lists, BROADCAST_LISTS), "value").where(F.col("digest") != F.col("hub")).select(*ordered("digest", "hub")).distinct())
+    kin = components(prefix.join(broadcast_if_small(hubs, n_lists, BROADCAST_LISTS), "value").where(F.col("digest") != F.col("hub")).select(*ordered("digest", "hub")))
     families = kin.groupBy("label").agg(F.count("*").alias("n"))
     n_kin, n_families = kin.agg(F.count("*"), F.countDistinct("label")).first()
     members = sets.join(broadcast_if_small(kin.join(broadcast_if_small(families, n_families, BROADCAST_IDS), "label"), n_kin, BROADCAST_IDS), "digest").select(F.hex("label").alias("family"), "n", "digest", F.size("shingles").alias("size"), F.col("digest").alias("label"), F.col("shingles").alias("apart"))

@@ -223,11 +223,12 @@ def document_deltas(texts: pa.Array, count: PrefixCounter) -> list[np.ndarray]:
     return found
 
 
-def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about size bytes of text in column 1 at most, one row at least."""
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about size bytes at most in a column of texts or lists of 8-byte values, one row at least."""
     if not batch.num_rows:
         return
-    lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    values = batch.column(column)
+    lengths = (8 * values.value_lengths().to_numpy() if pa.types.is_list(values.type) else pc.binary_length(values).to_numpy(zero_copy_only=False)).astype(np.int64)
     group = np.cumsum(lengths, dtype=np.int64) // size
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in pairwise(edges):

@@ -457,7 +457,7 @@ def test_candidates_of_a_template_grow_with_its_documents(spark, monkeypatch):
 
     def counted(df, label):
         out = write(df, label)
-        if label in ("near-pairs", "near-within", "near-next-members", "near-stars"):
+        if label in ("near-pairs", "near-within", "near-next-members", "near-compared", "near-stars"):
             rows.append(out.count())
         return out
 
