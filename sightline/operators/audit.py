@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import bin_of
 from ..sources.tables import materialised
@@ -179,12 +180,12 @@ def simple_boxes(objects: DataFrame) -> DataFrame:
 
 
 def redacted_path(path: Column) -> Column:
-    """An absolute path or address without its folders, query and fragment."""
+    """An absolute path without its folders, an address without query and fragment; // begins a path relative to the scene."""
     plain = F.regexp_replace(path, r"[?#].*$", "")
-    return F.when(plain.rlike(r"^(/|[A-Za-z]:[\\/])"), F.element_at(F.split(plain, r"[/\\]"), -1)).otherwise(plain)
+    return F.when(plain.rlike(r"^(/(?!/)|[A-Za-z]:[\\/])"), F.element_at(F.split(plain, r"[/\\]"), -1)).otherwise(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_json(text: pd.Series) -> pd.Series:
     """A JSON value with sorted keys, at most MAX_KEYS an object and MAX_DEPTH deep; addresses lose their query, absolute
     paths all but their last part."""

@@ -23,7 +23,7 @@ def gap_pairs(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A row for each two neighbouring observed frames of a target with time between them.
 
     frames: target_id, frame_id, camera, ts, t. Frames wait in their target's state, in order, until the watermark has
-    passed them, so that frames that come late by `delay` at most find their place; later ones are dropped as late. What
+    passed them, so that frames that come late by `delay` at most find their place; frames older than the last one let out are dropped as late. What
     waits is bounded by a target's frames of that delay. A timer lets them out when no more frames come; the last frame
     let out stays, since the next one of the target forms a pair with it. At the end of a stream the frames of the last
     `delay` still wait.
@@ -34,13 +34,14 @@ def gap_pairs(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
         last = tuple(last) if last is not None else None
         fresh = [b[["t", "frame_id", "camera", "ms"]] for b in batches]
         old = pd.DataFrame([tuple(w) for w in waiting], columns=["t", "frame_id", "camera", "ms"])
-        rows = pd.concat([old, *fresh]).sort_values(["t", "frame_id"], ignore_index=True)
+        rows = pd.concat([x for x in (old, *fresh) if len(x)] or [old]).sort_values(["t", "frame_id"], ignore_index=True)
         if last is not None:
             rows = rows[(rows["t"] > last[0]) | ((rows["t"] == last[0]) & (rows["frame_id"] > last[1]))]
         mark = state.getCurrentWatermarkMs()
         out = rows[rows["ms"] <= mark]
         if last is not None:
-            out = pd.concat([pd.DataFrame([last], columns=["t", "frame_id", "camera", "ms"]), out])
+            first = pd.DataFrame([last], columns=["t", "frame_id", "camera", "ms"])
+            out = pd.concat([first, out]) if len(out) else first
         later = rows[rows["ms"] > mark]
         pairs = pd.DataFrame({"target_id": key[0], "start_id": out["frame_id"].shift(1), "end_id": out["frame_id"], "start_camera": out["camera"].shift(1), "end_camera": out["camera"], "gap_s": out["t"] - out["t"].shift(1)})
         if len(out):
@@ -49,7 +50,7 @@ def gap_pairs(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
         kept = [(float(t), int(f), int(c), int(ms)) for t, f, c, ms in later.to_numpy().tolist()]
         state.update((last, kept))
         if kept:
-            state.setTimeoutTimestamp(max(kept[-1][3], mark + 1))
+            state.setTimeoutTimestamp(kept[0][3])  # beyond the watermark
         yield pairs[pairs["gap_s"] > 0].astype({"start_id": "int64", "end_id": "int64", "start_camera": "int32", "end_camera": "int32"})
 
     frame = "struct<t:double,frame_id:bigint,camera:int,ms:bigint>"

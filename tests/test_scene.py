@@ -154,7 +154,7 @@ def test_roundtrip_grid_and_stream(spark):
 def test_stream_waits_for_late_frames(spark, tmp_path):
     """Frames that come in a later micro-batch than newer ones, but before the watermark, are put in order."""
     minute = lambda k: datetime(2024, 1, 1, 0, 0) + timedelta(minutes=k)
-    batches = [[(1, 10, 1, 0), (1, 12, 2, 40)], [(1, 11, 3, 20), (2, 20, 1, 30)], [(1, 13, 4, 300), (2, 21, 2, 290)], [(1, 14, 5, 10), (1, 15, 6, 500), (2, 22, 1, 500)]]
+    batches = [[(1, 10, 1, 0), (1, 12, 2, 40)], [(1, 11, 3, 20), (2, 20, 1, 30)], [(1, 13, 4, 300), (2, 21, 2, 290)], [(1, 14, 5, 10), (1, 15, 6, 500), (2, 22, 1, 500)], [(1, 16, 7, 15), (1, 17, 7, 510)]]
     for k, rows in enumerate(batches):
         df = spark.createDataFrame([(u, f, c, minute(m), float(m)) for u, f, c, m in rows], "target_id long, frame_id long, camera int, ts timestamp, t double")
         df.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
@@ -166,8 +166,8 @@ def test_stream_waits_for_late_frames(spark, tmp_path):
     pairs = gaps.gap_pairs(stream, "1 hour")
     gaps.run_to_end(pairs, str(tmp_path / "checkpoint"), str(tmp_path / "out"))
     got = sorted((r["start_id"], r["end_id"], r["gap_s"]) for r in spark.read.schema(gaps.GAP_SCHEMA).parquet(str(tmp_path / "out")).collect())
-    # frame 14 comes after the watermark, frames 15 and 22 still wait
-    assert got == [(10, 11, 20.0), (11, 12, 20.0), (12, 13, 260.0), (20, 21, 260.0)]
+    # frame 14 comes before anything of its time was let out, frame 16 after; frames 15, 17 and 22 still wait
+    assert got == [(10, 14, 10.0), (11, 12, 20.0), (12, 13, 260.0), (14, 11, 10.0), (20, 21, 260.0)]
 
 
 def test_inventory_publishers_and_proposals(spark, tmp_path):
