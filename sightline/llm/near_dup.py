@@ -162,8 +162,9 @@ def whole_sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 )
 
     rebuilt = texts.mapInArrow(build, "digest binary, shingles array<long>")
-    # rows without id may share a text
-    return rebuilt.join(broadcast_if_small(wanted.select("digest"), n, BROADCAST_IDS), "digest", "left_semi").dropDuplicates(["digest"])
+    sets = written(rebuilt.join(broadcast_if_small(wanted.select("digest"), n, BROADCAST_IDS), "digest", "left_semi"), "near-sets")
+    # repeated rows and rows without id may share a text; without them no set is shuffled
+    return sets if sets.count() == n else written(sets.dropDuplicates(["digest"]), "near-distinct-sets")
 
 
 def matching(pairs: DataFrame, classes: DataFrame, least: int, similarity: int) -> DataFrame:
@@ -175,8 +176,9 @@ def matching(pairs: DataFrame, classes: DataFrame, least: int, similarity: int)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets have 100 * intersection >= similarity * union."""
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    """Of pairs (a, b), those whose whole sets have 100 * intersection >= similarity * union. Pairs are hashed and sets pass
+    by, as sorting sets takes all the memory that it is given."""
+    both = pairs.hint("shuffle_hash").join(sets.toDF("a", "set_a"), "a").hint("shuffle_hash").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     both = both.withColumn("common", common).withColumn("all", F.size("set_a") + F.size("set_b") - F.col("common"))
     return both.where(100 * F.col("common") >= similarity * F.col("all")).select("a", "b")
@@ -394,7 +396,7 @@ def decided(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
 
     wanted = within.select(F.col("a").alias("digest")).unionAll(within.select("b")).unionAll(prefix.select("digest")).distinct()
     wanted = written(wanted.join(classes.select("digest", "rep", "rep_key"), "digest"), "near-wanted")
-    sets = written(whole_sets(docs, shingle_words, wanted), "near-sets")
+    sets = whole_sets(docs, shingle_words, wanted)
 
     # families of dense classes
     hubs = prefix.groupBy("value").agg(F.min("digest").alias("hub"))
