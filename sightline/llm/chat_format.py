@@ -106,14 +106,14 @@ def repaired_turns(turns: DataFrame) -> DataFrame:
 
     action is keep, merge, relabel or relabel+merge. empty_before lists the empty messages put in before the turn,
     empty_after those after a conversation's last. cost is the whole conversation's, on its last turn, else null.
-    piece is the turn's part of the rendered conversation: the pieces of a conversation, ordered by turn, role, text,
-    make it up. Turns are ordered by number (null first), then role and text. Roles are compared in lower case without
+    piece is the turn's part of the rendered conversation: the pieces of a conversation, ordered by turn, role, hash of the
+    text (xxhash64) and text, make it up. Turns are ordered so too, null numbers and roles first. Roles are compared in lower case without
     white space around; null and unknown roles need a relabel. Null text counts as empty, and a turn with empty text is
     kept. Rows without conv_id are one conversation. Repeated rows are turns of their own.
     """
     conv, turn = (turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     order = ["conv_id", "turn", "role", "tie"]
-    sorted_ = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "text")
+    sorted_ = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text").select("conv_id", "turn", "role", "text")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, no = TaskContext.get().partitionId(), None, 0

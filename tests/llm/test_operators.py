@@ -531,6 +531,22 @@ def test_chat(spark):
         assert re.fullmatch(r"(system,)?(user,assistant,)*", "".join(f"{r}," for r in found)), text
 
 
+def test_chat_ties_over_partitions(spark):
+    """Many texts under one turn and role lie in several partitions; they are in the order of their hashes."""
+    texts_ = [f"t{i:05}" for i in range(3000)]
+    df = spark.createDataFrame([(1, 0, "user", t) for t in texts_], "conv_id long, turn int, role string, text string").repartition(7)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = chat_format.repaired_turns(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    order = sorted(texts_, key=lambda t: (hashed(("s", t)), t))
+    assert [next(t for t in (order[-1],) if t in r["piece"]) for r in rows if r["cost"] is not None] == [order[-1]]
+    starts = [r["piece"] for r in rows if r["piece"].startswith("<|user|>")]
+    assert len(starts) == 1 and order[0] in starts[0]
+
+
 def test_chat_over_partitions_and_odd_rows(spark):
     turns = [(1, t, ("user", "assistant")[t % 2], "x") for t in range(4000)] + [(None, None, None, None), (None, 1, " GPT ", ""), (2, 1, "user", "a"), (2, 1, "user", "a")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
