@@ -385,9 +385,14 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ports.agg(F.count("*").alias("portals"), F.count_if(F.col("name").contains("STAIR")).alias("stair_portals"))
     overlaps = audit.portal_overlaps(ports).agg(F.count("*").alias("portal_overlaps"))
     walkable = audit.tags(objects).where("category = 'walkable'").agg(F.count("*").alias("walkable_tagged"))
-    one = [d.withColumn("k", F.lit(1)) for d in (o, p, overlaps, walkable)]
-    m = one[0].join(one[1], "k").join(one[2], "k").join(one[3], "k")
-    m = m.selectExpr("*", "true as metric_units", "1.0D as unit_scale", "29L as research_cameras", "132.0D as min_camera_z", "1L as imported_cameras", "0L as bad_intrinsics", "0L as annotated_stair_areas", "0L as outer_lights", "120L as images", "0L as missing_images")
+    # suppliers as cameras, customers as lights, parts as images
+    s = scene.table(spark, sf_dir, "supplier").agg(F.count_if(F.expr("s_suppkey % 3 < 2")).alias("research_cameras"), F.expr("min(if(s_suppkey % 3 < 2, 30 + s_suppkey, null))").alias("min_camera_z"), F.count_if(F.expr("s_suppkey % 3 = 2")).alias("imported_cameras"), F.count_if(F.expr("s_suppkey % 97 = 1")).alias("bad_intrinsics"))
+    lights = scene.table(spark, sf_dir, "customer").agg(F.count_if(F.expr("c_custkey % 50 = 7")).alias("outer_lights"))
+    images = scene.table(spark, sf_dir, "part").agg(F.count_if(F.expr("p_partkey % 2 = 0")).alias("images"), F.count_if(F.expr("p_partkey % 400 = 2")).alias("missing_images"), F.count_if(F.expr("p_partkey % 8 = 3 and p_size > 200")).alias("annotated_stair_areas"))
+    m = None
+    for d in (o, p, overlaps, walkable, s, lights, images):  # one row each
+        m = d.withColumn("k", F.lit(1)) if m is None else m.join(d.withColumn("k", F.lit(1)), "k")
+    m = m.selectExpr("*", "true as metric_units", "1.0D as unit_scale")
     return audit.findings(m).select("code", "severity", "n", "recommended_action")
 
 

@@ -273,14 +273,17 @@ ORACLE_SQL: dict[str, str] = {
     "camera_intrinsics": f"""WITH v AS (SELECT p_partkey, 1920 / (p_size / 8e0 + p_size / 1e1) AS fx, 1080 / (25e-2 + p_size / 1e2 + 5e-1) AS fy, p_size / 1e1 AS l, 25e-2 + p_size / 1e2 AS t FROM part)
         SELECT p_partkey, {r6("fx", "fx")}, {r6("fy", "fy")}, {r6("l * fx", "cx")}, {r6("t * fy", "cy")} FROM v""",
     "findings": f"""WITH {TAGS}, {PORTALS}, f AS (
-            SELECT 'UNIT_SCALE_REVIEW_REQUIRED' AS code, 'blocking_for_metric_evaluation' AS severity, 29 AS n
-            UNION ALL SELECT 'IMPORTED_CAMERA_REVIEW_CANDIDATE', 'review', 1
+            SELECT 'UNIT_SCALE_REVIEW_REQUIRED' AS code, 'blocking_for_metric_evaluation' AS severity, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 < 2) AS n
+            UNION ALL SELECT 'IMPORTED_CAMERA_REVIEW_CANDIDATE', 'review', (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 2)
+            UNION ALL SELECT 'NONFINITE_CAMERA_INTRINSICS', 'blocking_for_camera_allowlist', (SELECT count(*) FROM supplier WHERE s_suppkey % 97 = 1)
+            UNION ALL SELECT 'OUTER_LIGHT_GRID_NOT_REQUIRED_FOR_GEOMETRY', 'review', (SELECT count(*) FROM customer WHERE c_custkey % 50 = 7)
+            UNION ALL SELECT 'MISSING_EXTERNAL_IMAGES', 'render_review', (SELECT count(*) FROM part WHERE p_partkey % 400 = 2)
             UNION ALL SELECT 'AREA_PORTAL_BOXES_ARE_NOT_WALKABLE_GEOMETRY', 'blocking_for_automatic_navmesh', (SELECT count(*) FROM objects WHERE name LIKE 'AREA %') + (SELECT count(*) FROM supplier)
             UNION ALL SELECT 'STAIR_TRANSITION_METADATA_MISSING', 'blocking_for_cross_floor_topology', (SELECT count(*) FROM objects WHERE name LIKE 'Stair%')
             UNION ALL SELECT 'CROSS_FLOOR_PORTAL_TRANSFORM_OVERLAP', 'scene_data_review', (SELECT count(*) FROM shared_places)
             UNION ALL SELECT 'NO_EXPLICIT_NAVMESH_OBJECT', 'blocking_for_automatic_navmesh', (SELECT CASE WHEN count(*) > 0 THEN 0 ELSE (SELECT count(*) FROM tags WHERE category = 'walkable') END FROM objects WHERE lower(name) LIKE '%navmesh%')
             UNION ALL SELECT 'HIGH_POLY_OBJECTS', 'performance_review', (SELECT count(*) FROM objects WHERE type = 'MESH' AND polygons >= 50000)
-            UNION ALL SELECT 'LARGE_APPEARANCE_ASSET_SET', 'performance_review', (SELECT count(DISTINCT p_brand) + 120 FROM objects))
+            UNION ALL SELECT 'LARGE_APPEARANCE_ASSET_SET', 'performance_review', (SELECT CASE WHEN count(DISTINCT p_brand) >= 100 OR count_if(p_partkey % 2 = 0) >= 100 THEN count(DISTINCT p_brand) + count_if(p_partkey % 2 = 0) ELSE 0 END FROM part))
         SELECT code, severity, n, 'manual_review_only' AS recommended_action FROM f WHERE n > 0""",
     "closed_schema_check": "SELECT event_id, 'extra' AS unknown FROM events WHERE event_id % 10 = 0",
     "missing_endpoints": f"WITH {PROPOSED} SELECT DISTINCT edge_id, 'N' || {pad('b')} AS node_id FROM pe WHERE b > 24",
