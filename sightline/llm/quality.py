@@ -1,11 +1,12 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Each class has a mean and a covariance that is shrunk towards the pooled covariance and its diagonal. A document's
-score comes from the difference of the two log densities: Mahalanobis distances by triangular solves with Cholesky
-factors that are computed once, log determinants and class shares.
+score comes from the difference of the two log densities: Mahalanobis distances by the inverses of Cholesky factors,
+both computed once, log determinants and class shares.
 
 The statistics of all documents are written once. Fitting needs counts, sums and sums of products of the labelled rows,
-which Spark adds up; the driver sees matrices whose size does not depend on the data.
+which Spark adds up; the driver sees matrices whose size does not depend on the data. Spark adds in any order, so a
+score may differ in its last bits from run to run.
 """
 
 from __future__ import annotations
