@@ -146,10 +146,17 @@ def top_surface_grid(relevant: DataFrame, grid: int = 9) -> DataFrame:
 def clusters(values: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
     """key, cluster, mean, min, max, n: sorted values, each in the last cluster while it is within tolerance above that cluster's mean.
 
-    A value depends on all before it, so a key's distinct values are folded in order, with counts for repeats.
+    A value more than the tolerance above the one before it always begins a cluster. Such gaps are found between bins
+    that are a tolerance wide, and each run of values without one is folded in order, with counts for repeats: within a
+    run a value depends on all before it.
     """
-    counted = values.groupBy(key, value).agg(F.count("*").alias("n"))
-    ordered = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias("vs"))
+    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col(value) / tolerance))
+    by_bin = Window.partitionBy(key).orderBy("bin")
+    bins = counted.groupBy(key, "bin").agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    begins = F.coalesce((F.col("least") - F.lag("most").over(by_bin) > tolerance).cast("int"), F.lit(1))
+    bins = bins.withColumn("begins", begins).select(F.col(key).alias("bin_key"), "bin", F.sum("begins").over(by_bin).alias("run"))
+    runs = counted.join(bins, counted[key].eqNullSafe(bins["bin_key"]) & (counted["bin"] == bins["bin"]))
+    ordered = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias("vs"))
     cluster = "struct<sum:double,n:bigint,lo:double,hi:double>"
     zero = F.array().cast(f"array<{cluster}>")
     one = lambda e: F.struct((e["v"] * e["n"]).alias("sum"), e["n"].alias("n"), e["v"].alias("lo"), e["v"].alias("hi"))
@@ -161,7 +168,9 @@ def clusters(values: DataFrame, key: str, value: str, tolerance: float) -> DataF
         head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(F.coalesce(fits, F.lit(False)), F.concat(head, F.array(grown))).otherwise(F.concat(done, F.array(one(e))))
 
-    folded = ordered.select(key, F.posexplode(F.aggregate("vs", zero, add)).alias("cluster", "c"))
+    made = ordered.select(key, "run", F.aggregate("vs", zero, add).alias("made"))
+    before = F.sum(F.size("made")).over(Window.partitionBy(key).orderBy("run")) - F.size("made")
+    folded = made.withColumn("before", before).select(key, "before", F.posexplode("made").alias("pos", "c")).withColumn("cluster", (F.col("before") + F.col("pos")).cast("int"))
     return folded.select(key, "cluster", (F.col("c.sum") / F.col("c.n")).alias("mean"), F.col("c.lo").alias("min"), F.col("c.hi").alias("max"), "c.n")
 
 
