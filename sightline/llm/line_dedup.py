@@ -26,6 +26,8 @@ WINDOW = 2
 DIVISOR = 2
 LEAST_LINES = 2
 BROADCAST_HASHES = 1_000_000
+BROADCAST_BYTES = 32_000_000
+SALTS = 16
 BATCH_CHARS = 8 << 20
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -122,7 +124,14 @@ def repeated_pieces(texts: DataFrame, pieces: Callable[..., Iterator[tuple]], na
     found = written(found, f"repeated-{label}")
     place = F.struct("doc_id", "text_hash", names[0])
     first = found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "chunk", "first")
-    return found.join(first, ["hash", "chunk"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", *names, "first")
+    first = written(first, f"first-{label}")
+    later = ~place.eqNullSafe(F.col("first"))
+    if (first.agg(F.sum(F.octet_length("chunk") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+        joined = found.join(F.broadcast(first), ["hash", "chunk"])
+    else:  # a piece that stands everywhere is joined in SALTS tasks
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        joined = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", names[0]), F.lit(SALTS))).join(first.withColumn("salt", salts), ["hash", "salt", "chunk"])
+    return joined.where(later).select("doc_id", "text_hash", *names, "first")
 
 
 def with_gone(keyed: DataFrame, gone: DataFrame, number: str, alias: str) -> tuple[DataFrame, bool]:
