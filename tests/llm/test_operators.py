@@ -386,6 +386,16 @@ def test_line_dedup_of_whole_passages(spark, odd, empty):
     assert line_dedup.without_repeated_passages(empty).count() == 0
 
 
+def test_line_dedup_joined_by_salt(spark, monkeypatch):
+    """A passage that stands in every document, joined in several tasks instead of a broadcast."""
+    passage = "common line one\ncommon line two\ncommon line three"
+    df = spark.createDataFrame([(i, f"own {i} a\n{passage}\nown {i} b") for i in range(60)], "doc_id long, text string")
+    clean = lambda: sorted((r["doc_id"], r["text"], r["n_removed_lines"]) for r in line_dedup.without_repeated_passages(df).collect())
+    want = clean()
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    assert clean() == want == [(i, f"own {i} a\n{passage}\nown {i} b" if i == 0 else f"own {i} a\nown {i} b", 3 * (i > 0)) for i in range(60)]
+
+
 def brute_components(docs, size, similarity):
     sets = []
     for i, t in docs:
