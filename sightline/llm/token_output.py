@@ -57,19 +57,16 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     # the widest of the next c ids, not looking beyond the block; beyond the last id nothing needs bits
     grid = bits.reshape(n_blocks, BLOCK_IDS)
     choice = np.zeros(grid.shape, np.uint8)  # the escape, unless an id fits
-    widest = {1: grid}
-    top = grid
-    for c in range(2, 61):
-        top = top.copy()
+    by_count = {c: (b, k) for k, (c, b) in enumerate(SELECTORS, 2)}
+    choice[grid <= by_count[1][0]] = by_count[1][1]
+    top = grid.copy()
+    for c in range(2, 61):  # more ids a word are better
         top[:, : BLOCK_IDS - c + 1] = np.maximum(top[:, : BLOCK_IDS - c + 1], grid[:, c - 1 :])
         top[:, BLOCK_IDS - c + 1 :] = 255  # a word with c ids would cross the block's end
-        widest[c] = top
-        if (top > 60 // c + 1).all() and c > 8:
+        if c in by_count:
+            choice[top <= by_count[c][0]] = by_count[c][1]
+        if c > 8 and (top > 60 // c + 1).all():
             break
-    for k in range(len(SELECTORS) - 1, -1, -1):
-        c, b = SELECTORS[k]
-        if c in widest:
-            choice[widest[c] <= b] = k + 2
     choice = choice.reshape(-1)
     takes = np.array([1, 1, *(c for c, _ in SELECTORS)], np.int64)
     padded = np.concatenate([ids, np.zeros(64, np.uint64)])
