@@ -35,7 +35,7 @@ def gap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scene.gaps(spark, sf_dir).withColumn("gap_s", r6(F.col("gap_s")))
+    return scene.gaps(spark, sf_dir).withColumn("gap_s", r6(F.col("gap_s"))).drop("start_t", "end_t")
 
 
 CONTEXT = {"spatial_context_id": "star-tables", "navigation_graph_id": "nations", "topology_id": "nations-as-cameras", "source_asset_sha256": "0" * 64}
