@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,31 @@ def _logit(x: float, n: float, usual: float) -> float:
 
 
 _SYMBOLS = b"#$%&*@^~<>{}[]\\=+_`/"
+#: Bytes of a text above which words are counted as codes in arrays, not as objects.
+LONG_TEXT = 100_000
+
+
+def word_counts(raw: bytes) -> tuple[int, int, int, int]:
+    """Words, distinct words, distinct pairs of neighbours, and words equal to the one before."""
+    if len(raw) <= LONG_TEXT:
+        words = raw.split()
+        return len(words), len(set(words)), len(set(zip(words, words[1:]))), sum(map(bytes.__eq__, words, words[1:]))
+    coded = pc.ascii_split_whitespace(pa.array([raw.decode()])).flatten().dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # white space at an end
+        codes = codes[codes != blank]
+    n = len(coded.dictionary)
+    return len(codes), len(np.unique(codes)), len(np.unique(codes[:-1] * n + codes[1:])), int((codes[:-1] == codes[1:]).sum())
+
+
+def line_counts(text: str) -> tuple[int, int]:
+    """Lines and distinct lines."""
+    if len(text) <= LONG_TEXT:
+        lines = text.split("\n")
+        return len(lines), len(set(lines))
+    lines = pc.split_pattern(pa.array([text]), "\n").flatten()
+    return len(lines), pc.count_distinct(lines).as_py()
 
 
 def statistics(text: str) -> list[float]:
@@ -42,17 +68,14 @@ def statistics(text: str) -> list[float]:
     raw = text.encode()
     n = len(raw)
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    words = raw.split()
-    w = len(words)
+    w, distinct, pairs, same = word_counts(raw)
     upper, digit = int(counts[65:91].sum()), int(counts[48:58].sum())
     newline, space = int(counts[10]), int(counts[32])
     shout, bar, comma, stop = int(counts[33]), int(counts[124]), int(counts[44]), int(counts[46])
     symbol = int(counts[list(_SYMBOLS)].sum())
     letters = int(counts[97:123].sum()) + upper + int(counts[128:].sum())
     other = n - letters - digit - newline - space - shout - bar - comma - stop - symbol
-    pairs = len(set(zip(words, words[1:])))
-    same = sum(map(bytes.__eq__, words, words[1:]))
-    lines = text.split("\n")
+    lines, distinct_lines = line_counts(text)
     return [
         float(np.log((n - space - newline + 5 * PRIOR) / (w + PRIOR))),
         _logit(upper, n, 0.02),
@@ -65,11 +88,11 @@ def statistics(text: str) -> list[float]:
         _logit(stop, n, 0.01),
         _logit(comma, n, 0.01),
         _logit(other, n, 0.001),
-        _logit(len(set(words)), max(w, 1), 0.8),
+        _logit(distinct, max(w, 1), 0.8),
         _logit(pairs, max(w - 1, 1), 0.98),
         _logit(same, max(w - 1, 1), 0.01),
-        _logit(len(set(lines)), len(lines), 0.98),
-        float(np.log((w + 20 * PRIOR) / (len(lines) + PRIOR))),
+        _logit(distinct_lines, lines, 0.98),
+        float(np.log((w + 20 * PRIOR) / (lines + PRIOR))),
     ]
 
 
@@ -80,6 +103,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             x = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -28,7 +28,7 @@ from .token_counts import Kept, byte_letters, slices
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 0
 BLOCK_IDS = 256
-PAGE_BYTES = 4_000_000
+PAGE_BYTES = 2_000_000
 CACHE_BYTES = 24_000_000
 BROADCAST_PAGES = 500_000
 PAGE_SCHEMA = "shard long, page long, n_ids long, doc_ids array<long>, doc_lengths array<long>, block_words array<int>, payload binary"

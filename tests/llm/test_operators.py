@@ -135,6 +135,14 @@ def test_quality(spark, odd, empty):
     assert quality.good_documents(odd, labels).columns == odd.columns
 
 
+def test_statistics_of_long_texts_as_of_short_ones(monkeypatch):
+    rng = random.Random(3)
+    samples = ["", " ", "\n\n", "one", " a b  a b a\tb\x0bé é\n\nline\nline ", *("".join(rng.choices(["a", "b", " ", "\n", "é", "word", "\t", "\r\n"], k=300)) for _ in range(30))]
+    short = [quality.statistics(t) for t in samples]
+    monkeypatch.setattr(quality, "LONG_TEXT", -1)
+    assert [quality.statistics(t) for t in samples] == short
+
+
 def test_mixing(spark, odd, empty):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
     first = {r["doc_id"]: r for r in mixing.mix(docs)[0].collect()}
