@@ -80,7 +80,7 @@ def walk_orders(starts: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFra
     ranked, made = [], []
     first = Window.partitionBy(*START, "camera", "node", "edge_ids").orderBy("parent", "via")
     of_start = Window.partitionBy(*START)
-    while not pending.isEmpty():
+    while not ranked or not pending.isEmpty():
         near = pending.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
         near = near.withColumn("rank", F.col("before") + F.row_number().over(of_start.orderBy(*KEY))).where(F.col("rank") <= F.col("budget") + 1)
         near = near.withColumn("final", F.col("distance") < F.min("distance").over(of_start) + shortest * (1 - 1e-9))

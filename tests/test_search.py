@@ -131,3 +131,5 @@ def test_requests_are_checked(spark):
     assert {k: r["failure"] for k, r in got.items()} == {str(k): k for k in flaws}
     assert all((r["termination_reason"] is None) == (r["failure"] is not None) for r in got.values())
     assert {r["request_id"] for r in routes.collect()} <= {"None"}
+    none, no_routes = search.checked_search(rows.where("max_paths = 0"), scene.transitions(spark, SF), scene.edges(spark, SF))
+    assert [r["failure"] for r in none.collect()] == ["INVALID_MAX_PATHS"] and no_routes.count() == 0
