@@ -27,7 +27,7 @@ UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\xa0             
 #: The tokenizer's contractions; a prefix of one is two pieces.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Bytes of all caches of a worker, and the longest string that they keep.
-CACHE_BYTES = 96_000_000
+CACHE_BYTES = 240_000_000
 LONGEST_KEPT = 64
 SLICE_BYTES = 8_000_000
 
