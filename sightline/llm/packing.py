@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from .common import broadcast_if_small, written
 from .token_counts import slices
-from .token_output import PAGE_BYTES, encode_texts, encoder
+from .token_output import encode_texts, encoder
 
 CAPACITY = 4096
 #: Groups of large lengths at most.
@@ -38,6 +38,8 @@ SHARES = (3, 2, 4, 6)
 #: Rounds of column generation a group; the plan is valid wherever they end.
 PIVOTS = 40
 BROADCAST_STARTS = 200_000
+#: Bytes of text that are encoded together: each distinct word of them is looked up once.
+SLICE_BYTES = 8_000_000
 
 
 class Placing(NamedTuple):
@@ -229,7 +231,7 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, row, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in slices(whole, PAGE_BYTES):
+            for batch in slices(whole, SLICE_BYTES):
                 ids, lengths = encode_texts(batch.column(1), words, end_id)
                 many = -(-lengths // capacity)
                 doc = np.repeat(np.arange(len(lengths)), many)

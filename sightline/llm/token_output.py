@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -29,7 +30,7 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 ESCAPE = 0
 BLOCK_IDS = 256
 PAGE_BYTES = 2_000_000
-CACHE_BYTES = 24_000_000
+CACHE_BYTES = 48_000_000
 BROADCAST_PAGES = 500_000
 PAGE_SCHEMA = "shard long, page long, n_ids long, doc_ids array<long>, doc_lengths array<long>, block_words array<int>, payload binary"
 
@@ -130,7 +131,8 @@ class WordEncoder:
     """Ids of words between white space, which the tokenizer drops; caches of CACHE_BYTES in each Python worker.
 
     A word of ASCII and Latin-1 letters is cut into pre-tokens here and the library's model encodes each new one; any
-    other word, and any with a special string, goes through the whole library. The equality of both ways is tested.
+    other word, and any with a special string, goes through the whole library. The equality of both ways is tested. A
+    word of ASCII letters alone is one pre-token and kept as such.
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
@@ -145,11 +147,13 @@ class WordEncoder:
         found = self.pieces.get(p)
         if found is None:
             mapped = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
-            found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             self.pieces.keep(p, len(p), found)
         return found
 
     def word(self, w: str) -> bytes:
+        if w.isalpha() and w.isascii():
+            return self.piece(w.lower())
         found = self.words.get(w)
         if found is None:
             if _LATIN_ONLY.fullmatch(w) and "<|" not in w:
