@@ -1,4 +1,4 @@
-"""Visibility: samples against cameras, rays against boxes and triangles, and the frames that come of it."""
+"""Visibility: samples against cameras, and the frames that come of casting rays between them."""
 
 from __future__ import annotations
 
@@ -7,13 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cross, distance, dot, finite, minus
 from ..sources.tables import materialised
 from .projection import project_world
 
 MAX_FRAMES = 100_000
-MAX_CANDIDATES = 10_000
-CELL_BOXES = 5
 
 
 def samples_by_camera(samples: DataFrame, cameras: DataFrame, max_frames: int | None = MAX_FRAMES) -> DataFrame:
@@ -30,148 +27,42 @@ def samples_by_camera(samples: DataFrame, cameras: DataFrame, max_frames: int |
     return samples.join(F.broadcast(one)).select(*samples.columns, F.explode("cameras").alias("camera")).select(*samples.columns, "camera.*")  # one row with all cameras
 
 
-def box_entry(ox: Column, oy: Column, oz: Column, dx: Column, dy: Column, dz: Column, length: Column, lo: Column, hi: Column) -> Column:
-    """Distance along a unit ray at which a segment of this length enters a box; null where it misses."""
-    near, far = F.lit(0.0), length
-    ok = F.lit(True)
-    for o, d, a in ((ox, dx, "x"), (oy, dy, "y"), (oz, dz, "z")):
-        t1, t2 = F.try_divide(lo[a] - o, d), F.try_divide(hi[a] - o, d)
-        still = d == 0
-        ok = ok & F.when(still, (o >= lo[a]) & (o <= hi[a])).otherwise(True)
-        near = F.greatest(near, F.when(still, F.lit(0.0)).otherwise(F.least(t1, t2)))
-        far = F.least(far, F.when(still, length).otherwise(F.greatest(t1, t2)))
-    return F.when(ok & (near <= far), near)
-
-
-def rays_with_direction(rays: DataFrame) -> DataFrame:
-    """rays (ray_id, origin, target) with length and unit direction dx, dy, dz, null where that is degenerate."""
-    span = distance(F.col("origin"), F.col("target"))
-    good = finite(F.col("origin.x"), F.col("origin.y"), F.col("origin.z"), F.col("target.x"), F.col("target.y"), F.col("target.z"))
-    r = rays.withColumn("length", F.when(good, span))
-    return r.withColumns({f"d{a}": F.when(F.col("length") > 0, (F.col(f"target.{a}") - F.col(f"origin.{a}")) / F.col("length")) for a in "xyz"})
-
-
-def ray_cells(rays: DataFrame, cell: float) -> DataFrame:
-    """rays with gx, gy: the columns of a grid over x and y that a ray's segment passes, found column by column along x."""
-    ax, bx, ay, by = F.col("origin.x"), F.col("target.x"), F.col("origin.y"), F.col("target.y")
-    x0, x1 = F.least(ax, bx), F.greatest(ax, bx)
-    r = rays.where(F.col("length") > 0)
-    r = r.withColumn("gx", F.explode(F.sequence(F.floor(x0 / cell), F.floor(x1 / cell))))
-    left, right = F.greatest(x0, F.col("gx") * cell), F.least(x1, (F.col("gx") + 1) * cell)
-    at = lambda x: F.when(ax == bx, ay).otherwise(ay + (by - ay) * F.try_divide(x - ax, bx - ax))
-    ya, yb = at(left), F.when(ax == bx, by).otherwise(at(right))
-    slack = 1e-9 * cell
-    return r.withColumn("gy", F.explode(F.sequence(F.floor((F.least(ya, yb) - slack) / cell), F.floor((F.greatest(ya, yb) + slack) / cell))))
-
-
-def box_cells(boxes: DataFrame, cell: float) -> DataFrame:
-    """boxes with gx, gy: the columns of the grid that a box touches."""
-    g = lambda a, s: F.floor((F.col(a) + s * 1e-9 * cell) / cell)
-    b = boxes.withColumn("gx", F.explode(F.sequence(g("lo.x", -1), g("hi.x", 1))))
-    return b.withColumn("gy", F.explode(F.sequence(g("lo.y", -1), g("hi.y", 1))))
-
-
-def box_hits(rays: DataFrame, boxes: DataFrame, cell: float | None = None) -> DataFrame:
-    """ray_id, name, entry for every box that a ray's segment crosses.
-
-    Rays and boxes carry their geometry into one equi-join on grid columns and are tested there; only hits are shuffled
-    again, as a pair may share several columns. Without cell, its columns are CELL_BOXES boxes wide on average.
-    """
-    if cell is None:
-        wide = F.greatest(F.col("hi.x") - F.col("lo.x"), F.col("hi.y") - F.col("lo.y"))
-        cell = max((boxes.agg(F.avg(wide)).first()[0] or 0.0) * CELL_BOXES, 1e-6)
-    r = ray_cells(rays_with_direction(rays), cell).select("ray_id", "gx", "gy", "origin", "dx", "dy", "dz", "length")
-    both = r.join(box_cells(boxes, cell).select("name", "gx", "gy", "lo", "hi"), ["gx", "gy"])
-    o = [F.col(f"origin.{a}") for a in "xyz"]
-    entry = box_entry(*o, F.col("dx"), F.col("dy"), F.col("dz"), F.col("length"), F.col("lo"), F.col("hi"))
-    met = both.select("ray_id", "name", entry.alias("entry")).where(F.col("entry").isNotNull())
-    return met.groupBy("ray_id", "name").agg(F.min("entry").alias("entry"))
-
-
-def triangle_hit(origin: Column, direction: Column, a: Column, b: Column, c: Column) -> Column:
-    """Distance along the ray to a triangle, null where it misses or runs along it."""
-    e1, e2 = minus(b, a), minus(c, a)
-    h = cross(direction, e2)
-    det = dot(e1, h)
-    s = minus(origin, a)
-    u = F.try_divide(dot(s, h), det)
-    q = cross(s, e1)
-    v = F.try_divide(dot(direction, q), det)
-    t = F.try_divide(dot(e2, q), det)
-    return F.when((F.abs(det) > 1e-14) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
-
-
-def cast_rays(rays: DataFrame, boxes: DataFrame, triangles: DataFrame | None = None, cell: float | None = None, max_candidates: int = MAX_CANDIDATES, endpoint_tolerance: float = 1e-6) -> DataFrame:
-    """ray_id, occluded, reason, occluder_id for every ray.
-
-    A ray that crosses more boxes than max_candidates is RAYCAST_LIMIT. Of the others, a hit nearer than the target by
-    more than the tolerance occludes; the nearest names the occluder, the smallest name on ties. A box with bad = true
-    (singular or non-finite) that is crossed makes the ray GEOMETRY_UNCERTAIN and names the first such box by entry and
-    name; a ray without length or with non-finite ends is GEOMETRY_UNCERTAIN without a name. Without triangles a box is
-    hit where it is entered, unless the ray starts inside.
-    """
-    hits = materialised(box_hits(rays, boxes, cell), "box-hits")  # read several times, and a plan that holds its expressions once
-    if "bad" in boxes.columns:
-        hits = hits.join(boxes.select("name", "bad"), "name")
-    else:
-        hits = hits.withColumn("bad", F.lit(False))
-    r = rays_with_direction(rays)
-    if triangles is None:
-        solid = hits.withColumn("hit", F.when(F.col("entry") > 0, F.col("entry")))
-    else:
-        direction = F.struct(F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"))
-        near = hits.join(triangles, "name").join(r, "ray_id").withColumn("t", triangle_hit(F.col("origin"), direction, F.col("a"), F.col("b"), F.col("c")))
-        first = near.groupBy("ray_id", "name").agg(F.min("t").alias("hit"))
-        solid = hits.join(first, ["ray_id", "name"], "left")
-    lengths = r.select("ray_id", "length")
-    solid = solid.join(lengths, "ray_id").withColumn("blocks", ~F.col("bad") & (F.col("hit") < F.col("length") - endpoint_tolerance))
-    seen = solid.groupBy("ray_id").agg(
-        F.count("*").alias("candidates"),
-        F.min(F.when(F.col("bad"), F.struct("entry", "name"))).alias("uncertain"),
-        F.min(F.when(F.col("blocks"), F.struct("hit", "entry", "name"))).alias("nearest"),
-    )
-    out = lengths.join(seen, "ray_id", "left")
-    reason = (
-        F.when(~F.coalesce(F.col("length") > 0, F.lit(False)), "GEOMETRY_UNCERTAIN")
-        .when(F.coalesce(F.col("candidates"), F.lit(0)) > max_candidates, "RAYCAST_LIMIT")
-        .when(F.col("uncertain").isNotNull(), "GEOMETRY_UNCERTAIN")
-        .when(F.col("nearest").isNotNull(), "OCCLUDED")
-        .otherwise("CLEAR")
-    )
-    out = out.withColumn("reason", reason)
-    name = F.when(F.col("reason") == "OCCLUDED", F.col("nearest.name")).when((F.col("reason") == "GEOMETRY_UNCERTAIN") & (F.col("length") > 0), F.col("uncertain.name"))
-    return out.select("ray_id", (F.col("reason") == "OCCLUDED").alias("occluded"), "reason", name.alias("occluder_id"))
-
-
 Raycaster = Callable[[DataFrame], DataFrame]
 
 
 def observation_frames(points: DataFrame, raycaster: Raycaster | None = None) -> DataFrame:
     """frame_id, timestamp, target_id, camera_id, status, u, v, provenance, gap_reason, occluder_id: nothing of the 3D truth.
 
-    points are samples with their camera's columns. Rays are cast for points in the frustum alone; raycaster takes
-    ray_id, origin, target and gives ray_id, occluded, reason, occluder_id. Without one all rays are clear.
+    points are samples with their camera's columns. Only points in the frustum are looked at; raycaster takes ray_id,
+    origin, target and a column `frame`, and gives ray_id, occluded, reason, occluder_id for each. Where it hands on
+    `frame` too, as the engine's own casters do, its answers are the frames; else they are joined with the points, and
+    a ray without an answer is GEOMETRY_UNCERTAIN. Without a raycaster all rays are clear.
     """
     seen = project_world(points).withColumn("ray_id", F.concat_ws("|", "target_id", "camera_id", F.col("frame_id").cast("string")))
+    keys = ["frame_id", "timestamp", "target_id", "camera_id"]
+    frame = F.struct(*keys, "u", "v", F.when(~F.col("in_frustum"), F.col("reason")).alias("outside"))
+    point = lambda x, y, z: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"))
+    unseen = {"occluded": F.lit(False), "reason": F.lit("CLEAR"), "occluder_id": F.lit(None).cast("string")}
     if raycaster is None:
-        seen = seen.withColumns({"ray_reason": F.lit("CLEAR"), "occluded": F.lit(False), "ray_occluder": F.lit(None).cast("string")})
+        answered = seen.select(frame.alias("frame"), *(c.alias(k) for k, c in unseen.items()))
     else:
-        point = lambda x, y, z: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"))
-        rays = seen.where("in_frustum").select("ray_id", point("tx", "ty", "tz").alias("origin"), point("X", "Y", "Z").alias("target"))
-        answers = raycaster(rays).select("ray_id", "occluded", F.col("reason").alias("ray_reason"), F.col("occluder_id").alias("ray_occluder"))
-        seen = seen.join(answers, "ray_id", "left")
-    blocked = F.coalesce(F.col("occluded"), F.lit(True)) | ~F.col("ray_reason").eqNullSafe(F.lit("CLEAR"))
-    gap = F.when(~F.col("in_frustum"), F.col("reason")).when(blocked, F.when(F.col("ray_reason").isNull() | (F.col("ray_reason") == "CLEAR"), F.lit("GEOMETRY_UNCERTAIN")).otherwise(F.col("ray_reason")))
-    seen = seen.withColumn("gap_reason", gap).withColumn("ok", F.col("gap_reason").isNull())
-    return seen.select(
-        "frame_id",
-        "timestamp",
-        "target_id",
-        "camera_id",
+        seen = materialised(seen.select("ray_id", point("tx", "ty", "tz").alias("origin"), point("X", "Y", "Z").alias("target"), frame.alias("frame")), "projected-points")
+        rays, outside = seen.where("frame.outside is null"), seen.where("frame.outside is not null").select("frame", *(c.alias(k) for k, c in unseen.items()))
+        answered = raycaster(rays)
+        if "frame" not in answered.columns:
+            answered = rays.select("ray_id", "frame").join(answered.select("ray_id", *unseen), "ray_id", "left")
+        answered = answered.select("frame", *unseen).unionByName(outside)
+    told = F.col("reason")
+    blocked = F.coalesce(F.col("occluded"), F.lit(True)) | ~told.eqNullSafe(F.lit("CLEAR"))
+    uncertain = F.when(told.isNull() | (told == "CLEAR"), F.lit("GEOMETRY_UNCERTAIN")).otherwise(told)
+    gap = F.coalesce(F.col("frame.outside"), F.when(blocked, uncertain))
+    out = answered.withColumn("gap_reason", gap).withColumn("ok", gap.isNull())
+    return out.select(
+        *(F.col(f"frame.{k}").alias(k) for k in keys),
         F.when(F.col("ok"), "OBSERVED").otherwise("GAP").alias("status"),
-        F.when(F.col("ok"), F.col("u")).alias("u"),
-        F.when(F.col("ok"), F.col("v")).alias("v"),
+        F.when(F.col("ok"), F.col("frame.u")).alias("u"),
+        F.when(F.col("ok"), F.col("frame.v")).alias("v"),
         F.when(F.col("ok"), F.lit("OBSERVED")).alias("provenance"),
         "gap_reason",
-        F.when(F.col("in_frustum") & ~F.col("ok"), F.col("ray_occluder")).alias("occluder_id"),
+        F.when(F.col("frame.outside").isNull() & ~F.col("ok"), F.col("occluder_id")).alias("occluder_id"),
     )

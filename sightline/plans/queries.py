@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import float_hex
 from ..functions.columns import exceeds
-from ..operators import audit, constraints, geometry, navigation, projection, search, trajectory, visibility
+from ..operators import audit, constraints, geometry, navigation, projection, raycasting, search, trajectory, visibility
 from ..sources import readers
 from ..streaming import gaps as streaming
 from . import contracts, scene
@@ -183,7 +183,7 @@ def samples_x_cameras_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = scene.boxes(spark, sf_dir)
-    return visibility.observation_frames(_points(spark, sf_dir), lambda rays: visibility.cast_rays(rays, boxes))
+    return visibility.observation_frames(_points(spark, sf_dir), lambda rays: raycasting.cast_rays(rays, boxes))
 
 
 def gap_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,24 +240,30 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_box_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = visibility.box_hits(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir))
+    h = raycasting.box_hits(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir))
     return h.select("ray_id", "name", r6(F.col("entry")).alias("entry"))
 
 
 def ray_nearest_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibility.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir))
+    return raycasting.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir))
 
 
 def ray_triangle_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rays against the triangles of rays that start outside all boxes."""
     boxes = scene.boxes(spark, sf_dir)
-    inside = visibility.box_hits(scene.rays(spark, sf_dir), boxes).where("entry <= 0").select("ray_id").distinct()
+    inside = raycasting.box_hits(scene.rays(spark, sf_dir), boxes).where("entry <= 0").select("ray_id").distinct()
     rays = scene.rays(spark, sf_dir).join(inside, "ray_id", "left_anti")
-    return visibility.cast_rays(rays, boxes, scene.box_triangles(boxes))
+    return raycasting.cast_rays(rays, boxes, scene.box_triangles(boxes))
+
+
+def instanced_ray_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rays against turned, stretched and flat instances of a few meshes, some of them hidden or left out."""
+    triangles, meshes = scene.mesh_triangles(spark), scene.mesh_bounds(spark)
+    return raycasting.cast_instanced(scene.rays(spark, sf_dir), scene.mesh_instances(spark, sf_dir), meshes, triangles, scene.excluded_objects(spark))
 
 
 def ray_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibility.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir), max_candidates=4).groupBy("reason").agg(F.count("*").alias("n"))
+    return raycasting.cast_rays(scene.rays(spark, sf_dir), scene.boxes(spark, sf_dir), max_candidates=4).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def object_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,7 +457,7 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gap_topk, gap_pairs, gap_termination, gap_termination_bounds, gap_termination_short, gap_candidates, gap_candidates_short, candidate_ids, candidate_violations, shortest_routes, min_hops, route_polylines, edge_violations, nav_graph_violations, topology_violations, network_violations, locate_nodes,
     trajectory_samples, sample_counts, unordered_keyframes, samples_x_cameras_projection, gap_reason_counts, visible_frames, occluded_frames, frame_violations, inverse_projection, projection_rejects, projection_roundtrip, point_ids,
-    segment_box_hits, ray_nearest_hit, ray_triangle_hit, ray_budget, object_counts, duplicate_groups, shared_data_groups, geometry_signature_groups, high_poly_objects, top_meshes, semantic_tags, portal_overlap, collection_parents,
+    segment_box_hits, ray_nearest_hit, ray_triangle_hit, instanced_ray_hit, ray_budget, object_counts, duplicate_groups, shared_data_groups, geometry_signature_groups, high_poly_objects, top_meshes, semantic_tags, portal_overlap, collection_parents,
     z_layer_histogram, layer_top5, slope_summary, polygon_measures, connected_patches, area_overlap, stair_levels, grid_surface_clusters, height_clusters, scene_bounds, camera_height_summary, camera_floor_zone, camera_intrinsics, findings,
     closed_schema_check, missing_endpoints, observation_windows, exact_times, observation_violations, stream_gap_pairs, stream_segments,
 )} | contracts.QUERIES

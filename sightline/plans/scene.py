@@ -176,6 +176,47 @@ def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Local vertices and faces of the meshes that instances are made of; the last has no faces.
+MESHES = {
+    "block": ([(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (-1.0, 1.0)], [(0, 1, 3), (0, 3, 2), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 3, 7), (1, 7, 5)]),
+    "spike": ([(1.0, 1.0, 1.0), (-1.0, -1.0, 1.0), (-1.0, 1.0, -1.0), (1.0, -1.0, -1.0)], [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]),
+    "pane": ([(-1.0, 0.25, -1.0), (1.0, 0.25, -1.0), (1.0, 0.25, 1.0), (-1.0, 0.25, 1.0)], [(0, 1, 2), (0, 2, 3)]),
+    "empty": ([(-1.0, -1.0, -1.0), (1.0, 1.0, 1.0)], []),
+}
+
+
+def mesh_triangles(spark: SparkSession) -> DataFrame:
+    v3 = "struct<x:double,y:double,z:double>"
+    rows = [(name, i, *(vertices[k] for k in face)) for name, (vertices, faces) in MESHES.items() for i, face in enumerate(faces)]
+    return spark.createDataFrame(rows, f"mesh string, polygon_index int, a {v3}, b {v3}, c {v3}")
+
+
+def mesh_bounds(spark: SparkSession) -> DataFrame:
+    v3 = "struct<x:double,y:double,z:double>"
+    rows = [(name, tuple(map(min, zip(*vertices))), tuple(map(max, zip(*vertices))), len(faces)) for name, (vertices, faces) in MESHES.items()]
+    return spark.createDataFrame(rows, f"mesh string, lo {v3}, hi {v3}, n_polygons int")
+
+
+def mesh_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An instance of a mesh for each part, turned by one of five angles, longer one way in every second, of no width
+    in every 97th; some are hidden, and some belong to an object that is left out."""
+    p = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as k", "cast(p_partkey * 37 % 1000 as double) as x", "cast(p_partkey * 71 % 1000 as double) as y", "if(p_partkey % 97 = 0, 0.0D, p_size / 10.0D) as sx", "p_size / 10.0D * (1 + p_partkey % 2) as sy", "p_size / 10.0D as sz",
+        "element_at(array(1.0D, 0.6D, 0.8D, 0.0D, -0.6D), cast(p_partkey % 5 + 1 as int)) as c", "element_at(array(0.0D, 0.8D, -0.6D, 1.0D, 0.8D), cast(p_partkey % 5 + 1 as int)) as s",
+    )
+    return p.select(
+        F.expr("concat('I', lpad(cast(k as string), 9, '0'))").alias("name"),
+        F.expr("if(k % 17 = 0, 'Areas', null)").alias("parent"),
+        F.expr("if(k % 29 = 0, 'empty', element_at(array('block', 'spike', 'pane'), cast(k % 3 + 1 as int)))").alias("mesh"),
+        F.expr("array(c * sx, -s * sy, 0.0D, x, s * sx, c * sy, 0.0D, y, 0.0D, 0.0D, sz, 5.0D)").alias("matrix"),
+        F.expr("k % 13 <> 5").alias("visible"),
+    )
+
+
+def excluded_objects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("Areas",), ("I000000007",)], "name string")
+
+
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A triangle for each part: level, or rising in every fourth."""
     p = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "cast(p_size as double) as s", "cast(p_partkey * 37 % 1000 as double) as x", "cast(p_partkey * 71 % 1000 as double) as y", "(p_partkey % 40) * 0.1D as z", "if(p_partkey % 4 = 0, 1.0D, 0.0D) as up", "p_brand")

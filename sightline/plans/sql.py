@@ -129,6 +129,54 @@ HITS = f"""rays AS (
                CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 13 % 1000 + 25e-2 ELSE c_custkey * 17 % 1000 + 5e-1 END AS tx, CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 29 % 1000 + 25e-2 ELSE c_custkey * 43 % 1000 + 5e-1 END AS ty, CASE WHEN c_custkey % 50 = 0 THEN 5e0 ELSE 6e0 END AS tz
         FROM customer)
 ), {BOXES}, {_hits("ray_id")}"""
+def _spread(a: str, u: str, b: str, v: str, least: str) -> str:
+    return f"{least}({a} * {u}lo, {a} * {u}hi) + {least}({b} * {v}lo, {b} * {v}hi)"
+
+
+INSTANCED = f"""WITH rays AS (
+    SELECT *, sqrt((tx - ox) ** 2 + (ty - oy) ** 2 + (tz - oz) ** 2) AS len FROM (
+        SELECT CAST(c_custkey AS VARCHAR) AS ray_id, c_custkey * 13 % 1000 + 25e-2 AS ox, c_custkey * 29 % 1000 + 25e-2 AS oy, 5e0 AS oz,
+               CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 13 % 1000 + 25e-2 ELSE c_custkey * 17 % 1000 + 5e-1 END AS tx, CASE WHEN c_custkey % 50 = 0 THEN c_custkey * 29 % 1000 + 25e-2 ELSE c_custkey * 43 % 1000 + 5e-1 END AS ty, CASE WHEN c_custkey % 50 = 0 THEN 5e0 ELSE 6e0 END AS tz
+        FROM customer)
+), corners AS (
+    SELECT * FROM (VALUES (0, -1e0, -1e0, -1e0), (1, -1e0, -1e0, 1e0), (2, -1e0, 1e0, -1e0), (3, -1e0, 1e0, 1e0), (4, 1e0, -1e0, -1e0), (5, 1e0, -1e0, 1e0), (6, 1e0, 1e0, -1e0), (7, 1e0, 1e0, 1e0), (8, -1e0, 25e-2, -1e0), (9, 1e0, 25e-2, -1e0), (10, 1e0, 25e-2, 1e0), (11, -1e0, 25e-2, 1e0)) t(v, x, y, z)
+), faces AS (
+    SELECT * FROM (VALUES (0, 0, 1, 3), (0, 0, 3, 2), (0, 4, 5, 7), (0, 4, 7, 6), (0, 0, 1, 5), (0, 0, 5, 4), (0, 2, 3, 7), (0, 2, 7, 6), (0, 0, 2, 6), (0, 0, 6, 4), (0, 1, 3, 7), (0, 1, 7, 5), (1, 7, 1, 2), (1, 7, 1, 4), (1, 7, 2, 4), (1, 1, 2, 4), (2, 8, 9, 10), (2, 8, 10, 11)) t(mesh, a, b, c)
+), sides AS (
+    SELECT mesh, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM faces f JOIN corners a ON a.v = f.a JOIN corners b ON b.v = f.b JOIN corners c ON c.v = f.c
+), parts AS (
+    SELECT 'I' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name, p_partkey % 3 AS mesh, p_partkey % 97 = 0 AS flat, CAST(p_partkey * 37 % 1000 AS DOUBLE) AS x, CAST(p_partkey * 71 % 1000 AS DOUBLE) AS y,
+           CASE WHEN p_partkey % 97 = 0 THEN 0e0 ELSE p_size / 1e1 END AS sx, p_size / 1e1 * (1 + p_partkey % 2) AS sy, p_size / 1e1 AS sz, [1e0, 6e-1, 8e-1, 0e0, -6e-1][p_partkey % 5 + 1] AS c, [0e0, 8e-1, -6e-1, 1e0, 8e-1][p_partkey % 5 + 1] AS s,
+           -1e0 AS ulo, 1e0 AS uhi, CASE WHEN p_partkey % 3 = 2 THEN 25e-2 ELSE -1e0 END AS vlo, CASE WHEN p_partkey % 3 = 2 THEN 25e-2 ELSE 1e0 END AS vhi
+    FROM part WHERE p_partkey % 13 <> 5 AND p_partkey % 17 <> 0 AND p_partkey % 29 <> 0 AND p_partkey <> 7
+), bare AS (
+    SELECT *, {_spread("c * sx", "u", "-s * sy", "v", "least")} + x AS x0, {_spread("c * sx", "u", "-s * sy", "v", "greatest")} + x AS x1, {_spread("s * sx", "u", "c * sy", "v", "least")} + y AS y0, {_spread("s * sx", "u", "c * sy", "v", "greatest")} + y AS y1, 5e0 - sz AS z0, 5e0 + sz AS z1 FROM parts
+), padded AS (
+    SELECT *, greatest(1e-6, 2e-6 * greatest(abs(x0), abs(x1), abs(y0), abs(y1), abs(z0), abs(z1))) AS pad FROM bare
+), boxes AS (
+    SELECT *, x0 - pad AS lox, x1 + pad AS hix, y0 - pad AS loy, y1 + pad AS hiy, z0 - pad AS loz, z1 + pad AS hiz FROM padded
+), near_ AS (
+    SELECT rays.ray_id, ox, oy, oz, (tx - ox) / len AS dx, (ty - oy) / len AS dy, (tz - oz) / len AS dz, boxes.*, len, {_slab("x", "((tx - ox) / len)")}, {_slab("y", "((ty - oy) / len)")}, {_slab("z", "((tz - oz) / len)")}
+    FROM rays JOIN boxes ON len > 0 AND hix >= least(ox, tx) AND lox <= greatest(ox, tx) AND hiy >= least(oy, ty) AND loy <= greatest(oy, ty) AND hiz >= least(oz, tz) AND loz <= greatest(oz, tz)
+), met AS (
+    SELECT *, greatest(0e0, nx, ny, nz) AS entry FROM near_ WHERE greatest(0e0, nx, ny, nz) <= least(len, fx, fy, fz)
+), unsure AS (
+    SELECT ray_id, min({{'entry': entry, 'name': name}}) AS u FROM met WHERE flat GROUP BY ray_id
+), turned AS (
+    SELECT ray_id, name, entry, len, ax, ay, az, bx - ax AS px, by_ - ay AS py, bz - az AS pz, cx - ax AS qx, cy - ay AS qy, cz - az AS qz,
+           (c * (ox - x) + s * (oy - y)) / sx AS ox, (c * (oy - y) - s * (ox - x)) / sy AS oy, (oz - 5e0) / sz AS oz, (c * dx + s * dy) / sx AS dx, (c * dy - s * dx) / sy AS dy, dz / sz AS dz
+    FROM met JOIN sides USING (mesh) WHERE NOT flat
+), crossed AS (
+    SELECT *, dy * qz - dz * qy AS hx, dz * qx - dx * qz AS hy, dx * qy - dy * qx AS hz, ox - ax AS wx, oy - ay AS wy, oz - az AS wz FROM turned
+), solved AS (
+    SELECT *, px * hx + py * hy + pz * hz AS det, wy * pz - wz * py AS kx, wz * px - wx * pz AS ky, wx * py - wy * px AS kz FROM crossed
+), struck AS (
+    SELECT ray_id, name, entry, len, (wx * hx + wy * hy + wz * hz) / det AS u, (dx * kx + dy * ky + dz * kz) / det AS v, (qx * kx + qy * ky + qz * kz) / det AS t FROM solved WHERE det <> 0
+), nearest AS (
+    SELECT ray_id, min({{'hit': t, 'entry': entry, 'name': name}}) AS h FROM struck WHERE u >= 0 AND v >= 0 AND u + v <= 1 AND t >= 0 AND t < len - 1e-3 GROUP BY ray_id
+)
+SELECT ray_id, len > 0 AND u IS NULL AND h IS NOT NULL AS occluded, CASE WHEN len = 0 OR u IS NOT NULL THEN 'GEOMETRY_UNCERTAIN' WHEN h IS NOT NULL THEN 'OCCLUDED' ELSE 'CLEAR' END AS reason, CASE WHEN len > 0 THEN coalesce(u.name, h.name) END AS occluder_id
+FROM rays LEFT JOIN unsure USING (ray_id) LEFT JOIN nearest USING (ray_id)"""
 NEAREST = "SELECT ray_id, len > 0 AND h IS NOT NULL AS occluded, CASE WHEN len = 0 THEN 'GEOMETRY_UNCERTAIN' WHEN h IS NOT NULL THEN 'OCCLUDED' ELSE 'CLEAR' END AS reason, CASE WHEN len > 0 THEN h.name END AS occluder_id FROM rays LEFT JOIN first_hit USING (ray_id)"
 OBJECTS = """objects AS (
     SELECT ['Hall floor', 'Wall lamp', 'On-wall clock', 'Stair step', 'NavMesh path', 'AREA box', 'Front door', 'Chair'][p_partkey % 8 + 1] || ' ' || (p_partkey // 16) || CASE WHEN p_partkey % 16 > 7 THEN '.001' ELSE '' END AS name,
@@ -237,6 +285,7 @@ ORACLE_SQL: dict[str, str] = {
     "segment_box_hits": f"WITH {HITS} SELECT ray_id, name, {r6('entry', 'entry')} FROM hits",
     "ray_nearest_hit": f"WITH {HITS} {NEAREST}",
     "ray_triangle_hit": f"WITH {HITS} {NEAREST} WHERE ray_id NOT IN (SELECT ray_id FROM hits WHERE entry <= 0)",
+    "instanced_ray_hit": INSTANCED,
     "ray_budget": f"WITH {HITS}, n AS (SELECT ray_id, count(*) AS n FROM hits GROUP BY ray_id), r AS ({NEAREST}) SELECT CASE WHEN n > 4 THEN 'RAYCAST_LIMIT' ELSE reason END AS reason, count(*) AS n FROM r LEFT JOIN n USING (ray_id) GROUP BY 1",
     "object_counts": f"WITH {OBJECTS} SELECT type, count(*) AS n, CAST(sum(vertices) AS BIGINT) AS vertices, CAST(sum(polygons) AS BIGINT) AS polygons FROM objects GROUP BY type",
     "duplicate_groups": duplicates(r"lower(regexp_replace(name, '\.\d{3}$', ''))"),

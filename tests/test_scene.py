@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sightline.operators import audit, constraints, geometry, navigation, projection, trajectory, visibility
+from sightline.operators import audit, constraints, geometry, navigation, projection, raycasting, trajectory, visibility
 from sightline.plans import queries, scene
 from sightline.sources import readers, sinks
 from sightline.streaming import gaps, proposals
@@ -71,9 +71,9 @@ def test_rays(spark):
     boxes = spark.createDataFrame([box("Wall", (5.0, 0.0, 0.0)), box("NearWall", (2.0, 0.0, 0.0)), box("Odd", (5.0, 20.0, 0.0), True)], f"name string, lo {V3}, hi {V3}, bad boolean")
     o = (0.0, 0.0, 0.0)
     rays = spark.createDataFrame([("hit", o, (10.0, 0.0, 0.0)), ("clear", (0.0, 5.0, 0.0), (10.0, 5.0, 0.0)), ("none", o, o), ("odd", (0.0, 20.0, 0.0), (10.0, 20.0, 0.0)), ("nan", (float("nan"), 0.0, 0.0), o)], f"ray_id string, origin {V3}, target {V3}")
-    got = {r["ray_id"]: (r["reason"], r["occluder_id"]) for r in visibility.cast_rays(rays, boxes).collect()}
+    got = {r["ray_id"]: (r["reason"], r["occluder_id"]) for r in raycasting.cast_rays(rays, boxes).collect()}
     assert got == {"hit": ("OCCLUDED", "NearWall"), "clear": ("CLEAR", None), "none": ("GEOMETRY_UNCERTAIN", None), "odd": ("GEOMETRY_UNCERTAIN", "Odd"), "nan": ("GEOMETRY_UNCERTAIN", None)}
-    none = {r["ray_id"]: r["reason"] for r in visibility.cast_rays(rays, boxes, max_candidates=0).collect()}
+    none = {r["ray_id"]: r["reason"] for r in raycasting.cast_rays(rays, boxes, max_candidates=0).collect()}
     assert none["hit"] == "RAYCAST_LIMIT" and none["clear"] == "CLEAR"
 
 
