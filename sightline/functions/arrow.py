@@ -1,9 +1,7 @@
-"""Arrow helpers for what has no builtin: hexadecimal doubles and exactly rounded sums."""
+"""Arrow helpers for what has no builtin: hexadecimal doubles."""
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,12 +20,6 @@ def hex_list(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else [float(y).hex() for y in v])
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_sum(x: pd.Series) -> pd.Series:
-    """Correctly rounded sum of an array of doubles; order does not matter."""
-    return x.map(lambda v: None if v is None else math.fsum(v))
-
-
 def canonical_id(prefix: str, *parts: Column) -> Column:
     """prefix and the sha256 of the parts as a compact JSON array of strings; null stays null."""
     return F.concat(F.lit(prefix), F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts)), {"ignoreNullFields": "false"}), 256))

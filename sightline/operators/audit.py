@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import bin_of
+from ..functions.exact import exact_medians
 from ..sources.tables import materialised
 from .geometry import LAYER, top_per_group
 
@@ -155,7 +156,8 @@ def camera_heights(cameras: DataFrame, floors: dict[str, float]) -> DataFrame:
     """Heights of cameras by name prefix, and above the floor given for it."""
     levels = F.create_map(*(F.lit(x) for kv in floors.items() for x in kv))
     prefix = F.coalesce(*(F.when(F.col("name").startswith(f), F.lit(f)) for f in floors))
-    g = cameras.withColumn("floor", prefix).where(F.col("floor").isNotNull()).groupBy("floor").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.median("z").alias("z_median"), F.max("z").alias("z_max"))
+    c = cameras.withColumn("floor", prefix).where(F.col("floor").isNotNull())
+    g = c.groupBy("floor").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max")).join(exact_medians(c, ["floor"], "z", "z_median"), "floor")
     return g.withColumns({f"above_{s}": F.col(f"z_{s}") - levels[F.col("floor")] for s in ("min", "median", "max")})
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bin_of, cross, minus, norm
+from ..functions.exact import exact_medians
 
 HORIZONTAL_NZ = 0.95
 LAYER = 0.25
@@ -116,9 +117,11 @@ def stair_levels(relevant: DataFrame) -> DataFrame:
 
 
 def slopes(relevant: DataFrame, *by: str) -> DataFrame:
-    """Area and slopes of surfaces steeper than 5 and not above 55 degrees, with an area of 0.01 or more."""
+    """Area and slopes of surfaces steeper than 5 and not above 55 degrees, with an area of 0.01 or more. relevant is
+    read a few times, as medians are narrowed in passes."""
     s = relevant.where((F.col("slope_degrees") > 5) & (F.col("slope_degrees") <= 55))
-    return s.groupBy(*by).agg(F.sum("clipped_area").alias("clipped_xy_area"), F.min("slope_degrees").alias("slope_min"), F.median("slope_degrees").alias("slope_median"), F.max("slope_degrees").alias("slope_max"), F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max")).where("clipped_xy_area >= 0.01")
+    found = s.groupBy(*by).agg(F.sum("clipped_area").alias("clipped_xy_area"), F.min("slope_degrees").alias("slope_min"), F.max("slope_degrees").alias("slope_max"), F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max")).where("clipped_xy_area >= 0.01")
+    return found.join(exact_medians(s, list(by), "slope_degrees", "slope_median"), list(by))
 
 
 def plane_z_at(a: Column, b: Column, c: Column, x: Column, y: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrow import exact_sum
+from ..functions.exact import exact_sum, exact_sums
 from ..functions.columns import distance, finite, segment_lengths
 from ..sources.tables import materialised
 
@@ -88,8 +88,8 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """request_id, distance, edge_ids: shortest walk by length, ties by the edge ids; distance is the exactly rounded sum."""
     e = with_lengths(edges).where("walkable")
     found = best_routes(requests, e.select(F.col("from_node_id").alias("from_id"), F.col("to_node_id").alias("to_id"), F.col("edge_id").alias("link_id"), F.col("length").alias("cost")))
-    lengths = found.select("request_id", F.explode_outer("link_ids").alias("edge_id")).join(e.select("edge_id", "length"), "edge_id", "left").groupBy("request_id").agg(exact_sum(F.collect_list("length")).alias("distance"))
-    return found.join(lengths, "request_id").select("request_id", "distance", F.col("link_ids").alias("edge_ids"))
+    lengths = exact_sums(found.select("request_id", F.explode_outer("link_ids").alias("edge_id")).join(e.select("edge_id", "length"), "edge_id", "left"), ["request_id"], "length", "distance")
+    return found.join(lengths, "request_id").select("request_id", F.coalesce("distance", F.lit(0.0)).alias("distance"), F.col("link_ids").alias("edge_ids"))
 
 
 def minimum_hops(requests: DataFrame, transitions: DataFrame) -> DataFrame:

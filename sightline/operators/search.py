@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrow import exact_sum, float_hex, hex_list
+from ..functions.arrow import float_hex, hex_list
 from ..functions.columns import exceeds, finite
+from ..functions.exact import LIMBS, limbs_of, merged, rounded
 from ..sources.tables import discard, materialised
 from ..sources.schemas import FEASIBILITY_FLAGS
 from . import navigation
@@ -53,11 +54,11 @@ def request_failures(requests: DataFrame) -> DataFrame:
 
 
 def transition_routes(transitions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Transitions with the lengths of the edges that they cite, in order."""
+    """Transitions with the lengths of the edges that they cite, in order, and the limbs of their exact sum."""
     lengths = with_lengths(edges).select("edge_id", "length")
     cited = transitions.select("transition_id", F.posexplode("navigation_edge_ids").alias("pos", "edge_id")).join(lengths, "edge_id")
     cited = cited.groupBy("transition_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "length"))), lambda s: s["length"]).alias("step_lengths"))
-    return transitions.join(cited, "transition_id").select("transition_id", F.col("from_camera_id").alias("camera"), F.col("navigation_from_node_id").alias("node"), F.col("to_camera_id").alias("to_camera"), F.col("navigation_to_node_id").alias("to_node"), F.col("navigation_edge_ids").alias("step_edges"), "step_lengths")
+    return transitions.join(cited, "transition_id").select("transition_id", F.col("from_camera_id").alias("camera"), F.col("navigation_from_node_id").alias("node"), F.col("to_camera_id").alias("to_camera"), F.col("navigation_to_node_id").alias("to_node"), F.col("navigation_edge_ids").alias("step_edges"), "step_lengths", limbs_of(F.col("step_lengths")).alias("step_sums"))
 
 
 START, END = ("start_camera", "start_node"), ("end_camera", "end_node")
@@ -71,11 +72,12 @@ def walk_orders(starts: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFra
     that each grows out of. Walks longer than reach are in made alone.
 
     Nothing grows out of a state by less than the shortest move. So of a start's pending states all that are less than
-    that beyond the nearest one are ranked in one round. A start keeps as many pending states as it has ranks left.
+    that beyond the nearest one are ranked in one round. A state carries the limbs of its exact length, to which a move
+    adds its own. A start keeps as many pending states as it has ranks left.
     """
     shortest = moves.agg(F.min(F.aggregate("step_lengths", F.lit(0.0), lambda s, x: s + x))).first()[0] or 1.0
     none = F.array().cast("array<string>")
-    pending = starts.select(*START, "budget", "reach", F.lit(0).cast("long").alias("before"), F.col("start_camera").alias("camera"), F.col("start_node").alias("node"), F.lit(0.0).alias("distance"), none.alias("edge_ids"), none.alias("transition_ids"), F.array().cast("array<double>").alias("lengths"), F.lit(0).cast("long").alias("parent"), F.lit("").alias("via"))
+    pending = starts.select(*START, "budget", "reach", F.lit(0).cast("long").alias("before"), F.col("start_camera").alias("camera"), F.col("start_node").alias("node"), F.lit(0.0).alias("distance"), none.alias("edge_ids"), none.alias("transition_ids"), F.array().cast(LIMBS).alias("sums"), F.lit(0).cast("long").alias("parent"), F.lit("").alias("via"))
     pending = materialised(pending, "pending")
     ranked, made = [], []
     first = Window.partitionBy(*START, "camera", "node", "edge_ids").orderBy("parent", "via")
@@ -87,8 +89,8 @@ def walk_orders(starts: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFra
         near = materialised(near.withColumn("after", F.col("before") + F.sum(F.col("final").cast("long")).over(of_start)), "near")
         now = near.where("final")
         ranked.append(now.select(*START, "rank", "camera", "node", "distance", "edge_ids", "transition_ids"))
-        grown = now.where(F.col("rank") <= F.col("budget")).join(moves, ["camera", "node"]).withColumn("all_lengths", F.concat("lengths", "step_lengths"))
-        grown = grown.select(*START, "budget", "reach", F.col("after").alias("before"), F.col("to_camera").alias("camera"), F.col("to_node").alias("node"), exact_sum(F.col("all_lengths")).alias("distance"), F.concat("edge_ids", "step_edges").alias("edge_ids"), F.concat("transition_ids", F.array("transition_id")).alias("transition_ids"), F.col("all_lengths").alias("lengths"), F.col("rank").alias("parent"), F.col("transition_id").alias("via"))
+        grown = now.where(F.col("rank") <= F.col("budget")).join(moves, ["camera", "node"]).withColumn("all_sums", merged(F.concat("sums", "step_sums")))
+        grown = grown.select(*START, "budget", "reach", F.col("after").alias("before"), F.col("to_camera").alias("camera"), F.col("to_node").alias("node"), rounded(F.col("all_sums")).alias("distance"), F.concat("edge_ids", "step_edges").alias("edge_ids"), F.concat("transition_ids", F.array("transition_id")).alias("transition_ids"), F.col("all_sums").alias("sums"), F.col("rank").alias("parent"), F.col("transition_id").alias("via"))
         grown = materialised(grown, "grown")
         made.append(grown.select(*START, F.col("distance").alias("far"), "parent"))
         rest = near.where(~F.col("final")).withColumn("before", F.col("after")).drop("rank", "final", "after")

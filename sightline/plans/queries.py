@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import float_hex
 from ..functions.columns import exceeds
+from ..functions.exact import exact_sums
 from ..operators import audit, constraints, geometry, navigation, projection, raycasting, search, trajectory, visibility
 from ..sources import readers
 from ..streaming import gaps as streaming
@@ -422,6 +423,14 @@ def exact_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene.table(spark, sf_dir, "events").select("event_id", float_hex(F.col("value")).alias("value_hex"))
 
 
+def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The discounts of each supplier's lines, added exactly among terms that are far larger and cancel."""
+    line = scene.table(spark, sf_dir, "lineitem")
+    large = F.pow(F.lit(2.0), 40 + F.col("l_orderkey") % 20)
+    terms = line.select("l_suppkey", F.explode(F.array(F.col("l_extendedprice").cast("double") * F.col("l_discount").cast("double"), large, -large)).alias("term"))
+    return exact_sums(terms, ["l_suppkey"], "term")
+
+
 def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target's events at a camera as one observation; repeated times, errors and missing paths break its contract."""
     e = scene.table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "cast(event_id % 25 as string) as camera", "cast(floor(unix_micros(cast(ts as timestamp)) / 1e9D / 60) as double) as t", "event_type")
@@ -459,5 +468,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     trajectory_samples, sample_counts, unordered_keyframes, samples_x_cameras_projection, gap_reason_counts, visible_frames, occluded_frames, frame_violations, inverse_projection, projection_rejects, projection_roundtrip, point_ids,
     segment_box_hits, ray_nearest_hit, ray_triangle_hit, instanced_ray_hit, ray_budget, object_counts, duplicate_groups, shared_data_groups, geometry_signature_groups, high_poly_objects, top_meshes, semantic_tags, portal_overlap, collection_parents,
     z_layer_histogram, layer_top5, slope_summary, polygon_measures, connected_patches, area_overlap, stair_levels, grid_surface_clusters, height_clusters, scene_bounds, camera_height_summary, camera_floor_zone, camera_intrinsics, findings,
-    closed_schema_check, missing_endpoints, observation_windows, exact_times, observation_violations, stream_gap_pairs, stream_segments,
+    closed_schema_check, missing_endpoints, observation_windows, exact_times, exact_totals, observation_violations, stream_gap_pairs, stream_segments,
 )} | contracts.QUERIES
