@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import float_hex
 from ..functions.columns import exceeds
 from ..functions.exact import exact_sums
-from ..operators import audit, constraints, geometry, navigation, projection, raycasting, search, trajectory, visibility
+from ..operators import audit, constraints, endpoints, geometry, navigation, projection, raycasting, search, trajectory, visibility
 from ..sources import readers
 from ..streaming import gaps as streaming
 from . import contracts, scene
@@ -128,6 +128,23 @@ def route_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("route_id", line.alias("line"), "distance", "failure")
 
 
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endpoints.located_requests(scene.raw_requests(spark, sf_dir), *scene.raw_observations(spark, sf_dir), scene.camera_nodes(spark, sf_dir), scene.nodes(spark, sf_dir))
+
+
+def located_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw observations and requests between them: where a search would start and end, or the first check that fails."""
+    found = _located(spark, sf_dir)
+    passed = F.col("failure").isNull()
+    return found.select("request_id", "failure", *(F.when(passed, F.col(c)).alias(c) for c in ("start_node", "end_node")), F.when(passed, r6(F.col("gap_s"))).alias("gap_s"))
+
+
+def located_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches of those requests: how each ends, or why it does not begin. Routes of 14 m at most."""
+    results, _ = search.checked_search(_located(spark, sf_dir), scene.transitions(spark, sf_dir), scene.edges(spark, sf_dir))
+    return results.groupBy("failure", "termination_reason").agg(F.count("*").alias("n"))
+
+
 def edge_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.violations(scene.proposed_edges(spark, sf_dir), constraints.nav_edge_checks(), "edge_id")
 
@@ -433,12 +450,13 @@ def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target's events at a camera as one observation; repeated times, errors and missing paths break its contract."""
-    e = scene.table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "cast(event_id % 25 as string) as camera", "cast(floor(unix_micros(cast(ts as timestamp)) / 1e9D / 60) as double) as t", "event_type")
-    frame = F.expr("named_struct('timestamp', t, 'status', if(event_type = 'error', 'GAP', 'OBSERVED'), 'camera_id', camera, 'target_id', cast(user_id as string))")
-    point = F.expr("named_struct('timestamp', t, 'point_id', concat('p', event_id % 1000), 'camera_id', camera, 'observation_id', cast(null as string))")
-    o = e.groupBy(F.col("user_id").cast("string").alias("target_id"), F.col("camera").alias("camera_id")).agg(F.array_sort(F.collect_list(frame)).alias("frames"), F.array_sort(F.collect_list(point)).alias("projected_path"), F.min("t").alias("start_time"), F.max("t").alias("end_time"))
-    o = o.withColumn("observation_id", F.concat_ws("@", "target_id", "camera_id")).withColumn("provenance", F.when(F.size("frames") % 2 == 0, "PROJECTED").otherwise("OBSERVED"))
-    return constraints.violations(o, constraints.observation_checks(), "observation_id").groupBy("constraint").agg(F.count("*").alias("n"))
+    e = scene.table(spark, sf_dir, "events").selectExpr("cast(user_id as string) as target_id", "event_id", "cast(event_id % 25 as string) as camera_id", "cast(floor(unix_micros(cast(ts as timestamp)) / 1e9D / 60) as double) as timestamp", "event_type")
+    e = e.withColumn("observation_id", F.concat_ws("@", "target_id", "camera_id"))
+    heads = e.groupBy("observation_id", "target_id", "camera_id").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.when(F.count("*") % 2 == 0, "PROJECTED").otherwise("OBSERVED").alias("provenance"))
+    frames = e.select("observation_id", "timestamp", F.expr("if(event_type = 'error', 'GAP', 'OBSERVED')").alias("status"), "camera_id", "target_id")
+    points = e.select("observation_id", F.expr("concat('p', event_id % 1000)").alias("point_id"), "timestamp", "camera_id", F.lit(None).cast("string").alias("of_observation"))
+    checked = endpoints.checked_observations(heads, frames, points)
+    return endpoints.observation_violations(checked).groupBy("constraint").agg(F.count("*").alias("n"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,7 +482,7 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    gap_topk, gap_pairs, gap_termination, gap_termination_bounds, gap_termination_short, gap_candidates, gap_candidates_short, candidate_ids, candidate_violations, shortest_routes, min_hops, route_polylines, edge_violations, nav_graph_violations, topology_violations, network_violations, locate_nodes,
+    gap_topk, gap_pairs, gap_termination, gap_termination_bounds, gap_termination_short, gap_candidates, gap_candidates_short, candidate_ids, candidate_violations, shortest_routes, min_hops, route_polylines, edge_violations, nav_graph_violations, topology_violations, network_violations, locate_nodes, located_requests, located_results,
     trajectory_samples, sample_counts, unordered_keyframes, samples_x_cameras_projection, gap_reason_counts, visible_frames, occluded_frames, frame_violations, inverse_projection, projection_rejects, projection_roundtrip, point_ids,
     segment_box_hits, ray_nearest_hit, ray_triangle_hit, instanced_ray_hit, ray_budget, object_counts, duplicate_groups, shared_data_groups, geometry_signature_groups, high_poly_objects, top_meshes, semantic_tags, portal_overlap, collection_parents,
     z_layer_histogram, layer_top5, slope_summary, polygon_measures, connected_patches, area_overlap, stair_levels, grid_surface_clusters, height_clusters, scene_bounds, camera_height_summary, camera_floor_zone, camera_intrinsics, findings,

@@ -106,6 +106,36 @@ def search_requests(spark: SparkSession, sf_dir: str, **policy) -> DataFrame:
     )
 
 
+def raw_observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(observations, frames, points): an observation of one frame and two points for each event. Some lie about their
+    target, camera, floor, order or place."""
+    node = "cast(event_id % 25 as int)"
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", f"{node} as node", "unix_micros(cast(ts as timestamp)) / 1e9D as t", "concat('O', event_id) as observation_id", f"concat('F', {node} % 5) as floor")
+    e = e.withColumns({"camera_id": F.expr(f"if(event_id % 37 = 3, 'C99', {_id('C', 'node')})"), "target_id": F.expr("if(event_id % 41 = 7, 'nobody', cast(user_id as string))")})
+    heads = e.selectExpr("observation_id", "target_id", "camera_id", "t - 1 as start_time", "if(event_id % 83 = 4, t - 2, t) as end_time", "case event_id % 29 when 5 then 'F9' when 6 then null when 7 then '' else floor end as floor_id", "if(event_type = 'error', 'OBSERVED', 'PROJECTED') as provenance")
+    frames = e.selectExpr("observation_id", "t as timestamp", "if(event_id % 43 = 9, 'GAP', 'OBSERVED') as status", "camera_id", "target_id")
+    at = "named_struct('x', 10.0D * (node div 5) + if(event_id % 53 = 2, 0.5D, 0.0D), 'y', 0.0D, 'z', 4.0D * (node % 5))"
+    points = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).selectExpr(
+        "observation_id", "concat('P', event_id, '-', if(event_id % 79 = 8, 0, k)) as point_id", "if(event_id % 47 = 11, t, t - 1 + k) as timestamp", "camera_id", "if(event_id % 89 = 3, 'another', observation_id) as of_observation",
+        "case event_id % 29 when 5 then null when 6 then null when 7 then null when 8 then 'F8' else floor end as floor_id", f"{at} as world_position",
+    )
+    return heads, frames, points
+
+
+def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request between each two neighbouring events of a user, some of them turned round, doubled or out of range."""
+    e = table(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before")).where("before is not null")
+    bounds = {k: v for k, v in SEARCH_DEFAULTS.items() if k not in ("max_search_time_s", "max_paths", "max_path_length_m")} | {"max_path_length_m": 14.0}
+    return e.select(
+        F.expr("concat(before, '-', event_id)").alias("request_id"),
+        F.expr("concat('O', if(event_id % 67 = 5, event_id, before))").alias("start_observation_id"),
+        F.expr("concat('O', if(event_id % 67 = 5 or event_id % 61 = 0, before, if(event_id % 73 = 1, -1, event_id)))").alias("end_observation_id"),
+        F.expr("if(event_id % 59 = 1, 0, 3)").alias("max_paths"),
+        F.expr("if(event_id % 71 = 3, double('infinity'), 1.5D)").alias("max_speed_m_s"),
+        *(F.lit(v).alias(k) for k, v in bounds.items()),
+    )
+
+
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trajectory of each customer with two orders or more, a keyframe an order, 0.7 s apart."""
     o = table(spark, sf_dir, "orders")

@@ -178,6 +178,38 @@ INSTANCED = f"""WITH rays AS (
 SELECT ray_id, len > 0 AND u IS NULL AND h IS NOT NULL AS occluded, CASE WHEN len = 0 OR u IS NOT NULL THEN 'GEOMETRY_UNCERTAIN' WHEN h IS NOT NULL THEN 'OCCLUDED' ELSE 'CLEAR' END AS reason, CASE WHEN len > 0 THEN coalesce(u.name, h.name) END AS occluder_id
 FROM rays LEFT JOIN unsure USING (ray_id) LEFT JOIN nearest USING (ray_id)"""
 NEAREST = "SELECT ray_id, len > 0 AND h IS NOT NULL AS occluded, CASE WHEN len = 0 THEN 'GEOMETRY_UNCERTAIN' WHEN h IS NOT NULL THEN 'OCCLUDED' ELSE 'CLEAR' END AS reason, CASE WHEN len > 0 THEN h.name END AS occluder_id FROM rays LEFT JOIN first_hit USING (ray_id)"
+LOCATED = f"""WITH {NODES}, e AS (
+    SELECT *, epoch_us(ts) / 1e9 AS t, event_id % 25 AS node, 'O' || event_id AS observation_id, CASE WHEN event_id % 37 = 3 THEN 'C99' ELSE 'C' || {pad("event_id % 25")} END AS camera, CASE WHEN event_id % 41 = 7 THEN 'nobody' ELSE CAST(user_id AS VARCHAR) END AS target FROM events
+), heads AS (
+    SELECT observation_id, target, camera, t - 1 AS start_time, CASE WHEN event_id % 83 = 4 THEN t - 2 ELSE t END AS end_time, CASE event_id % 29 WHEN 5 THEN 'F9' WHEN 6 THEN NULL WHEN 7 THEN '' ELSE 'F' || (node % 5) END AS floor_id, event_type <> 'error' AS projected FROM e
+), frames AS (
+    SELECT observation_id, t AS moment, event_id % 43 <> 9 AS seen, camera, target FROM e
+), points AS (
+    SELECT observation_id, 'P' || event_id || '-' || CASE WHEN event_id % 79 = 8 THEN 0 ELSE k END AS point_id, CASE WHEN event_id % 47 = 11 THEN t ELSE t - 1 + k END AS moment, camera, CASE WHEN event_id % 89 = 3 THEN 'another' ELSE observation_id END AS owner,
+           CASE event_id % 29 WHEN 5 THEN NULL WHEN 6 THEN NULL WHEN 7 THEN NULL WHEN 8 THEN 'F8' ELSE 'F' || (node % 5) END AS floor_id, 1e1 * (node // 5) + CASE WHEN event_id % 53 = 2 THEN 5e-1 ELSE 0 END AS x, 4e0 * (node % 5) AS z
+    FROM e, (VALUES (0), (1)) v(k)
+), framed AS (
+    SELECT h.observation_id, bool_and(seen AND f.camera = h.camera AND f.target = h.target AND moment >= start_time AND moment <= end_time) AND count(*) = count(DISTINCT moment) AS ok FROM frames f JOIN heads h USING (observation_id) GROUP BY 1
+), pathed AS (
+    SELECT h.observation_id, bool_and(p.camera = h.camera AND moment >= start_time AND moment <= end_time AND owner = h.observation_id) AND count(*) = count(DISTINCT moment) AND count(*) = count(DISTINCT point_id) AS ok, min(moment) AS first_t, max(moment) AS last_t, max(p.floor_id) AS point_floor, max(x) AS x, max(z) AS z
+    FROM points p JOIN heads h USING (observation_id) GROUP BY 1
+), obs AS (
+    SELECT h.observation_id, h.target, h.camera, nullif(h.floor_id, '') AS own_floor, point_floor, first_t, last_t, p.x, p.z, end_time >= start_time AND projected AND f.ok AND p.ok AS valid, n.floor_id AS camera_floor
+    FROM heads h JOIN framed f USING (observation_id) JOIN pathed p USING (observation_id) LEFT JOIN nodes n ON n.camera_id = h.camera
+), placed AS (
+    SELECT *, CASE WHEN own_floor <> point_floor THEN 'ENDPOINT_FLOOR_MISMATCH' WHEN own_floor IS NULL AND point_floor IS NULL THEN 'ENDPOINT_FLOOR_REQUIRED' WHEN camera_floor IS NULL THEN 'UNKNOWN_CAMERA' WHEN camera_floor <> coalesce(point_floor, own_floor) THEN 'ENDPOINT_FLOOR_MISMATCH' END AS broken,
+           (SELECT min(node_id) FROM nodes n WHERE n.floor_id = coalesce(point_floor, own_floor) AND sqrt((n.x - obs.x) ** 2 + (n.z - obs.z) ** 2) <= 1e-6) AS node_id
+    FROM obs
+), asked AS (
+    SELECT before || '-' || event_id AS request_id, 'O' || CASE WHEN event_id % 67 = 5 THEN event_id ELSE before END AS s, 'O' || CASE WHEN event_id % 67 = 5 OR event_id % 61 = 0 THEN before WHEN event_id % 73 = 1 THEN -1 ELSE event_id END AS g, event_id % 59 <> 1 AS some_paths, event_id % 71 <> 3 AS slow
+    FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL
+), judged AS (
+    SELECT request_id, a.node_id AS start_node, b.node_id AS end_node, b.first_t - a.last_t AS gap_s,
+           CASE WHEN NOT some_paths THEN 'INVALID_MAX_PATHS' WHEN NOT coalesce(a.valid AND b.valid, false) THEN 'INVALID_OBSERVATION' WHEN a.target <> b.target THEN 'TARGET_MISMATCH' WHEN s = g THEN 'DUPLICATE_OBSERVATION' WHEN b.first_t - a.last_t <= 0 THEN 'INVALID_TIME_GAP'
+                WHEN a.broken IS NOT NULL THEN a.broken WHEN a.node_id IS NULL THEN 'ENDPOINT_OFF_NETWORK' WHEN b.broken IS NOT NULL THEN b.broken WHEN b.node_id IS NULL THEN 'ENDPOINT_OFF_NETWORK' WHEN NOT slow THEN 'NUMERICAL_FAILURE' END AS failure
+    FROM asked LEFT JOIN placed a ON a.observation_id = s LEFT JOIN placed b ON b.observation_id = g
+)
+SELECT request_id, failure, CASE WHEN failure IS NULL THEN start_node END AS start_node, CASE WHEN failure IS NULL THEN end_node END AS end_node, CASE WHEN failure IS NULL THEN round(gap_s, 6) + 0e0 END AS gap_s FROM judged"""
 OBJECTS = """objects AS (
     SELECT ['Hall floor', 'Wall lamp', 'On-wall clock', 'Stair step', 'NavMesh path', 'AREA box', 'Front door', 'Chair'][p_partkey % 8 + 1] || ' ' || (p_partkey // 16) || CASE WHEN p_partkey % 16 > 7 THEN '.001' ELSE '' END AS name,
            p_type AS collections, CASE WHEN p_partkey % 10 = 9 THEN 'EMPTY' ELSE 'MESH' END AS type, p_size * 1500 AS polygons, p_size * 700 AS vertices, p_size * 4e0 AS dx, p_size * 5e0 AS dy,
@@ -337,6 +369,7 @@ ORACLE_SQL: dict[str, str] = {
     "closed_schema_check": "SELECT event_id, 'extra' AS unknown FROM events WHERE event_id % 10 = 0",
     "missing_endpoints": f"WITH {PROPOSED} SELECT DISTINCT edge_id, 'N' || {pad('b')} AS node_id FROM pe WHERE b > 24",
     "observation_windows": f"WITH {GAPS} SELECT target_id, {r6('min(t)', 'start_time')}, {r6('max(t)', 'end_time')} FROM obs WHERE camera = 7 GROUP BY target_id HAVING min(t) <= 1705500 AND max(t) >= 1704500",
+    "located_requests": LOCATED,
     "observation_violations": """WITH o AS (SELECT user_id, event_id % 25 AS camera, count(*) AS n, count(DISTINCT floor(epoch_us(ts) / 1e9 / 60)) AS times, bool_or(event_type = 'error') AS bad, count(DISTINCT event_id % 1000) AS points FROM events GROUP BY 1, 2),
             v AS (SELECT unnest(['provenance', 'frame_order', 'frames', 'path_order', 'point_ids']) AS "constraint", unnest([n % 2 = 1, times < n, bad, times < n, points < n]) AS broken FROM o)
         SELECT "constraint", count(*) AS n FROM v WHERE broken GROUP BY 1""",
