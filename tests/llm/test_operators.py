@@ -486,8 +486,9 @@ def test_candidates_of_a_template_grow_with_its_documents(spark, monkeypatch):
         df = spark.createDataFrame(templated("slots", n), "doc_id long, text string").repartition(8)
         near_dup.near_duplicates(df, 3, 85).write.format("noop").mode("overwrite").save()
         made.append(sum(rows))
-    print(made)
-    assert made[1] <= 3 * made[0] and made[2] <= 3 * made[1] and made[2] < 0.1 * 2000 * 1999 / 2
+        # few texts have short lists, which give pairs; more texts have long ones, which give members: so many a text at most
+        assert made[-1] <= 12 * n, made
+    assert made[2] <= 2 * max(made[:2]), made
 
 
 def test_near_duplicates_edges(odd, empty):
