@@ -27,6 +27,8 @@ DIVISOR = 2
 LEAST_LINES = 2
 BROADCAST_HASHES = 1_000_000
 BROADCAST_BYTES = 32_000_000
+#: Bytes of a hash and a place in a broadcast table, with room to spare.
+FIRST_BYTES = 120
 SALTS = 16
 BATCH_CHARS = 8 << 20
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -123,15 +125,25 @@ def repeated_pieces(texts: DataFrame, pieces: Callable[..., Iterator[tuple]], na
     found = piece_rows(texts, pieces, names, True).join(broadcast_if_small(repeated, repeated.count(), BROADCAST_HASHES), "hash")
     found = written(found, f"repeated-{label}")
     place = F.struct("doc_id", "text_hash", names[0])
-    first = found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "chunk", "first")
-    first = written(first, f"first-{label}")
+    texts_of = found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n"))  # the byte comparison
+    first = written(texts_of.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("n").alias("n")).where("n > 1"), f"first-{label}")
     later = ~place.eqNullSafe(F.col("first"))
-    if (first.agg(F.sum(F.octet_length("chunk") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
-        joined = found.join(F.broadcast(first), ["hash", "chunk"])
+    # a hash of one text needs no text any more; of others, texts are joined too
+    n, n_many = first.agg(F.count("*"), F.count_if(F.col("texts") > 1)).first()
+    one = first.where("texts = 1").select("hash", "first")
+    slim = found.select("doc_id", "text_hash", *names, "hash")
+    if n * FIRST_BYTES <= BROADCAST_BYTES:
+        joined = slim.join(F.broadcast(one), "hash")
     else:  # a piece that stands everywhere is joined in SALTS tasks
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        joined = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", names[0]), F.lit(SALTS))).join(first.withColumn("salt", salts), ["hash", "salt", "chunk"])
-    return joined.where(later).select("doc_id", "text_hash", *names, "first")
+        joined = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", names[0]), F.lit(SALTS))).join(one.withColumn("salt", salts), ["hash", "salt"])
+    columns = ["doc_id", "text_hash", *names, "first"]
+    out = joined.where(later).select(*columns)
+    if n_many:
+        mixed = found.join(first.where("texts > 1").select("hash"), "hash")
+        own = mixed.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "chunk", "first")
+        out = out.unionByName(mixed.join(own, ["hash", "chunk"]).where(later).select(*columns))
+    return out
 
 
 def with_gone(keyed: DataFrame, gone: DataFrame, number: str, alias: str) -> tuple[DataFrame, bool]:

@@ -394,6 +394,14 @@ def test_line_dedup_of_whole_passages(spark, odd, empty):
     assert line_dedup.without_repeated_passages(empty).count() == 0
 
 
+def test_line_dedup_of_pieces_with_one_hash(spark, odd, monkeypatch):
+    """Pieces of other bytes under one hash are told apart by their texts."""
+    want = spark_rows(line_dedup.without_repeated_passages(odd))
+    rows = line_dedup.piece_rows
+    monkeypatch.setattr(line_dedup, "piece_rows", lambda *a: rows(*a).withColumn("hash", F.lit(b"one")))
+    assert spark_rows(line_dedup.without_repeated_passages(odd)) == want and any(r["n_removed_lines"] for r in line_dedup.without_repeated_passages(odd).collect())
+
+
 def test_line_dedup_joined_by_salt(spark, monkeypatch):
     """A passage that stands in every document, joined in several tasks instead of a broadcast."""
     passage = "common line one\ncommon line two\ncommon line three"
