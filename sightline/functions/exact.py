@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import materialised
 from .columns import ulp
 
 BITS = 32
@@ -130,7 +131,7 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, name: str = "media
     falls where the rank is. No group's values come together; a pass has 2^24 counts a group at most.
     """
     ordered = df.where(F.col(value).isNotNull()).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(value).cast("double").alias("x"))
-    ordered = ordered.withColumn("bits", in_order(F.col("x")))
+    ordered = materialised(ordered.withColumn("bits", in_order(F.col("x"))), "values-in-order")  # read in every pass
     by = [f"k{i}" for i in range(len(keys))]
     ranks = ordered.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("n") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("which"), F.floor(F.col("n") / 2).alias("rank")))).alias("r")).select(*by, "r.*", F.lit(None).cast("long").alias("prefix"))
     above = 64
