@@ -109,7 +109,8 @@ def repaired_turns(turns: DataFrame) -> DataFrame:
     piece is the turn's part of the rendered conversation: the pieces of a conversation, ordered by turn, role, hash of the
     text (xxhash64) and text, make it up. Turns are ordered so too, null numbers and roles first. Roles are compared in lower case without
     white space around; null and unknown roles need a relabel. Null text counts as empty, and a turn with empty text is
-    kept. Rows without conv_id are one conversation. Repeated rows are turns of their own.
+    kept. Rows without conv_id are one conversation. Repeated rows are turns of their own. An empty table
+    gives an empty result.
     """
     conv, turn = (turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     order = ["conv_id", "turn", "role", "tie"]

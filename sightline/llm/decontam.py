@@ -103,7 +103,11 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, contaminated, n_items, item_id (the one with most agreeing words; of ties the smallest), n_agree."""
+    """One row per row of docs: doc_id, contaminated, n_items, item_id (the one with most agreeing words; of ties the smallest), n_agree.
+
+    Null and empty texts are in no item and hold none, and long ones are looked at whole. Rows of one doc_id have one
+    result, rows without none. An empty table gives an empty result.
+    """
     found = contaminated_documents(docs, benchmark)
     top = F.min(F.struct((-F.col("n_agree")).alias("less"), "item_id"))
     found = written(found.groupBy("doc_id").agg(F.count("*").alias("n_items"), top.alias("top")), "contaminated")
@@ -115,6 +119,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id has no passage of an item; rows without id stay."""
+    """The rows of docs, all columns, whose doc_id has no passage of an item; rows without id stay, null and empty texts too.
+    An empty table stays empty."""
     found = written(contaminated_documents(docs, benchmark).select(F.col("doc_id").alias("__sightline_leak")).distinct(), "contaminated")
     return docs.join(broadcast_if_small(found, found.count(), BROADCAST_DOCS), docs["doc_id"] == F.col("__sightline_leak"), "left_anti")

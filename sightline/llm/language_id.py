@@ -155,7 +155,8 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (0 to 1, half the regression's value plus a half).
 
     lang_pred is a language of the training rows, or und with score 0 where text is null or has no letter, or where no
-    row can be learned from. doc_id and lang are read to choose training rows only. Repeated rows get equal results.
+    row can be learned from. doc_id and lang are read to choose training rows only. Repeated rows get equal results. An
+    empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text", "lang")
     model = fit(docs)

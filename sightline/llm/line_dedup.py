@@ -188,7 +188,7 @@ def without_repeated_chunks(docs: DataFrame) -> DataFrame:
 
     Null texts stay null and have no lines; an empty text has one. Chunks of white space alone stay. Rows that share
     doc_id and text are one document: what stays of it stays in each. Null ids come before all others. A chunk's lines
-    are removed whole, with the line break after them.
+    are removed whole, with the line break after them. An empty table stays empty.
     """
     marked, _ = _marked(docs)
     return _cleaned(marked.withColumn("__sightline_lines", F.lit(None).cast("array<int>")), docs.columns)

@@ -171,7 +171,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     A document taken whole once keeps its text as it is. Otherwise text is the taken words, one space apart, first
     those of all parts, then on a new line those of parts taken a second time. n_chars, where docs has it, is the new
-    text's length.
+    text's length. Null and empty texts have no words and go. An empty table stays empty.
     """
     documents, _ = mix(docs, seed)
     keep = documents.where("taken > 0").select(F.col("doc_id").alias("__sightline_id"), F.col("text_hash").alias("__sightline_hash"), F.col("place").alias("__sightline_place"), F.col("source").alias("__sightline_source"), F.col("size").alias("__sightline_size"), F.col("taken").alias("__sightline_taken"), F.col("parts").alias("__sightline_parts"))

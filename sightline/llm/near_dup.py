@@ -368,7 +368,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = 8
     Sets are linked when 100 * intersection >= similarity * union. component_id is the smallest doc_id that links
     reach, of the same set too; kept is doc_id = component_id. A text with fewer words than a shingle is one shingle of
     all its words; null texts and texts without words have empty sets, link with nothing and stay. Null ids are never
-    the smallest of others. Rows of one doc_id with other texts are rows of their own. Other columns are not read.
+    the smallest of others. Rows of one doc_id with other texts are rows of their own. Other columns are not read. An
+    empty table gives an empty result.
     """
     return decided(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle_words, similarity).drop("text_key", "group")
 
@@ -425,7 +426,7 @@ def decided(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of docs, all columns, that stay: of each group the row with the smallest doc_id, of rows under
-    that id one, and every row without words or id."""
+    that id one, and every row without words or id. An empty table stays empty."""
     decisions = written(decided(docs.select("doc_id", "text"), shingle_words, similarity).where("kept"), "near-kept")
     leads = decisions.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
     firsts = leads.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("lead"))

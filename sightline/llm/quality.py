@@ -176,7 +176,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     Learns from labelled rows whose crc32 of doc_id leaves a remainder other than 0 by 5; labels other than 0 and 1
     are passed over. Null and empty texts have the statistics of an empty text. Repeated rows count as often as they
     occur. Without labels of both classes every score is the smoothed share of label 1. Only doc_id and text of docs
-    are read, doc_id to find the labels.
+    are read, doc_id to find the labels. An empty table gives an empty result.
     """
     stats = written(document_statistics(docs), "quality-statistics")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").cast("int").alias("label"))
@@ -194,7 +194,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, that the classifier does not reject; rows of one doc_id stay if any of them does.
-    Rows without id stay."""
+    Rows without id stay; null and empty texts are judged as empty ones. An empty table stays empty."""
     scored = written(quality_scores(docs, labels, threshold), "quality-scores")
     good = scored.where("predicted = 1").select(F.col("doc_id").alias("__sightline_id")).distinct()
     bad = written(scored.where("predicted = 0").select(F.col("doc_id").alias("__sightline_id")).join(good, "__sightline_id", "left_anti").where(F.col("__sightline_id").isNotNull()).distinct(), "quality-rejects")

@@ -241,7 +241,7 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024,
 
     prefix_deltas has one signed byte per code point; its running sum is the exact token count of every prefix, as the
     tokenizers library gives it without added tokens. fit_chars is the length of the longest prefix within limit
-    tokens. Null text counts as empty: no bytes, no tokens. Repeated rows give repeated results; other columns of docs
+    tokens. Null text counts as empty: no bytes, no tokens. Repeated rows give repeated results, an empty table none; other columns of docs
     are not read. There is no shuffle, and a worker holds caches of CACHE_BYTES and one slice of a batch.
     """
 

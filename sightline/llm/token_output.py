@@ -198,7 +198,8 @@ def write_token_pages(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
     Shards are ranges of doc_id and a page's shard and number give its place, so the pages in that order have ascending
     doc_id, which is a number and kept as long. Null ids come first; rows of one id are in the order of their texts' hashes. Null text counts as empty and has the end id alone.
-    A text is never split between pages: a page has about PAGE_BYTES of text, or one longer text.
+    A text is never split between pages: a page has about PAGE_BYTES of text, or one longer text. An empty table gives no
+    pages, and these no documents.
     """
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
