@@ -106,7 +106,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, contaminated, n_items, item_id (the one with most agreeing words; of ties the smallest), n_agree.
 
     Null and empty texts are in no item and hold none, and long ones are looked at whole. Rows of one doc_id have one
-    result, rows without none. An empty table gives an empty result.
+    result; rows without one are not contaminated. An empty table gives an empty result.
     """
     found = contaminated_documents(docs, benchmark)
     top = F.min(F.struct((-F.col("n_agree")).alias("less"), "item_id"))
