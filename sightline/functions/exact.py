@@ -116,6 +116,22 @@ def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total")
     return df.select(*keys).distinct().join(found, same, "left").select(*keys, F.col("__total").alias(name))
 
 
+def ratio(p: Column, q: Column) -> Column:
+    """p / q of whole decimals below 10^20, q positive, as the double nearest to it. Up to 2^53 the quotient of doubles is
+    that; beyond, 36 digits and a last one for what remains are read as a number."""
+    ten = F.lit(10**18).cast(WHOLE)
+    div = lambda a, b: F.call_function("div", a, b).cast(WHOLE)
+
+    def long_division(u: Column) -> Column:
+        first = ((u % q).cast(WHOLE) * ten).cast(WHOLE)
+        second = ((first % q).cast(WHOLE) * ten).cast(WHOLE)
+        digits = lambda a: F.lpad(div(a, q).cast("string"), 18, "0")
+        return F.concat(div(u, q).cast("string"), F.lit("."), digits(first), digits(second), F.when(second % q == 0, "0").otherwise("1")).cast("double")
+
+    small = (F.abs(p) <= 2**53) & (q <= 2**53)
+    return F.when(small, p.cast("double") / q.cast("double")).otherwise(F.when(p < 0, -long_division(-p)).otherwise(long_division(p)))
+
+
 def in_order(x: Column) -> Column:
     """A finite double as a long that is ordered as it is; -0 and 0 are one."""
     whole = lambda u: (F.abs(x) / u).cast("long") + (F.round(F.log2(u)).cast("long") + 1074) * (1 << 52)

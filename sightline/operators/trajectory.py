@@ -1,7 +1,7 @@
 """Sampling of configured 3D paths.
 
-Time is a count of ticks, 1 / (scale * rate) of a second each, so that grid and keyframe times are exact integers;
-ticks / (scale * rate) is then the correctly rounded double.
+Time is a count of ticks. A trajectory's tick is 1 / (10^decimals * rate) of a second, decimals being the most that any of
+its own keyframe times has, so that grid and keyframe times are whole numbers and quotients of them are rounded once.
 """
 
 from __future__ import annotations
@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import distance
+from ..functions.exact import WHOLE, ratio
 
-SCALE = 1_000_000
 MAX_SAMPLES = 1_000_000
+#: Ticks stay below this, which ratio can divide.
+MAX_TICKS = "10000000000000000000"
 #: Fixed value: the last frame number of an evaluator.
 LAST_FRAME = 1_048_574
 
 
 def keyframe_ticks(keyframes: DataFrame) -> DataFrame:
-    """keyframes (trajectory_id, sample_rate_hz, timestamp, x, y, z, floor_id, zone_id, semantic_region) with tick; a
-    time with more than six decimals fails."""
-    scaled = F.col("timestamp") * SCALE
-    exact = F.rint(scaled.cast("double")).cast("long")
-    ok = F.abs(scaled.cast("double") - exact) < 1e-3
-    return keyframes.withColumn("tick", F.when(ok, exact * F.col("sample_rate_hz")).otherwise(F.raise_error(F.lit("keyframe time has more than six decimals")).cast("long")))
+    """keyframes (trajectory_id, sample_rate_hz, timestamp, x, y, z, floor_id, zone_id, semantic_region) with tick and
+    per_second, its trajectory's ticks of a second. timestamp is a decimal, of 18 decimals at most; other numbers are taken as they are
+    written. Times of more than 10^19 ticks fail."""
+    time = F.col("timestamp").cast("string").cast("decimal(38,18)")
+    # whole seconds and what is left apart: a product of all digits at once would not fit
+    timed = keyframes.withColumn("__rest", time % F.lit(1).cast("decimal(1,0)")).withColumn("__seconds", (time - F.col("__rest")).cast(WHOLE))
+    digits = F.rtrim(F.lpad((F.abs("__rest") * F.lit(10**18).cast("decimal(19,0)")).cast(WHOLE).cast("string"), 18, "0"), F.lit("0"))
+    powers = F.array(*(F.lit(10**n).cast("decimal(19,0)") for n in range(19)))
+    timed = timed.withColumn("__unit", F.element_at(powers, F.max(F.length(digits)).over(Window.partitionBy("trajectory_id")) + 1))
+    timed = timed.withColumn("per_second", (F.col("__unit") * F.col("sample_rate_hz")).cast(WHOLE))
+    tick = (F.col("__seconds") * F.col("per_second") + (F.col("__rest") * F.col("__unit")).cast(WHOLE) * F.col("sample_rate_hz")).cast(WHOLE)
+    most = F.lit(MAX_TICKS).cast(WHOLE)
+    sound = (F.abs(tick) < most) & (F.col("per_second") < most)
+    return timed.withColumn("tick", F.when(sound | F.col("timestamp").isNull(), tick).otherwise(F.raise_error(F.lit("keyframe time has too many ticks")).cast(WHOLE))).drop("__seconds", "__rest", "__unit")
 
 
 def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
@@ -38,34 +48,36 @@ def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) ->
     order = Window.partitionBy("trajectory_id").orderBy("tick")
     after, before = F.lead(F.struct("tick", "x", "y", "z")).over(order), F.lag(F.struct("tick", "x", "y", "z")).over(order)
     keys = keys.withColumn("after", after).withColumn("before", before)
-    rate = F.col("sample_rate_hz") * F.lit(float(SCALE))
+    seconds = lambda ticks: ratio(ticks.cast(WHOLE), F.col("per_second"))
 
     def velocity(axis: str) -> Column:
-        right = (F.col(f"after.{axis}") - F.col(axis)) / ((F.col("after.tick") - F.col("tick")) / rate)
-        left = (F.col(axis) - F.col(f"before.{axis}")) / ((F.col("tick") - F.col("before.tick")) / rate)
+        right = (F.col(f"after.{axis}") - F.col(axis)) / F.col("to_next")
+        left = (F.col(axis) - F.col(f"before.{axis}")) / F.col("from_last")
         return F.when(F.col("after").isNotNull(), right).otherwise(left)
 
+    keys = keys.withColumn("to_next", seconds(F.col("after.tick") - F.col("tick"))).withColumn("from_last", seconds(F.col("tick") - F.col("before.tick")))
     keys = keys.withColumns({f"v{a}": velocity(a) for a in "xyz"})
-    span = keys.groupBy("trajectory_id", "sample_rate_hz").agg(F.min("tick").alias("first"), F.max("tick").alias("last"), F.count("*").alias("n"))
-    steps = F.expr(f"(last - first) div {SCALE}")
+    span = keys.groupBy("trajectory_id", "sample_rate_hz", "per_second").agg(F.min("tick").alias("first"), F.max("tick").alias("last"), F.count("*").alias("n"))
+    span = span.withColumn("step", (F.col("per_second") / F.col("sample_rate_hz")).cast(WHOLE))
+    steps = F.expr("(last - first) div step")
     checked = F.when(steps + 1 > max_samples, F.raise_error(F.lit("too many samples")).cast("long")).otherwise(steps)
-    grid = span.select("trajectory_id", F.explode(F.sequence(F.lit(0).cast("long"), checked)).alias("i"), "first").select("trajectory_id", (F.col("first") + F.col("i") * SCALE).alias("tick"))
+    grid = span.select("trajectory_id", F.explode(F.sequence(F.lit(0).cast("long"), checked)).alias("i"), "first", "step").select("trajectory_id", (F.col("first") + F.col("i") * F.col("step")).cast(WHOLE).alias("tick"))
     times = grid.unionAll(keys.select("trajectory_id", "tick")).distinct()
     # as-of join: the keyframe at or before each time
-    kept = F.struct("tick", "sample_rate_hz", "x", "y", "z", "vx", "vy", "vz", "after", "floor_id", "zone_id", "semantic_region")
+    kept = F.struct("tick", "per_second", "x", "y", "z", "vx", "vy", "vz", "after", "floor_id", "zone_id", "semantic_region")
     both = times.join(keys.select("trajectory_id", "tick", kept.alias("k")), ["trajectory_id", "tick"], "left")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("k", F.last("k", ignorenulls=True).over(upto)).withColumn("sample_no", F.row_number().over(order) - 1)
+    both = both.withColumn("alpha", ratio((F.col("tick") - F.col("k.tick")).cast(WHOLE), (F.col("k.after.tick") - F.col("k.tick")).cast(WHOLE)))
 
     def position(axis: str) -> Column:
         k = F.col("k")
-        alpha = (F.col("tick") - k["tick"]) / (k["after"]["tick"] - k["tick"])
-        return F.when(F.col("tick") == k["tick"], k[axis]).otherwise(k[axis] + alpha * (k["after"][axis] - k[axis]))
+        return F.when(F.col("tick") == k["tick"], k[axis]).otherwise(k[axis] + F.col("alpha") * (k["after"][axis] - k[axis]))
 
     return both.select(
         "trajectory_id",
         "sample_no",
-        (F.col("tick") / (F.col("k.sample_rate_hz") * F.lit(float(SCALE)))).alias("timestamp"),
+        ratio(F.col("tick"), F.col("k.per_second")).alias("timestamp"),
         *(position(a).alias(a.upper()) for a in "xyz"),
         *(F.col(f"k.v{a}").alias(f"V{a.upper()}") for a in "xyz"),
         "k.floor_id",
@@ -93,5 +105,5 @@ def frame_at(timestamp: Column, fps: Column) -> Column:
 
 def expected_samples(keyframes: DataFrame) -> DataFrame:
     """trajectory_id, grid_samples: how many grid times each trajectory has, from its ends alone."""
-    span = keyframe_ticks(keyframes).groupBy("trajectory_id").agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
-    return span.select("trajectory_id", F.expr(f"(last - first) div {SCALE} + 1").alias("grid_samples"))
+    span = keyframe_ticks(keyframes).groupBy("trajectory_id", "sample_rate_hz", "per_second").agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
+    return span.select("trajectory_id", F.expr("cast((last - first) * sample_rate_hz as decimal(38,0)) div per_second + 1").alias("grid_samples"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 V3 = "STRUCT<x:DOUBLE,y:DOUBLE,z:DOUBLE>"
 P2 = "STRUCT<u:DOUBLE,v:DOUBLE>"
-_KEYFRAME = f"STRUCT<timestamp:DECIMAL(38,9),position:{V3},floor_id:STRING,zone_id:STRING,semantic_region:STRING>"
+_KEYFRAME = f"STRUCT<timestamp:DECIMAL(38,18),position:{V3},floor_id:STRING,zone_id:STRING,semantic_region:STRING>"
 _FRAME = f"frame_id:INT,timestamp:DOUBLE,target_id:STRING,camera_id:STRING,status:STRING,point_2d:{P2},provenance:STRING,gap_reason:STRING,occluder_id:STRING,data_kind:STRING"
 _POINT = f"point_id:STRING,camera_id:STRING,plane_id:STRING,timestamp:DOUBLE,world_position:{V3},projection_quality:DOUBLE,floor_id:STRING,zone_id:STRING,observation_id:STRING,provenance:STRING"
 
