@@ -117,19 +117,15 @@ def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total")
 
 
 def ratio(p: Column, q: Column) -> Column:
-    """p / q of whole decimals below 10^20, q positive, as the double nearest to it. Up to 2^53 the quotient of doubles is
-    that; beyond, 36 digits and a last one for what remains are read as a number."""
-    ten = F.lit(10**18).cast(WHOLE)
-    div = lambda a, b: F.call_function("div", a, b).cast(WHOLE)
-
-    def long_division(u: Column) -> Column:
-        first = ((u % q).cast(WHOLE) * ten).cast(WHOLE)
-        second = ((first % q).cast(WHOLE) * ten).cast(WHOLE)
-        digits = lambda a: F.lpad(div(a, q).cast("string"), 18, "0")
-        return F.concat(div(u, q).cast("string"), F.lit("."), digits(first), digits(second), F.when(second % q == 0, "0").otherwise("1")).cast("double")
-
-    small = (F.abs(p) <= 2**53) & (q <= 2**53)
-    return F.when(small, p.cast("double") / q.cast("double")).otherwise(F.when(p < 0, -long_division(-p)).otherwise(long_division(p)))
+    """p / q of longs, q positive, as the double nearest to it. Up to 2^53 the quotient of doubles is that; beyond, 36 digits
+    and a last one for what remains are read as a number."""
+    u, by, ten = F.abs(p.cast(WHOLE)), q.cast(WHOLE), F.lit(10**18).cast(WHOLE)
+    div = lambda a: F.call_function("div", a, by).cast("string")
+    first = ((u % by).cast(WHOLE) * ten).cast(WHOLE)
+    second = ((first % by).cast(WHOLE) * ten).cast(WHOLE)
+    digits = F.concat(F.when(p < 0, "-").otherwise(""), div(u), F.lit("."), F.lpad(div(first), 18, "0"), F.lpad(div(second), 18, "0"), F.when(second % by == 0, "0").otherwise("1"))
+    small = p.between(-(2**53), 2**53) & (q <= 2**53)
+    return F.when(small, p.cast("double") / q.cast("double")).otherwise(digits.cast("double"))
 
 
 def in_order(x: Column) -> Column:

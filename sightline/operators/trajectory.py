@@ -14,8 +14,8 @@ from ..functions.columns import distance
 from ..functions.exact import WHOLE, ratio
 
 MAX_SAMPLES = 1_000_000
-#: Ticks stay below this, which ratio can divide.
-MAX_TICKS = "10000000000000000000"
+#: Ticks stay below this, so that differences of two are longs.
+MAX_TICKS = 2**62
 #: Fixed value: the last frame number of an evaluator.
 LAST_FRAME = 1_048_574
 
@@ -23,7 +23,7 @@ LAST_FRAME = 1_048_574
 def keyframe_ticks(keyframes: DataFrame) -> DataFrame:
     """keyframes (trajectory_id, sample_rate_hz, timestamp, x, y, z, floor_id, zone_id, semantic_region) with tick and
     per_second, its trajectory's ticks of a second. timestamp is a decimal, of 18 decimals at most; other numbers are taken as they are
-    written. Times of more than 10^19 ticks fail."""
+    written. Times of 2^62 ticks or more fail."""
     time = F.col("timestamp").cast("string").cast("decimal(38,18)")
     # whole seconds and what is left apart: a product of all digits at once would not fit
     timed = keyframes.withColumn("__rest", time % F.lit(1).cast("decimal(1,0)")).withColumn("__seconds", (time - F.col("__rest")).cast(WHOLE))
@@ -32,9 +32,8 @@ def keyframe_ticks(keyframes: DataFrame) -> DataFrame:
     timed = timed.withColumn("__unit", F.element_at(powers, F.max(F.length(digits)).over(Window.partitionBy("trajectory_id")) + 1))
     timed = timed.withColumn("per_second", (F.col("__unit") * F.col("sample_rate_hz")).cast(WHOLE))
     tick = (F.col("__seconds") * F.col("per_second") + (F.col("__rest") * F.col("__unit")).cast(WHOLE) * F.col("sample_rate_hz")).cast(WHOLE)
-    most = F.lit(MAX_TICKS).cast(WHOLE)
-    sound = (F.abs(tick) < most) & (F.col("per_second") < most)
-    return timed.withColumn("tick", F.when(sound | F.col("timestamp").isNull(), tick).otherwise(F.raise_error(F.lit("keyframe time has too many ticks")).cast(WHOLE))).drop("__seconds", "__rest", "__unit")
+    sound = (F.abs(tick) < MAX_TICKS) & (F.col("per_second") < MAX_TICKS)
+    return timed.withColumn("tick", F.when(sound | F.col("timestamp").isNull(), tick.cast("long")).otherwise(F.raise_error(F.lit("keyframe time has too many ticks")).cast("long"))).withColumn("per_second", F.col("per_second").cast("long")).drop("__seconds", "__rest", "__unit")
 
 
 def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
@@ -48,7 +47,7 @@ def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) ->
     order = Window.partitionBy("trajectory_id").orderBy("tick")
     after, before = F.lead(F.struct("tick", "x", "y", "z")).over(order), F.lag(F.struct("tick", "x", "y", "z")).over(order)
     keys = keys.withColumn("after", after).withColumn("before", before)
-    seconds = lambda ticks: ratio(ticks.cast(WHOLE), F.col("per_second"))
+    seconds = lambda ticks: ratio(ticks, F.col("per_second"))
 
     def velocity(axis: str) -> Column:
         right = (F.col(f"after.{axis}") - F.col(axis)) / F.col("to_next")
@@ -58,17 +57,17 @@ def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) ->
     keys = keys.withColumn("to_next", seconds(F.col("after.tick") - F.col("tick"))).withColumn("from_last", seconds(F.col("tick") - F.col("before.tick")))
     keys = keys.withColumns({f"v{a}": velocity(a) for a in "xyz"})
     span = keys.groupBy("trajectory_id", "sample_rate_hz", "per_second").agg(F.min("tick").alias("first"), F.max("tick").alias("last"), F.count("*").alias("n"))
-    span = span.withColumn("step", (F.col("per_second") / F.col("sample_rate_hz")).cast(WHOLE))
+    span = span.withColumn("step", F.expr("per_second div sample_rate_hz"))
     steps = F.expr("(last - first) div step")
     checked = F.when(steps + 1 > max_samples, F.raise_error(F.lit("too many samples")).cast("long")).otherwise(steps)
-    grid = span.select("trajectory_id", F.explode(F.sequence(F.lit(0).cast("long"), checked)).alias("i"), "first", "step").select("trajectory_id", (F.col("first") + F.col("i") * F.col("step")).cast(WHOLE).alias("tick"))
+    grid = span.select("trajectory_id", F.explode(F.sequence(F.lit(0).cast("long"), checked)).alias("i"), "first", "step").select("trajectory_id", (F.col("first") + F.col("i") * F.col("step")).alias("tick"))
     times = grid.unionAll(keys.select("trajectory_id", "tick")).distinct()
     # as-of join: the keyframe at or before each time
     kept = F.struct("tick", "per_second", "x", "y", "z", "vx", "vy", "vz", "after", "floor_id", "zone_id", "semantic_region")
     both = times.join(keys.select("trajectory_id", "tick", kept.alias("k")), ["trajectory_id", "tick"], "left")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("k", F.last("k", ignorenulls=True).over(upto)).withColumn("sample_no", F.row_number().over(order) - 1)
-    both = both.withColumn("alpha", ratio((F.col("tick") - F.col("k.tick")).cast(WHOLE), (F.col("k.after.tick") - F.col("k.tick")).cast(WHOLE)))
+    both = both.withColumn("alpha", ratio(F.col("tick") - F.col("k.tick"), F.col("k.after.tick") - F.col("k.tick")))
 
     def position(axis: str) -> Column:
         k = F.col("k")
@@ -106,4 +105,4 @@ def frame_at(timestamp: Column, fps: Column) -> Column:
 def expected_samples(keyframes: DataFrame) -> DataFrame:
     """trajectory_id, grid_samples: how many grid times each trajectory has, from its ends alone."""
     span = keyframe_ticks(keyframes).groupBy("trajectory_id", "sample_rate_hz", "per_second").agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
-    return span.select("trajectory_id", F.expr("cast((last - first) * sample_rate_hz as decimal(38,0)) div per_second + 1").alias("grid_samples"))
+    return span.select("trajectory_id", F.expr("(last - first) div (per_second div sample_rate_hz) + 1").alias("grid_samples"))

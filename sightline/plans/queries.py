@@ -459,11 +459,13 @@ def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints.observation_violations(checked).groupBy("constraint").agg(F.count("*").alias("n"))
 
 
+def _events_as_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir).where("event_type <> 'error'")
-    return e.selectExpr("user_id as target_id", "event_id as frame_id", "cast(event_id % 25 as int) as camera", "cast(ts as timestamp) as ts", "unix_micros(cast(ts as timestamp)) / 1e9D as t")
+    return _events_as_stream(spark, sf_dir).where("event_type <> 'error'").selectExpr("user_id as target_id", "event_id as frame_id", "cast(event_id % 25 as int) as camera", "cast(ts as timestamp) as ts", "unix_micros(cast(ts as timestamp)) / 1e9D as t")
 
 
 def _run(stream: DataFrame, name: str) -> DataFrame:
@@ -481,10 +483,18 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(streaming.observation_segments(_stream(spark, sf_dir)), "segments")
 
 
+def stream_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of inverse_projection as a stream in which every seventh comes twice."""
+    twice = _events_as_stream(spark, sf_dir).withColumn("copy", F.explode(F.expr("sequence(0, if(event_id % 7 = 0, 1, 0))")))
+    frames = scene.frames_of_events(twice, F.expr("cast(ts as timestamp) as ts"))
+    out = _run(streaming.projected_frames(frames, scene.cameras(spark, sf_dir), scene.planes(spark)), "projected")
+    return out.select("frame_id", "plane_id", *(r6(F.col(a)).alias(a) for a in "xyz"), r6(F.col("projection_quality")).alias("quality"), "failure")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gap_topk, gap_pairs, gap_termination, gap_termination_bounds, gap_termination_short, gap_candidates, gap_candidates_short, candidate_ids, candidate_violations, shortest_routes, min_hops, route_polylines, edge_violations, nav_graph_violations, topology_violations, network_violations, locate_nodes, located_requests, located_results,
     trajectory_samples, sample_counts, unordered_keyframes, samples_x_cameras_projection, gap_reason_counts, visible_frames, occluded_frames, frame_violations, inverse_projection, projection_rejects, projection_roundtrip, point_ids,
     segment_box_hits, ray_nearest_hit, ray_triangle_hit, instanced_ray_hit, ray_budget, object_counts, duplicate_groups, shared_data_groups, geometry_signature_groups, high_poly_objects, top_meshes, semantic_tags, portal_overlap, collection_parents,
     z_layer_histogram, layer_top5, slope_summary, polygon_measures, connected_patches, area_overlap, stair_levels, grid_surface_clusters, height_clusters, scene_bounds, camera_height_summary, camera_floor_zone, camera_intrinsics, findings,
-    closed_schema_check, missing_endpoints, observation_windows, exact_times, exact_totals, observation_violations, stream_gap_pairs, stream_segments,
+    closed_schema_check, missing_endpoints, observation_windows, exact_times, exact_totals, observation_violations, stream_gap_pairs, stream_segments, stream_projection,
 )} | contracts.QUERIES

@@ -169,7 +169,12 @@ def planes(spark: SparkSession) -> DataFrame:
 
 def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames of the region cameras; some name no camera, some pixels are outside the image."""
-    return table(spark, sf_dir, "events").select(
+    return frames_of_events(table(spark, sf_dir, "events"))
+
+
+def frames_of_events(events: DataFrame, *more: Column) -> DataFrame:
+    return events.select(
+        *more,
         F.col("event_id").alias("frame_id"),
         F.expr("unix_micros(cast(ts as timestamp)) / 1e9D").alias("timestamp"),
         F.expr("cast(user_id as string)").alias("target_id"),

@@ -313,6 +313,7 @@ ORACLE_SQL: dict[str, str] = {
             v AS (SELECT event_id, unnest(['status', 'observed', 'gap']) AS "constraint", unnest([status = 'SEEN', status = 'OBSERVED' AND NOT pixel, status = 'GAP' AND (pixel OR NOT reason)]) AS broken FROM f)
         SELECT event_id, "constraint" FROM v WHERE broken""",
     "inverse_projection": f"WITH {INVERSE} SELECT frame_id, plane_id, {', '.join(r6(f'CASE WHEN failure IS NULL THEN {c} END', n) for c, n in (('x', 'x'), ('y', 'y'), ('z', 'z'), ('quality', 'quality')))}, failure FROM inv",
+    "stream_projection": f"WITH {INVERSE} SELECT frame_id, plane_id, {', '.join(r6(f'CASE WHEN failure IS NULL THEN {c} END', n) for c, n in (('x', 'x'), ('y', 'y'), ('z', 'z'), ('quality', 'quality')))}, failure FROM inv",
     "projection_rejects": f"WITH {INVERSE} SELECT camera_id, failure, count(*) AS n FROM inv WHERE failure IS NOT NULL GROUP BY ALL",
     "segment_box_hits": f"WITH {HITS} SELECT ray_id, name, {r6('entry', 'entry')} FROM hits",
     "ray_nearest_hit": f"WITH {HITS} {NEAREST}",

@@ -1,4 +1,4 @@
-"""Frames as a stream: segments of observation, and the blind gaps between a target's observations."""
+"""Frames as a stream: segments of observation, the blind gaps between a target's observations, and positions on planes."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.projection import inverse_project
+
 GAP_SCHEMA = "target_id long, start_id long, end_id long, start_camera int, end_camera int, gap_s double"
 
 
@@ -58,6 +60,17 @@ def gap_pairs(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.groupBy("target_id").applyInPandasWithState(step, GAP_SCHEMA, f"last {frame}, waiting array<{frame}>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def projected_frames(frames: DataFrame, cameras: DataFrame, planes: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """frames (ts, frame_id and what projection.inverse_project takes) with their positions, each frame_id once.
+
+    Of frames that come again within `delay` the first to come stays; those older than the watermark are dropped as late.
+    State holds a frame_id for that long. Cameras and planes are static tables, read again for each batch, so that a change of
+    configuration takes effect with the next one.
+    """
+    once = frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["frame_id"])
+    return inverse_project(once, cameras, planes=planes)
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, out: str) -> None:
     """Run a stream over what its source has now into Parquet."""
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

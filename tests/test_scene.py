@@ -170,6 +170,28 @@ def test_stream_waits_for_late_frames(spark, tmp_path):
     assert got == [(10, 14, 10.0), (11, 12, 20.0), (12, 13, 260.0), (14, 11, 10.0), (20, 21, 260.0)]
 
 
+def test_stream_projects_each_frame_once(spark, tmp_path):
+    """A frame that comes again, with it or batches later, is one; one behind the watermark is dropped; a rest is as without a stream."""
+    frames = queries.scene.frames_of_events(queries.scene.table(spark, SF, "events"), F.expr("cast(ts as timestamp) as ts")).orderBy("ts", "frame_id").limit(40)
+    rows, schema = frames.collect(), frames.schema
+    late = rows[0].asDict() | {"frame_id": -1, "ts": rows[0]["ts"] - timedelta(days=30)}
+    near = {r["frame_id"] for r in rows[20:]}
+    batches = [rows[:20] + rows[:3], rows[20:] + rows[18:20], [tuple(late[c] for c in schema.names)] + rows[-2:]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        os.makedirs(tmp_path / "src", exist_ok=True)
+        for part in (tmp_path / "in" / f"b{k}").glob("part-*"):
+            part.rename(tmp_path / "src" / f"{k}.parquet")
+            os.utime(tmp_path / "src" / f"{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    cameras, planes = queries.scene.cameras(spark, SF), queries.scene.planes(spark)
+    out = gaps.projected_frames(stream, cameras, planes, "1 day")
+    gaps.run_to_end(out, str(tmp_path / "checkpoint"), str(tmp_path / "out"))
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()
+    want = projection.inverse_project(frames, cameras, planes=planes).select(*out.columns).collect()
+    assert near <= {r["frame_id"] for r in got} and sorted(map(tuple, got), key=lambda r: r[1]) == sorted(map(tuple, want), key=lambda r: r[1])
+
+
 def test_inventory_publishers_and_proposals(spark, tmp_path):
     lamp = {"object_name": "L", "type": "AREA", "energy": 2.0, "color": {"x": 1, "y": 1, "z": 1}, "custom_properties": "{}"}
     (tmp_path / "lights.json").write_text(json.dumps(lamp) + "\n")
