@@ -119,13 +119,17 @@ def exact_sums(df: DataFrame, keys: list[str], value: str, name: str = "total")
 def ratio(p: Column, q: Column) -> Column:
     """p / q of longs, q positive, as the double nearest to it. Up to 2^53 the quotient of doubles is that; beyond, 36 digits
     and a last one for what remains are read as a number."""
-    u, by, ten = F.abs(p.cast(WHOLE)), q.cast(WHOLE), F.lit(10**18).cast(WHOLE)
-    div = lambda a: F.call_function("div", a, by).cast("string")
-    first = ((u % by).cast(WHOLE) * ten).cast(WHOLE)
-    second = ((first % by).cast(WHOLE) * ten).cast(WHOLE)
-    digits = F.concat(F.when(p < 0, "-").otherwise(""), div(u), F.lit("."), F.lpad(div(first), 18, "0"), F.lpad(div(second), 18, "0"), F.when(second % by == 0, "0").otherwise("1"))
+    ten = F.lit(10**18).cast(WHOLE)
+
+    def long_division(x: Column) -> Column:
+        u, by = F.abs(x["p"].cast(WHOLE)), x["q"].cast(WHOLE)
+        div = lambda a: F.call_function("div", a, by).cast("string")
+        more = lambda a: ((a % by).cast(WHOLE) * ten).cast(WHOLE)
+        written = lambda a, b: F.concat(F.when(x["p"] < 0, "-").otherwise(""), div(u), F.lit("."), F.lpad(div(a), 18, "0"), F.lpad(div(b), 18, "0"), F.when(b % by == 0, "0").otherwise("1"))
+        return let(more(u), lambda a: let(more(a), lambda b: written(a, b))).cast("double")
+
     small = p.between(-(2**53), 2**53) & (q <= 2**53)
-    return F.when(small, p.cast("double") / q.cast("double")).otherwise(digits.cast("double"))
+    return F.when(small, p.cast("double") / q.cast("double")).otherwise(let(F.struct(p.alias("p"), q.alias("q")), long_division))
 
 
 def in_order(x: Column) -> Column:

@@ -33,7 +33,7 @@ def keyframe_ticks(keyframes: DataFrame) -> DataFrame:
     timed = timed.withColumn("per_second", (F.col("__unit") * F.col("sample_rate_hz")).cast(WHOLE))
     tick = (F.col("__seconds") * F.col("per_second") + (F.col("__rest") * F.col("__unit")).cast(WHOLE) * F.col("sample_rate_hz")).cast(WHOLE)
     sound = (F.abs(tick) < MAX_TICKS) & (F.col("per_second") < MAX_TICKS)
-    return timed.withColumn("tick", F.when(sound | F.col("timestamp").isNull(), tick.cast("long")).otherwise(F.raise_error(F.lit("keyframe time has too many ticks")).cast("long"))).withColumn("per_second", F.col("per_second").cast("long")).drop("__seconds", "__rest", "__unit")
+    return timed.withColumn("tick", F.when(sound | F.col("timestamp").isNull(), tick.try_cast("long")).otherwise(F.raise_error(F.lit("keyframe time has too many ticks")).cast("long"))).withColumn("per_second", F.col("per_second").try_cast("long")).drop("__seconds", "__rest", "__unit")
 
 
 def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
@@ -41,12 +41,16 @@ def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) ->
 
     Position is linear between keyframes, velocity that of the segment to the right (of the last sample, to the left),
     and labels those of the keyframe at or before the sample. A trajectory of more than max_samples fails before its
-    samples are made.
+    samples are made. Each keyframe makes the samples up to the next one, so that only keyframes are shuffled.
     """
     keys = keyframe_ticks(keyframes)
-    order = Window.partitionBy("trajectory_id").orderBy("tick")
-    after, before = F.lead(F.struct("tick", "x", "y", "z")).over(order), F.lag(F.struct("tick", "x", "y", "z")).over(order)
-    keys = keys.withColumn("after", after).withColumn("before", before)
+    whole = Window.partitionBy("trajectory_id")
+    order = whole.orderBy("tick")
+    at = F.struct("tick", "x", "y", "z")
+    keys = keys.withColumns({"after": F.lead(at).over(order), "before": F.lag(at).over(order), "first": F.min("tick").over(whole), "step": F.expr("per_second div sample_rate_hz")})
+    # the grid times between a keyframe and the next one, by number
+    keys = keys.withColumn("low", F.expr("(tick - first) div step + 1")).withColumn("inner", F.coalesce(F.greatest(F.expr("(after.tick - first - 1) div step") - F.col("low") + 1, F.lit(0)), F.lit(0)))
+    keys = keys.withColumns({"upto": F.sum(F.col("inner") + 1).over(order), "total": F.sum(F.col("inner") + 1).over(whole)})
     seconds = lambda ticks: ratio(ticks, F.col("per_second"))
 
     def velocity(axis: str) -> Column:
@@ -56,32 +60,23 @@ def sample_trajectories(keyframes: DataFrame, max_samples: int = MAX_SAMPLES) ->
 
     keys = keys.withColumn("to_next", seconds(F.col("after.tick") - F.col("tick"))).withColumn("from_last", seconds(F.col("tick") - F.col("before.tick")))
     keys = keys.withColumns({f"v{a}": velocity(a) for a in "xyz"})
-    span = keys.groupBy("trajectory_id", "sample_rate_hz", "per_second").agg(F.min("tick").alias("first"), F.max("tick").alias("last"), F.count("*").alias("n"))
-    span = span.withColumn("step", F.expr("per_second div sample_rate_hz"))
-    steps = F.expr("(last - first) div step")
-    checked = F.when(steps + 1 > max_samples, F.raise_error(F.lit("too many samples")).cast("long")).otherwise(steps)
-    grid = span.select("trajectory_id", F.explode(F.sequence(F.lit(0).cast("long"), checked)).alias("i"), "first", "step").select("trajectory_id", (F.col("first") + F.col("i") * F.col("step")).alias("tick"))
-    times = grid.unionAll(keys.select("trajectory_id", "tick")).distinct()
-    # as-of join: the keyframe at or before each time
-    kept = F.struct("tick", "per_second", "x", "y", "z", "vx", "vy", "vz", "after", "floor_id", "zone_id", "semantic_region")
-    both = times.join(keys.select("trajectory_id", "tick", kept.alias("k")), ["trajectory_id", "tick"], "left")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("k", F.last("k", ignorenulls=True).over(upto)).withColumn("sample_no", F.row_number().over(order) - 1)
-    both = both.withColumn("alpha", ratio(F.col("tick") - F.col("k.tick"), F.col("k.after.tick") - F.col("k.tick")))
+    checked = F.when(F.col("total") > max_samples, F.raise_error(F.lit("too many samples")).cast("long")).otherwise(F.col("inner"))
+    both = keys.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), checked)))
+    both = both.withColumn("time", F.when(F.col("nth") == 0, F.col("tick")).otherwise(F.col("first") + (F.col("low") + F.col("nth") - 1) * F.col("step")))
+    both = both.withColumn("alpha", ratio(F.col("time") - F.col("tick"), F.col("after.tick") - F.col("tick")))
 
     def position(axis: str) -> Column:
-        k = F.col("k")
-        return F.when(F.col("tick") == k["tick"], k[axis]).otherwise(k[axis] + F.col("alpha") * (k["after"][axis] - k[axis]))
+        return F.when(F.col("nth") == 0, F.col(axis)).otherwise(F.col(axis) + F.col("alpha") * (F.col(f"after.{axis}") - F.col(axis)))
 
     return both.select(
         "trajectory_id",
-        "sample_no",
-        ratio(F.col("tick"), F.col("k.per_second")).alias("timestamp"),
+        (F.col("upto") - F.col("inner") - 1 + F.col("nth")).cast("int").alias("sample_no"),
+        seconds(F.col("time")).alias("timestamp"),
         *(position(a).alias(a.upper()) for a in "xyz"),
-        *(F.col(f"k.v{a}").alias(f"V{a.upper()}") for a in "xyz"),
-        "k.floor_id",
-        "k.zone_id",
-        "k.semantic_region",
+        *(F.col(f"v{a}").alias(f"V{a.upper()}") for a in "xyz"),
+        "floor_id",
+        "zone_id",
+        "semantic_region",
     )
 
 
