@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bin_of, cross, minus, norm
-from ..functions.exact import exact_medians
+from ..functions.exact import exact_medians, let
 
 HORIZONTAL_NZ = 0.95
 LAYER = 0.25
@@ -73,6 +73,12 @@ def polygon_area(polygon: Column) -> Column:
     return F.when(n >= 3, F.abs(twice) / 2).otherwise(F.lit(0.0))
 
 
+def triangle_area(a: Column, b: Column, c: Column) -> Column:
+    """polygon_area of a triangle's corners, term by term, without making an array of them."""
+    term = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    return F.abs(term(a, b) + term(b, c) + term(c, a)) / 2
+
+
 def flat(*corners: str) -> Column:
     return F.array(*(F.struct(F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y")) for c in corners))
 
@@ -80,7 +86,8 @@ def flat(*corners: str) -> Column:
 def overlap_areas(boxes: DataFrame, measured: DataFrame, near: Column, least_area: float, cell: float = 10.0) -> DataFrame:
     """Pairs of a box (area, xlo, xhi, ylo, yhi, zlo, zhi) and a triangle that overlap in x and y and satisfy `near`, with clipped_area.
 
-    Both are dealt to grid cells; a pair is looked at in the first cell that it shares.
+    Both are dealt to grid cells; a pair is looked at in the first cell that it shares. Only triangles that reach over
+    their box's sides are cut.
     """
 
     def cells(df: DataFrame, lo: tuple[str, str], hi: tuple[str, str]) -> DataFrame:
@@ -92,8 +99,11 @@ def overlap_areas(boxes: DataFrame, measured: DataFrame, near: Column, least_are
     meets = (F.col("xmax") >= F.col("xlo")) & (F.col("xmin") <= F.col("xhi")) & (F.col("ymax") >= F.col("ylo")) & (F.col("ymin") <= F.col("yhi"))
     first = (F.col("gx") == F.floor(F.greatest("xlo", "xmin") / cell)) & (F.col("gy") == F.floor(F.greatest("ylo", "ymin") / cell))
     pairs = b.join(t, ["gx", "gy"]).where(meets & first & near).drop("gx", "gy")
-    pairs = pairs.withColumn("clipped", clip_to_box(flat("a", "b", "c"), F.col("xlo"), F.col("xhi"), F.col("ylo"), F.col("yhi")))
-    return pairs.withColumn("clipped_area", polygon_area(F.col("clipped"))).drop("clipped").where(F.col("clipped_area") > least_area)
+    inside = (F.col("xmin") >= F.col("xlo")) & (F.col("xmax") <= F.col("xhi")) & (F.col("ymin") >= F.col("ylo")) & (F.col("ymax") <= F.col("yhi"))
+    cut = let(clip_to_box(flat("a", "b", "c"), F.col("xlo"), F.col("xhi"), F.col("ylo"), F.col("yhi")), polygon_area)
+    area = F.array(F.when(inside, triangle_area(F.col("a"), F.col("b"), F.col("c"))).otherwise(cut))
+    # exploded, as a condition on a column would work the area out once more
+    return pairs.withColumn("clipped_area", F.explode(F.filter(area, lambda x: x > least_area)))
 
 
 def area_layers(boxes: DataFrame, measured: DataFrame, z_tolerance: float = 0.5) -> DataFrame:
@@ -135,11 +145,11 @@ def plane_z_at(a: Column, b: Column, c: Column, x: Column, y: Column) -> Column:
 
 def top_surface_grid(relevant: DataFrame, grid: int = 9) -> DataFrame:
     """area, i, j, z: the highest surface over the centre of each cell of a grid over each box. relevant: stair_triangles()."""
-    edge = F.sequence(F.lit(0), F.lit(grid - 1))
     cells = relevant.where(F.abs("normal_z") >= 0.05)
     lo = lambda a: F.greatest(F.lit(0), F.floor((F.col(f"{a}min") - F.col(f"{a}lo")) * grid / (F.col(f"{a}hi") - F.col(f"{a}lo")) - 0.5).cast("int"))
     hi = lambda a: F.least(F.lit(grid - 1), F.ceil((F.col(f"{a}max") - F.col(f"{a}lo")) * grid / (F.col(f"{a}hi") - F.col(f"{a}lo")) - 0.5).cast("int"))
-    cells = cells.withColumn("i", F.explode(F.filter(edge, lambda k: (k >= lo("x")) & (k <= hi("x"))))).withColumn("j", F.explode(F.filter(edge, lambda k: (k >= lo("y")) & (k <= hi("y")))))
+    over = lambda a: F.explode(F.when(lo(a) <= hi(a), F.sequence(lo(a), hi(a))))
+    cells = cells.withColumn("i", over("x")).withColumn("j", over("y"))
     x = F.col("xlo") + (F.col("i") + 0.5) * (F.col("xhi") - F.col("xlo")) / grid
     y = F.col("ylo") + (F.col("j") + 0.5) * (F.col("yhi") - F.col("ylo")) / grid
     z = plane_z_at(F.col("a"), F.col("b"), F.col("c"), x, y)
