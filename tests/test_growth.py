@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rows import spark_rows
-from sightline.operators import geometry
+from sightline.operators import geometry, search
 from sightline.plans import queries, scene
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +27,14 @@ def test_triangles_inside_a_box_have_their_area(spark):
     cut = geometry.polygon_area(geometry.clip_to_box(geometry.flat("a", "b", "c"), *map(F.lit, (0.0, 10.0, 0.0, 10.0))))
     want = measured.select("polygon_index", cut.alias("clipped_area")).where("clipped_area > 1e-9")
     assert spark_rows(got) == spark_rows(want) and got.count() == 4
+
+
+def test_requests_that_reach_alike_are_one_question(spark):
+    start = {"start_camera": F.lit("c"), "start_node": F.lit("n")}
+    ranked = spark.createDataFrame([(0.0,), (4.0,), (10.0,)], "distance double").withColumns(start)
+    made = spark.createDataFrame([(10.0,), (14.0,)], "far double").withColumns(start)
+    reaches = [("a", 100.0), ("b", 14.0), ("c", 14.0 - 1e-13), ("d", 13.9), ("e", 10.0), ("f", 3.0), ("g", float("inf")), ("h", -1.0)]
+    bounds = {b: F.lit(1) for b in search.BOUNDS} | {"end_camera": F.lit("c"), "end_node": F.lit("n"), "gap_s": F.col("reach_m"), "max_speed_m_s": F.lit(1.0)}
+    found = search.asked(spark.createDataFrame(reaches, "request_id string, reach_m double").withColumns(start | bounds), ranked, made).collect()
+    assert {r["request_id"]: r["level"] for r in found} == {"a": 4, "b": 4, "c": 4, "d": 3, "e": 3, "f": 1, "g": 4, "h": 0}
+    assert len({r["question"] for r in found}) == 4
